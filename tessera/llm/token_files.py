@@ -24,8 +24,10 @@ tokenizer drops blanks before it merges, so chunks encode independently.
 from __future__ import annotations
 
 import os
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,45 +39,53 @@ from pyspark.sql import functions as F
 from tessera.llm.common import fresh_dir, local_path
 
 #: Chunks of up to so many characters are remembered, so many of them a worker.
-CACHED_CHARS, CACHED_CHUNKS = 40, 300_000
+CACHED_CHARS, CACHED_CHUNKS = 40, 1_000_000
 NULL_ID = np.iinfo("<i8").min
 READ_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long, shard int"
 
 _encoders: dict = {}
 
 
-class ChunkEncoder:
-    """A tokenizers-library encoder with a bounded memory of chunks."""
+class ChunkEncoder(dict):
+    """A tokenizers-library encoder that remembers chunks: chunk to ids as bytes.
+
+    The memory is bounded. When it is full, the chunks met first stay (frequent
+    ones are met early) and the later half makes room.
+    """
 
     def __init__(self, path: str, dtype: str):
+        super().__init__()
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.dtype, self.known = dtype, {"": b""}
-
-    def add(self, chunks: list[str]) -> dict[str, bytes]:
-        """Encodes chunks; the long ones are returned, the others remembered."""
-        if len(self.known) + len(chunks) > CACHED_CHUNKS:
-            self.known = {"": b""}
-        rare = {}
-        for chunk, found in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
-            into = self.known if len(chunk) <= CACHED_CHARS else rare
-            into[chunk] = np.asarray(found.ids, dtype=self.dtype).tobytes()
-        return rare
+        self.model = self.tokenizer.model
+        self.code, self[""] = {"<u2": "H", "<u4": "I"}[dtype], b""
+
+    def __missing__(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():
+            # Plain letters are one piece for the tokenizer: only its model has work to do.
+            ids = [token.id for token in self.model.tokenize(chunk.lower())]
+        elif chunk[-1] in ",." and chunk.isascii() and chunk[:-1].isalpha():
+            return self[chunk[:-1]] + self[chunk[-1]]
+        else:
+            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        coded = array(self.code, ids)
+        if sys.byteorder == "big":
+            coded.byteswap()
+        if len(chunk) <= CACHED_CHARS:
+            if len(self) >= CACHED_CHUNKS:
+                for late in list(self)[CACHED_CHUNKS // 2 :]:
+                    del self[late]
+            self[chunk] = coded.tobytes()
+        return coded.tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as bytes."""
-        blanks = str.maketrans("\t\n\r", "   ")
-        for at in range(0, len(texts), 256):
-            split = [(t or "").translate(blanks).split(" ") for t in texts[at : at + 256]]
-            missing = set().union(*split).difference(self.known)
-            if len(self.known) + len(missing) > CACHED_CHUNKS:
-                self.known, missing = {"": b""}, set().union(*split) - {""}
-            rare = self.add(sorted(missing)) if missing else {}
-            look = {**self.known, **rare}.__getitem__ if rare else self.known.__getitem__
-            yield from (b"".join(map(look, chunks)) for chunks in split)
+        blanks, known = str.maketrans("\t\n\r", "   "), self.__getitem__
+        for text in texts:
+            yield b"".join(map(known, (text or "").translate(blanks).split(" ")))
 
 
 def _encoder(path: str, dtype: str) -> ChunkEncoder:
