@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, chat_windows, classifier_chain, decision_list, media, packing, token_files, url_filter, wordpiece
+from tessera.llm import byte_bpe, chat_windows, classifier_chain, decision_list, jaccard_join, media, packing, token_files, url_filter, wordpiece
 from tessera.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,17 +58,84 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(byte_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"), packing.word_tokens(F.col("text")))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_chat_windows, op2_lossless_webp, op3_token_files, op4_decision_list, op5_classifier_chain,
-        op6_url_filter, op7_wordpiece_counts, op8_byte_bpe, op10_best_fit_packing,
+        op6_url_filter, op7_wordpiece_counts, op8_byte_bpe, op9_jaccard_join, op10_best_fit_packing,
     )
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | {"pipeline": pipeline}
+
+
+SQL_1 = r"""
+WITH RECURSIVE src AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+), t AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+    CAST(ceil(length(text) / 4.0) AS BIGINT) + 4 AS tok,
+    24 + length(role) + length(text) + length(regexp_extract_all(text, '<\\*\|')) AS chars
+  FROM src
+), c AS (
+  SELECT *, sum(tok) OVER (PARTITION BY conv_id ORDER BY i) AS s, sum(chars) OVER (PARTITION BY conv_id ORDER BY i) AS cs FROM t
+), sys AS (
+  SELECT conv_id, CASE WHEN role = 'system' THEN 1 ELSE 0 END AS has, CASE WHEN role = 'system' THEN tok ELSE 0 END AS st,
+    CASE WHEN role = 'system' THEN chars ELSE 0 END AS sc FROM t WHERE i = 1
+), nxt AS (
+  SELECT a.conv_id, a.i AS start, min(b.i) AS nx FROM c a JOIN sys USING (conv_id) JOIN c b ON b.conv_id = a.conv_id AND b.i > a.i
+    AND b.s - (a.s - a.tok) > greatest(1, 1024 - 256 - st) GROUP BY ALL
+), w AS (
+  SELECT conv_id, CAST(1 AS BIGINT) AS start FROM sys
+  UNION ALL SELECT w.conv_id, nxt.nx FROM w JOIN nxt ON nxt.conv_id = w.conv_id AND nxt.start = w.start
+), rep AS (
+  SELECT w.conv_id, w.start, max(sc) + coalesce(max(e.cs - (h.cs - h.chars)), 0) AS chars FROM w JOIN sys USING (conv_id)
+    JOIN c e ON e.conv_id = w.conv_id AND e.i = w.start - 1
+    LEFT JOIN c h ON h.conv_id = w.conv_id AND h.i >= w.start - 2 AND h.i < w.start AND h.i > sys.has AND e.s - (h.s - h.tok) <= 256
+  WHERE w.start > 1 GROUP BY ALL
+), extra AS (
+  SELECT w.conv_id, count(*) AS n_windows, coalesce(sum(rep.chars), 0) AS more FROM w LEFT JOIN rep USING (conv_id, start) GROUP BY ALL
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) + max(more) AS BIGINT) AS formatted_chars, max(n_windows) AS n_windows
+FROM t JOIN extra USING (conv_id) GROUP BY conv_id
+"""
+
+SQL_9 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+), g AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w
+), sized AS MATERIALIZED (SELECT doc_id, len(g) AS n FROM g
+), flat AS MATERIALIZED (SELECT doc_id, unnest(g) AS s FROM g
+), inter AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM flat a JOIN flat b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS MATERIALIZED (
+  SELECT a, b FROM inter JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)
+), ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT DISTINCT a AS doc_id, a AS other FROM ways
+  UNION SELECT r.doc_id, ways.b FROM reach r JOIN ways ON ways.a = r.other
+)
+SELECT sized.doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(min(other), sized.doc_id) AS component_id
+FROM sized LEFT JOIN reach ON reach.doc_id = sized.doc_id GROUP BY sized.doc_id, n
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_windows": SQL_1, "op9_jaccard_join": SQL_9}
