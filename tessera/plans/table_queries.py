@@ -6,6 +6,7 @@ are event spans, sets are conversations, trees are nations below regions.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.operators import kernels as k
+from tessera.plans.validation import violations
+from tessera.sources.catalog import Catalog, read_files, scan, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -287,3 +290,37 @@ def q_checksums(spark, sf_dir):
     """CRC-32 and FNV-1a of texts (no SQL: DuckDB has neither)."""
     data = F.col("text").cast("binary")
     return _t(spark, sf_dir, "documents").select("doc_id", F.crc32(data).alias("crc32"), tx.fnv1a32(F.substring(data, 1, 64)).alias("fnv_of_head"))
+
+
+@query("SELECT doc_id, text, false AS damaged FROM documents")
+def q_archive_roundtrip(spark, sf_dir):
+    """Documents packed into archives, scanned, read back and checked against their checksums."""
+    catalog, folder = _archived(spark, sf_dir)
+    content = read_files(catalog, catalog.blobs(spark, folder), catalog.file).join(catalog.info(), ["toc_id", "file_idx"])
+    number = F.regexp_extract("full_name", r"(\d+)\.txt$", 1).cast("long")
+    return content.select(number.alias("doc_id"), F.col("content").cast("string").alias("text"), (F.col("crc32") != F.col("info_crc32")).alias("damaged"))
+
+
+@query("SELECT doc_id AS toc_id, text AS rule FROM documents WHERE false")
+def q_archive_violations(spark, sf_dir):
+    """Packed archives break no rule: no rows."""
+    catalog, _ = _archived(spark, sf_dir)
+    return violations(catalog).select("toc_id", "rule")
+
+
+@query("SELECT source AS folder, count(*) AS n_files, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes FROM documents GROUP BY 1")
+def q_archive_catalog(spark, sf_dir):
+    """Files and bytes by folder, from the catalog alone."""
+    catalog, _ = _archived(spark, sf_dir)
+    folder = F.regexp_extract("full_name", r"^docs/([^/]*)/", 1)
+    return catalog.file.groupBy(folder.alias("folder")).agg(F.count("*").alias("n_files"), F.sum("total_size").alias("n_bytes"))
+
+
+def _archived(spark, sf_dir):
+    """The documents as archives in the shared folder, and their catalog."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{base.rstrip('/')}/archives-{uuid.uuid4().hex}"
+    name = F.concat(F.lit("docs/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    rows = _t(spark, sf_dir, "documents").select(name.alias("name"), F.col("text").cast("binary").alias("content"))
+    write_archives(rows, "name", "content", folder).write.format("noop").mode("overwrite").save()
+    return Catalog.save(scan(spark, folder), f"{folder}/catalog"), folder
