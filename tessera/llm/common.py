@@ -29,6 +29,14 @@ def words(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(flat, " "), ""), F.array().cast("array<string>"))
 
 
+def window_hash(w: Column, i: Column, size: int) -> Column:
+    """The 64-bit hash of ``size`` array elements from ``i`` (from 0) on.
+
+    Elements are read one by one: ``slice`` would copy the whole array each time.
+    """
+    return F.xxhash64(*(F.get(w, i + k) for k in range(size)))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it.
 

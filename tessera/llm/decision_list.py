@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import words
+from tessera.llm.common import window_hash, words
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: What rules may test, each a ratio of statistics that doesn't depend on length.
@@ -44,7 +44,7 @@ def text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     own = [c for c in docs.columns if c not in (*BASE, *FEATURES, *_INNER)]
     doc = docs.select(*own, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t")).withColumn("_w", words(F.col("_t")))
     doc = doc.withColumn("n_words", F.size("_w").cast("long"))
-    windows = F.transform(F.sequence(F.lit(1), (F.col("n_words") - GRAM + 1).cast("int")), lambda i: F.xxhash64(F.slice("_w", i, GRAM)))
+    windows = F.transform(F.sequence(F.lit(0), (F.col("n_words") - GRAM).cast("int")), lambda i: window_hash(F.col("_w"), i, GRAM))
     doc = doc.withColumn("_g", F.when(F.col("n_words") >= GRAM, windows))
     ordered = F.sort_array(F.transform("_g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     doc = doc.withColumn("_s", F.when(F.size(F.array_distinct("_g")) < F.size("_g"), ordered))

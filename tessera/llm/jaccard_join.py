@@ -7,8 +7,8 @@ already need not be looked at; between components no pair is left out.
 
 Grouped prefix join. Sets are collapsed to classes of equal sets, classes of
 equal size and equal prefix to groups; only a group's leader is indexed. Tokens
-are ordered by how common they are (counts in a table of hash buckets, by
-powers of two), the rarest first, so a passage that many documents share comes
+are ordered by how common they are (lossy counts in a table of hash buckets,
+by powers of two), the rarest first, so a passage that many documents share comes
 last and seldom enters a prefix. Two sets that link share a prefix token.
 
 First round: every posting list links its groups to its least group (a star),
@@ -32,21 +32,52 @@ keeps its row with a null component; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.byte_bpe import constant
-from tessera.llm.common import materialise, words
+from tessera.llm.common import materialise
 
 GRAM, BLOCK, MOST_BITS = 5, 4096, 24
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+REMEMBERED = 400_000
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
+
+
+class WordHashes(dict):
+    """Hashes of words, those met lately kept in a bounded memory."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
 
 
-def shingles(text: Column) -> Column:
-    """The distinct shingle hashes of a text, in ascending order."""
-    w = words(F.translate(text.cast("string"), UPPER, LOWER))
-    grams = lambda w: F.when(F.size(w) >= GRAM, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - GRAM + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, GRAM)))).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
-    return F.get(F.transform(F.array(w), lambda x: F.sort_array(F.array_distinct(grams(x)))), F.lit(0))
+_words = WordHashes()
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """The distinct 64-bit shingle hashes of a text, ascending.
+
+    In UTF-8, ``split`` without an argument cuts at the six ASCII blanks only.
+    """
+    found = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    n = len(found)
+    if not n:
+        return np.zeros(0, np.int64)
+    size = min(n, GRAM)
+    h = np.fromiter(map(_words.__getitem__, found), np.uint64, n)
+    mixed = np.full(n - size + 1, size, np.uint64)
+    for k in range(size):
+        mixed = mixed * _FACTOR + h[k : n - size + 1 + k]
+    mixed = (mixed ^ (mixed >> np.uint64(33))) * _MIX
+    return np.unique((mixed ^ (mixed >> np.uint64(29))).view(np.int64))
 
 
 def dense(rows: DataFrame, size: int) -> Column:
@@ -96,24 +127,58 @@ class Corpus:
     def __init__(self, docs: DataFrame):
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         self.n = self.docs.count()
-        self.sets = self.docs.select("doc_id", shingles(F.col("text")).alias("s"))
         self.size = slots_for(self.n)
-        slot = lambda h: F.pmod(h, F.lit(self.size))
-        counts = self.sets.select(F.explode("s").alias("h")).select(slot(F.col("h")).alias("slot")).groupBy("slot").agg(F.floor(F.log2(F.count("*"))).alias("level"))
-        levels = dense(counts.select("slot", F.least(F.lit(31), F.col("level")).cast("tinyint").alias("value")), self.size)
-        # A token in order: its level above the upper 58 bits of its hash.
-        self.token = lambda h: F.shiftleft(at_slot(levels, slot(h), self.size).cast("long"), 58).bitwiseOR(F.shiftrightunsigned(h, 6))
-        self.prefix = lambda s: F.slice(F.sort_array(F.transform(s, self.token)), F.lit(1), prefix_size(F.size(s)))
-
-    def signatures(self) -> DataFrame:
-        """Per row: size, 128-bit hash of the set, hash of the prefix."""
-        cut = F.when(F.size("s") > 0, F.xxhash64(self.prefix(F.col("s"))))
-        return self.sets.select("doc_id", F.size("s").alias("n"), F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(1), "s").alias("h2"), cut.alias("ph"))
+        self.levels = docs.sparkSession.sparkContext.broadcast(self._levels())
+
+    def _levels(self) -> np.ndarray:
+        """For each bucket of tokens how common it is, as a power of two.
+
+        Lossy counting: a task reports only buckets that it met three times or
+        more, so what comes together are the common ones; the others are level 0.
+        """
+        size = self.size
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            seen = np.zeros(size, np.int32)
+            for rows in batches:
+                for text in rows["text"]:
+                    seen[shingle_set(text) & (size - 1)] += 1
+            often = np.flatnonzero(seen > 2)
+            yield pd.DataFrame({"slot": often, "n": seen[often]})
+
+        counts = self.docs.select("text").mapInPandas(count, "slot int, n int").groupBy("slot").agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("level"))
+        found, levels = counts.toPandas(), np.zeros(size, np.uint8)
+        levels[found["slot"].to_numpy(np.int64)] = np.minimum(found["level"].to_numpy(np.int64), 31)
+        return levels
+
+    def made(self, docs: DataFrame, parts: str) -> DataFrame:
+        """Per row of ``docs`` any of: n, h1 and h2 (128-bit hash of the set), ph (of the prefix), p (the prefix), s (the set)."""
+        size, levels, wanted = self.size, self.levels, parts.split()
+        kinds = {"n": "int", "h1": "long", "h2": "long", "ph": "long", "p": "array<long>", "s": "array<long>"}
+
+        def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            level = levels.value
+            for batch in batches:
+                for at in range(0, len(batch), 512):
+                    rows, out = batch.iloc[at : at + 512], []
+                    for text in rows["text"]:
+                        s = shingle_set(text)
+                        n = len(s)
+                        # In order: a token's level above the upper 58 bits of its hash.
+                        tokens = np.sort(level[s & (size - 1)].astype(np.int64) << 58 | (s.view(np.uint64) >> np.uint64(6)).view(np.int64)) if "p" in parts else None
+                        p = tokens[: n - (4 * n + 4) // 5 + 1] if n and "p" in parts else s[:0]
+                        both = xxhash.xxh3_128_digest(s.tobytes()) if "h1" in wanted else bytes(16)
+                        out.append({"n": n, "h1": int.from_bytes(both[:8], "big", signed=True), "h2": int.from_bytes(both[8:], "big", signed=True), "ph": xxhash.xxh64_intdigest(p.tobytes()) - (1 << 63), "p": p, "s": s})
+                    frame = pd.DataFrame(out, columns=list(kinds))[wanted]
+                    frame.insert(0, "doc_id", rows["doc_id"].astype("Int64").to_numpy())
+                    yield frame
+
+        return docs.select("doc_id", "text").mapInPandas(make, "doc_id long, " + ", ".join(f"{w} {kinds[w]}" for w in wanted))
 
     def sets_of(self, ids: DataFrame) -> DataFrame:
         """The whole sets of some documents: only texts that may be theirs are joined."""
         near = self.docs.where(maybe_among(ids, self.n))
-        return near.join(ids, "doc_id", "left_semi").select("doc_id", shingles(F.col("text")).alias("s"))
+        return self.made(near.join(ids, "doc_id", "left_semi"), "s")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Of distinct pairs (a, b), those whose sets link."""
@@ -145,7 +210,7 @@ def components(edges: DataFrame) -> DataFrame:
 def link(docs: DataFrame) -> DataFrame:
     """A row per row of ``docs``: doc_id, n_shingles, component_id."""
     corpus = Corpus(docs)
-    signed = materialise(corpus.signatures(), "jaccard-signatures")
+    signed = materialise(corpus.made(corpus.docs, "n h1 h2 ph"), "jaccard-signatures")
     classes = signed.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("n", "h1", "h2", "ph").agg(F.min("doc_id").alias("node"))
     leaders = classes.groupBy("n", "ph").agg(F.min("node").alias("leader"), F.count("*").alias("members"))
     classes = materialise(classes.join(leaders, ["n", "ph"]), "jaccard-classes")
@@ -165,10 +230,9 @@ def _first_round(corpus: Corpus, signed: DataFrame, classes: DataFrame) -> DataF
     leaders = classes.where(F.col("node") == F.col("leader")).select(F.col("leader").alias("doc_id"), "n", "ph")
     others = signed.where(F.col("n") > 0).select("doc_id", "n", "ph").join(leaders, ["doc_id", "n", "ph"], "left_anti").select("doc_id").distinct()
     unsure = maybe_among(materialise(others.where(F.col("doc_id").isNotNull()), "jaccard-others"), corpus.n)
-    sets = corpus.sets.where(F.col("doc_id").isNotNull() & (F.size("s") > 0))
-    row = lambda d: d.select("doc_id", F.size("s").alias("n"), corpus.prefix(F.col("s")).alias("p"))
-    exact = row(sets.where(unsure)).withColumn("ph", F.xxhash64("p")).join(leaders, ["doc_id", "n", "ph"], "left_semi").select("doc_id", "n", "p")
-    postings = row(sets.where(~unsure)).union(exact.distinct()).select(F.col("doc_id").alias("doc"), "n", F.explode("p").alias("token"))
+    docs = corpus.docs.where(F.col("doc_id").isNotNull())
+    exact = corpus.made(docs.where(unsure), "n ph p").join(leaders, ["doc_id", "n", "ph"], "left_semi").select("doc_id", "n", "p")
+    postings = corpus.made(docs.where(~unsure), "n p").union(exact.distinct()).select(F.col("doc_id").alias("doc"), "n", F.explode("p").alias("token"))
     lists = postings.groupBy("token").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).where(F.col("hub") < F.col("last")).select("token", "hub")
     corpus.shared = materialise(postings.join(lists, "token"), "jaccard-postings")
     sizes = leaders.select(F.col("doc_id").alias("hub"), F.col("n").alias("m"))
