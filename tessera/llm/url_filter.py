@@ -85,12 +85,13 @@ def tokens_of(host: str, path: str, segmenter: Segmenter) -> list[str]:
 
 
 def word_counts(pages: DataFrame, max_words: int = 50_000, seeds: tuple[str, ...] = SEEDS) -> dict[str, int]:
-    """Counts of the words of all pages' texts and of the parts of their urls.
+    """Counts of the words of all pages' texts.
 
-    A text is cut at everything but letters; markup counts as text, which the
-    words of names hardly meet. Seeds have at least the mean count.
+    Tags are taken out and the rest is cut at everything but letters. Urls don't
+    count: a concatenated name would vouch for itself. Seeds have at least the
+    mean count.
     """
-    text = F.lower(F.concat_ws(" ", F.regexp_replace(F.coalesce(F.col("html"), F.lit("")), "<[^>]*>", " "), F.col("url")))
+    text = F.lower(F.regexp_replace(F.coalesce(F.col("html"), F.lit("")), "<[^>]*>", " "))
     word = F.explode(F.split(F.regexp_replace(text, r"[^\p{L}]+", " "), " ")).alias("word")
     counts = pages.select(word).where(F.length("word").between(2, LONGEST_WORD)).groupBy("word").agg(F.count("*").alias("n"))
     found = {r["word"]: r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(max_words).collect()}
