@@ -34,9 +34,8 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import materialise
 
-NONE = 2**31 - 1
+NONE = 2**30
 BUCKETS, LONG_BYTES = 1 << 16, 512
-CODE = "struct<n:int,ids:string,bytes:string>"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -89,9 +88,11 @@ class RankMap:
         self.rows = materialise(rows.coalesce(1), "bpe-ranks")
 
     def constants(self) -> tuple[Column, Column]:
+        """Bytes to rank, in buckets; and by id its four little-endian bytes and its entry."""
         maps = as_buckets(self.rows.select("piece", F.col("id").alias("value")), BUCKETS)
-        entry = self.rows.groupBy().agg(F.sort_array(F.collect_list(F.struct("id", "piece"))).alias("x"))
-        return maps, constant(entry.select(F.transform("x", lambda e: e["piece"]).alias("value")))
+        own = F.struct("id", id_bytes(F.col("id")).cast("string").alias("le"), F.col("piece").cast("string").alias("bytes"))
+        entry = self.rows.groupBy().agg(F.sort_array(F.collect_list(own)).alias("x"))
+        return maps, constant(entry.select(F.transform("x", lambda e: F.struct(e["le"].alias("le"), e["bytes"].alias("bytes"))).alias("value")))
 
 
 def as_buckets(rows: DataFrame, buckets: int) -> Column:
@@ -125,31 +126,37 @@ def look_up(maps: Column, key: Column, buckets: int) -> Column:
 
 
 def fold(piece: Column, ranks: Column) -> Column:
-    """The parts of a binary piece after all merges, as an array of binaries."""
-    rank = lambda b: F.coalesce(look_up(ranks, b, BUCKETS), F.lit(NONE))
-    size = F.octet_length(piece)
-    start = F.struct(
-        F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(piece, i, F.lit(1))).alias("parts"),
-        F.transform(F.sequence(F.lit(1), size - 1), lambda i: rank(F.substring(piece, i, F.lit(2)))).alias("ranks"),
-    )
-
-    def join(acc: Column, i: Column) -> Column:
-        merged = F.concat(F.element_at(acc["parts"], i), F.element_at(acc["parts"], i + 1))
-        n = F.size(acc["parts"])
-        before = F.when(i > 1, F.array(rank(F.concat(F.element_at(acc["parts"], F.greatest(i - 1, F.lit(1))), merged)))).otherwise(F.array().cast("array<int>"))
-        after = F.when(i + 2 <= n, F.array(rank(F.concat(merged, F.element_at(acc["parts"], F.least(i + 2, n)))))).otherwise(F.array().cast("array<int>"))
-        return F.struct(
-            F.concat(F.slice(acc["parts"], F.lit(1), i - 1), F.array(merged), F.slice(acc["parts"], i + 2, n)).alias("parts"),
-            F.concat(F.slice(acc["ranks"], F.lit(1), F.greatest(i - 2, F.lit(0))), before, after, F.slice(acc["ranks"], i + 2, n)).alias("ranks"),
-        )
+    """The ids of a binary piece after all merges.
+
+    The state is one array of the bounds between parts. An element holds the
+    rank of the pair that its bound divides above the bound's place, so the
+    least element is the leftmost pair of the least rank. Joining that pair takes
+    the bound out and looks up the pairs at the two bounds beside it. Two
+    elements without rank stand at each end.
+    """
+    size, low = F.octet_length(piece), 2**32 - 1
+    bound = lambda rank, place: F.shiftleft(rank.cast("long"), 32) + place
+    between = lambda a, b: F.coalesce(look_up(ranks, F.substring(piece, a + 1, b - a), BUCKETS), F.lit(NONE))
+    edge = lambda place: F.array(bound(F.lit(NONE), place), bound(F.lit(NONE), place))
+    inner = F.transform(F.sequence(F.lit(1), size - 1), lambda i: bound(between(i - 1, i + 1), i))
+    start = F.concat(edge(F.lit(0)), inner, edge(size))
+
+    def join(acc: Column, j: Column) -> Column:
+        before, left, right, after = (F.get(acc, j + k).bitwiseAND(low).cast("int") for k in (-3, -2, 0, 1))
+        new = F.array(
+            bound(F.when(left > 0, between(before, right)).otherwise(NONE), left),
+            bound(F.when(right < size, between(left, after)).otherwise(NONE), right),
+        )
+        return F.concat(F.slice(acc, F.lit(1), j - 2), new, F.slice(acc, j + 2, F.size(acc)))
 
     def step(acc: Column, _: Column) -> Column:
-        least = F.array_min(acc["ranks"])
-        place = F.array(F.array_position(acc["ranks"], least).cast("int"))
-        return F.when(F.coalesce(least, F.lit(NONE)) == NONE, acc).otherwise(F.get(F.transform(place, lambda i: join(acc, i)), F.lit(0)))
+        least = F.array_min(acc)
+        place = F.array(F.array_position(acc, least).cast("int"))
+        return F.when(least >= NONE << 32, acc).otherwise(F.get(F.transform(place, lambda j: join(acc, j)), F.lit(0)))
 
-    merged = F.aggregate(F.sequence(F.lit(1), size - 1), start, step, lambda acc: acc["parts"])
-    return F.when(size <= 1, F.array(piece)).otherwise(merged)
+    place = lambda acc, i: F.get(acc, i).bitwiseAND(low).cast("int")
+    ids = lambda acc: F.transform(F.sequence(F.lit(2), F.size(acc) - 2), lambda i: between(place(acc, i - 1), place(acc, i)))
+    return F.aggregate(F.sequence(F.lit(1), size - 1), start, step, ids)
 
 
 def id_bytes(value: Column) -> Column:
@@ -159,15 +166,14 @@ def id_bytes(value: Column) -> Column:
 
 
 def code_of(piece: Column, ranks: Column, entries: Column, ids: Column | None = None) -> Column:
-    """A piece's number of ids, its ids as bytes, and the bytes that decoding them gives."""
+    """A piece's ids as bytes, and the bytes that decoding them gives."""
     whole = piece.cast("binary")
     if ids is None:
         known = look_up(ranks, whole, BUCKETS)
-        ids = F.when(known.isNotNull(), F.array(known)).otherwise(F.transform(fold(whole, ranks), lambda p: look_up(ranks, p, BUCKETS)))
-    return F.get(F.transform(F.array(ids), lambda i: F.struct(
-        F.size(i).alias("n"), F.array_join(F.transform(i, lambda x: id_bytes(x).cast("string")), "").alias("ids"),
-        F.array_join(F.transform(i, lambda x: F.get(entries, x).cast("string")), "").alias("bytes"),
-    )), F.lit(0))
+        ids = F.when(known.isNotNull(), F.array(known)).otherwise(fold(whole, ranks))
+    text = lambda e, name: F.array_join(F.transform(e, lambda x: x[name]), "")
+    by_id = F.transform(ids, lambda i: F.get(entries, i))
+    return F.get(F.transform(F.array(by_id), lambda e: F.struct(text(e, "le").alias("ids"), text(e, "bytes").alias("bytes"))), F.lit(0))
 
 
 def frequent(docs: DataFrame, pattern: str, remembered: int) -> DataFrame:
@@ -182,13 +188,13 @@ def frequent(docs: DataFrame, pattern: str, remembered: int) -> DataFrame:
     return counts.where(F.col("size") >= (least if least is not None else NONE)).select("piece")
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, remembered: int = 1 << 18) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, remembered: int = 1 << 19) -> DataFrame:
     """A row per document: number of ids, the ids and the decoded bytes (binary)."""
     spark, ranks = docs.sparkSession, read_ranks(ranks_path)
     rank_map = RankMap(spark, ranks)
     maps, entries = rank_map.constants()
-    known = materialise(frequent(docs, pattern, remembered).select("piece", code_of(F.col("piece"), maps, entries).alias("c")).select("piece", "c.n", F.col("c.ids").cast("binary").alias("ids"), F.col("c.bytes").cast("binary").alias("bytes")), "bpe-known")
-    table = known.select("piece", F.struct("n", F.col("ids").cast("string").alias("ids"), F.col("bytes").cast("string").alias("bytes")).alias("value"))
+    known = materialise(frequent(docs, pattern, remembered).select("piece", code_of(F.col("piece"), maps, entries).alias("c")).select("piece", F.col("c.ids").cast("binary").alias("ids"), F.col("c.bytes").cast("binary").alias("bytes")), "bpe-known")
+    table = known.select("piece", F.struct(F.col("ids").cast("string").alias("ids"), F.col("bytes").cast("string").alias("bytes")).alias("value"))
     buckets = 1 << max(4, (remembered - 1).bit_length())
     remembered_codes = as_buckets(table, buckets)
     bound = spark.sparkContext.broadcast(ranks)
@@ -211,8 +217,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, remembered: int = 1 <
     own = lambda x: F.when(x["l"].isNull(), code(x["p"])).otherwise(code_of(x["p"], maps, entries, x["l"]))
     odd = odd.withColumn("codes", F.transform(F.arrays_zip("p", "l"), own))
     joined = lambda name: F.array_join(F.transform("codes", lambda c: c[name]), "").cast("binary").alias(name)
-    total = F.aggregate("codes", F.lit(0).cast("long"), lambda acc, c: acc + c["n"]).alias("n_tokens")
-    return plain.select("doc_id", total, joined("ids"), joined("bytes")).union(odd.select("doc_id", total, joined("ids"), joined("bytes")))
+    out = plain.select("doc_id", joined("ids"), joined("bytes")).union(odd.select("doc_id", joined("ids"), joined("bytes")))
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "bytes")
 
 
 def digest(encoded: DataFrame) -> DataFrame:
