@@ -5,7 +5,7 @@ the probabilities of the categories before it. While it is trained, these
 probabilities come from models that haven't seen the row (out-of-fold
 predictions), so a later link doesn't trust earlier ones more than they merit.
 
-Features are the presence of lower-case words, of their first four and five
+Features are the presence of lower-case words, of their first four to seven
 characters, and a few marks of style; what counts is whether something occurs
 in the whole text, not how often, so one insult in a long text counts as much
 as in a short one. Training uses at most ``max_per_class`` labelled documents
@@ -21,7 +21,6 @@ probability is 0 and nothing is toxic; other columns pass through ``score``.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -40,7 +39,7 @@ def features_of(text: str | None, known: dict[str, int] | None = None) -> set:
     """A text's features; as numbers, and only those of ``known``, if that is given."""
     text = text or ""
     found = set(WORD.findall(text.lower()))
-    parts = found | {f"{w[:4]}~" for w in found if len(w) > 4} | {f"{w[:5]}~" for w in found if len(w) > 5}
+    parts = found.union(f"{w[:k]}~" for w in found for k in range(4, min(len(w), 8)))
     n, letters = text.count(" ") + 1, len(text) + 1
     parts.update(name for name, on in (("<symbols>", len(SYMBOLS.findall(text)) > n), ("<shouts>", 2 * text.count("!!") > n), ("<capitals>", 3 * sum(map(str.isupper, text)) > letters), ("<repeats>", len(found) * 5 < n)) if on)
     return parts if known is None else {known[p] for p in parts if p in known}
@@ -74,7 +73,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_linear(row: np.ndarray, col: np.ndarray, dense: np.ndarray, y: np.ndarray, n: int, ridge: float = 1e-3, steps: int = 120, rate: float = 0.1) -> np.ndarray:
+def fit_linear(row: np.ndarray, col: np.ndarray, dense: np.ndarray, y: np.ndarray, n: int, ridge: float = 1e-4, steps: int = 300, rate: float = 0.1) -> np.ndarray:
     """Logistic regression by Adam on all rows; both classes weigh the same."""
     w, m, v = (np.zeros(n + dense.shape[1] + 1) for _ in range(3))
     share = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
@@ -88,11 +87,13 @@ def fit_linear(row: np.ndarray, col: np.ndarray, dense: np.ndarray, y: np.ndarra
     return w
 
 
-def fit_chain(known: dict[str, int], rows: list[set], labels: np.ndarray, fold: np.ndarray, names: tuple[str, ...] = CHAIN, false_alarms: float = 0.001) -> Chain:
+def fit_chain(known: dict[str, int], rows: list[set], labels: np.ndarray, fold: np.ndarray, allowed: np.ndarray, names: tuple[str, ...] = CHAIN, false_alarms: float = 0.001) -> Chain:
     """All links, and a threshold for the first category.
 
-    The threshold is the least at which no more than ``false_alarms`` of the
-    clean rows are taken for toxic by models that haven't seen them.
+    ``allowed`` says which features the models of each fold may see (those that
+    were chosen without its rows), and, in its last row, which the final ones
+    may. The threshold is the least at which no more than ``false_alarms`` of
+    the clean rows are taken for toxic by models that haven't seen them.
     """
     chain, n = Chain(names, known), len(known)
     if not len(rows) or labels[:, 0].min() == labels[:, 0].max():
@@ -102,49 +103,61 @@ def fit_chain(known: dict[str, int], rows: list[set], labels: np.ndarray, fold:
     for k in range(len(names)):
         y, dense = labels[:, k].astype(float), unseen[:, :k]
         for f in np.unique(fold):
-            out, inside = fold == f, fold != f
-            pick, place = inside[row], np.cumsum(inside) - 1
+            out, inside, may = fold == f, fold != f, allowed[f][col]
+            pick, place = inside[row] & may, np.cumsum(inside) - 1
             w = fit_linear(place[row[pick]], col[pick], dense[inside], y[inside], n)
-            all_z = np.bincount(row, w[:n][col], minlength=len(rows)) + dense @ w[n:-1] + w[-1]
+            all_z = np.bincount(row[may], w[:n][col[may]], minlength=len(rows)) + dense @ w[n:-1] + w[-1]
             unseen[out, k] = _sigmoid(all_z[out])
-        chain.weights.append(fit_linear(row, col, dense, y, n))
+        may = allowed[-1][col]
+        chain.weights.append(fit_linear(row[may], col[may], dense, y, n))
     clean = np.sort(unseen[labels[:, 0] == 0, 0])[::-1]
     chain.threshold = float(max(0.5, clean[int(false_alarms * len(clean))] + 1e-6))
     return chain
 
 
-def train(documents: DataFrame, labels: DataFrame, max_per_class: int = 4096, max_features: int = 30_000, folds: int = 3) -> Chain:
+def train(documents: DataFrame, labels: DataFrame, max_per_class: int = 4096, max_features: int = 30_000, folds: int = 3, least_z: float = 4.0) -> Chain:
     """The chain for the label columns ``toxic`` and ``quality``.
 
     Categories: toxic; toxic and of low quality; toxic and of good quality.
+    A feature is chosen if its share of toxic documents is ``least_z`` standard
+    errors (less one document) from that of the sample.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"), F.max("quality").alias("_quality"))
     some = [known.where((F.col("_toxic") > 0) == on).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class) for on in (True, False)]
-    picked = F.broadcast(some[0].union(some[1]))
-    sample = documents.select("doc_id", "text").join(picked, "doc_id")
+    picked = some[0].union(some[1]).withColumn("_fold", F.pmod(F.xxhash64("doc_id"), F.lit(folds)).cast("int"))
+    sizes = {(r["_fold"], r["on"]): r["n"] for r in picked.groupBy("_fold", (F.col("_toxic") > 0).alias("on")).agg(F.count("*").alias("n")).collect()}
+    sample = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def parts(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: sorted(features_of(t)))
 
-    seen = sample.select(F.explode(parts("text")).alias("feature"), (F.col("_toxic") > 0).cast("long").alias("on"))
-    total = F.count("*").alias("n")
-    counts = seen.groupBy("feature").agg(F.sum("on").alias("hits"), total).where(F.col("n") >= 3)
-    # How far the share of toxic texts among those with the feature is from even, in standard errors.
-    lean = F.abs(2 * F.col("hits") - F.col("n")) / F.sqrt("n")
-    best = counts.orderBy(lean.desc(), "feature").limit(max_features).collect()
+    seen = sample.select(F.explode(parts("text")).alias("feature"), (F.col("_toxic") > 0).cast("long").alias("on"), "_fold")
+    # For each fold what the others say of a feature, and in the end what all say.
+    views = [F.col("_fold") != f for f in range(folds)] + [F.lit(True)]
+    counts = seen.groupBy("feature").agg(*(F.sum(F.when(v, F.col("on")).otherwise(0)).alias(f"h{k}") for k, v in enumerate(views)), *(F.count_if(v).alias(f"n{k}") for k, v in enumerate(views)))
+
+    def z(k: int) -> Column:
+        toxic, clean = (sum(n for (f, on), n in sizes.items() if f != k and on == which) for which in (True, False))
+        p = min(max(toxic / max(1, toxic + clean), 1e-6), 1 - 1e-6)
+        n = F.greatest(F.col(f"n{k}"), F.lit(1))
+        return (F.abs(F.col(f"h{k}") - n * p) - 1) / F.sqrt(n * p * (1 - p))
+
+    chosen = counts.select("feature", *(z(k).alias(f"z{k}") for k in range(folds + 1)))
+    top = F.greatest(*(F.col(f"z{k}") for k in range(folds + 1)))
+    best = chosen.where(top >= least_z).orderBy(top.desc(), "feature").limit(max_features).collect()
     number = {r["feature"]: k for k, r in enumerate(best)}
+    allowed = np.array([[r[f"z{k}"] >= least_z for r in best] for k in range(folds + 1)], bool).reshape(folds + 1, len(best))
     bound = documents.sparkSession.sparkContext.broadcast(number)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def numbers(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: sorted(features_of(t, bound.value)))
 
-    rows = sample.select("doc_id", "_toxic", "_quality", numbers("text").alias("x")).collect()
+    rows = sample.select("doc_id", "_toxic", "_quality", "_fold", numbers("text").alias("x")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
     y = np.array([[r["_toxic"] > 0, r["_toxic"] > 0 and r["_quality"] == 0, r["_toxic"] > 0 and r["_quality"] == 1] for r in rows], int).reshape(-1, 3)
-    fold = np.array([zlib.crc32(str(r["doc_id"]).encode()) % folds for r in rows], int)
-    return fit_chain(number, [set(r["x"]) for r in rows], y, fold)
+    return fit_chain(number, [set(r["x"]) for r in rows], y, np.array([r["_fold"] for r in rows], int), allowed)
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
