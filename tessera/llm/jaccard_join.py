@@ -133,8 +133,9 @@ class Corpus:
     def _levels(self) -> np.ndarray:
         """For each bucket of tokens how common it is, as a power of two.
 
-        Lossy counting: a task reports only buckets that it met three times or
-        more, so what comes together are the common ones; the others are level 0.
+        Lossy counting: a task reports only buckets that it met far more often
+        than the mean bucket, so what comes together are the common ones; the
+        others are level 0.
         """
         size = self.size
 
@@ -143,7 +144,7 @@ class Corpus:
             for rows in batches:
                 for text in rows["text"]:
                     seen[shingle_set(text) & (size - 1)] += 1
-            often = np.flatnonzero(seen > 2)
+            often = np.flatnonzero(seen > 3 + 4 * seen.mean())
             yield pd.DataFrame({"slot": often, "n": seen[often]})
 
         counts = self.docs.select("text").mapInPandas(count, "slot int, n int").groupBy("slot").agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("level"))
