@@ -46,7 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
         conf = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tessera_shared"
-        spark.conf.set("spark.checkpoint.dir", conf)
+        spark.sparkContext.setCheckpointDir(conf)
     return conf.rstrip("/")
 
 
