@@ -66,20 +66,24 @@ class ChunkEncoder(dict):
     def __missing__(self, chunk: str) -> bytes:
         if chunk.isascii() and chunk.isalpha():
             # Plain letters are one piece for the tokenizer: only its model has work to do.
-            ids = [token.id for token in self.model.tokenize(chunk.lower())]
+            low = chunk.lower()
+            coded = self._bytes([token.id for token in self.model.tokenize(low)]) if low == chunk else self[low]
         elif chunk[-1] in ",." and chunk.isascii() and chunk[:-1].isalpha():
-            return self[chunk[:-1]] + self[chunk[-1]]
+            coded = self[chunk[:-1]] + self[chunk[-1]]
         else:
-            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        coded = array(self.code, ids)
-        if sys.byteorder == "big":
-            coded.byteswap()
+            coded = self._bytes(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
         if len(chunk) <= CACHED_CHARS:
             if len(self) >= CACHED_CHUNKS:
                 for late in list(self)[CACHED_CHUNKS // 2 :]:
                     del self[late]
-            self[chunk] = coded.tobytes()
-        return coded.tobytes()
+            self[chunk] = coded
+        return coded
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as bytes."""
