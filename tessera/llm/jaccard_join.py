@@ -50,11 +50,12 @@ _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 
 
 class WordHashes(dict):
-    """Hashes of words, those met lately kept in a bounded memory."""
+    """Hashes of words in a bounded memory: when it is full, those met first (the frequent ones) stay."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= REMEMBERED:
-            self.clear()
+            for late in list(self)[REMEMBERED // 2 :]:
+                del self[late]
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
 
