@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.sources.records import fnv1a
 
 # Categories in order of priority, and the tokens that decide them.
 CATEGORIES = ("music", "stingers", "ambience", "beds", "environment")
@@ -119,7 +123,10 @@ def srt(cue_list: Column) -> Column:
 
 
 def fnv1a32(data: Column) -> Column:
-    """The 32-bit FNV-1a hash of a binary, as a long."""
-    byte = lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("long")
-    places = F.when(F.octet_length(data) > 0, F.sequence(F.lit(1), F.octet_length(data))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, F.lit(0x811C9DC5).cast("long"), lambda h, i: (h.bitwiseXOR(byte(i)) * 0x01000193).bitwiseAND(0xFFFFFFFF))
+    """The 32-bit FNV-1a hash of all bytes of a binary, as a long; null of null."""
+
+    @F.pandas_udf(T.LongType())
+    def hashed(values: pd.Series) -> pd.Series:
+        return pd.Series([None if b is None else fnv1a(b) for b in values], dtype="Int64")
+
+    return hashed(data)

@@ -1,5 +1,6 @@
 import glob
 import os
+import zlib
 
 import duckdb
 import pytest
@@ -33,6 +34,19 @@ def test_query_matches_sql(spark, name):
     assert plain(got, sorted(got.columns)) == plain(want, sorted(got.columns))
 
 
+def test_checksums_cover_whole_texts(spark):
+    def plain_fnv1a(data):
+        h = 2166136261
+        for c in data:
+            h = (h ^ c) * 16777619 % 2**32
+        return h
+
+    texts = {r.doc_id: r.text.encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert max(map(len, texts.values())) > 64
+    got = {r[0]: tuple(r)[1:] for r in table_queries.QUERIES["q_checksums"](spark, SF).collect()}
+    assert got == {i: (zlib.crc32(b), plain_fnv1a(b)) for i, b in texts.items()}
+
+
 def test_entry_and_names(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
