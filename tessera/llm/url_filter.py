@@ -7,8 +7,10 @@ too. A page counts towards the class ``block`` if its segmented host or path
 holds a seed word (a fixed parameter), else towards ``allow``; naive Bayes then
 carries the verdict over to pages whose tokens go with such hosts.
 
-Vocabularies are the ``max_words`` most frequent words; that bounds what is
-broadcast (about 50 bytes a word), and rarer words share the unknown rate.
+All words and all tokens count. Tables are looked up by the keys that occur:
+the ``most`` keys met most often are broadcast with their values, all others are
+joined (``look_up``). Names are segmented once for each distinct run of letters,
+urls are judged once for each distinct host and path.
 Defined results: a null url, or one without ``://``, has an empty host and path
 and no tokens, so the class sizes decide; a null html has no words; other
 columns pass through ``filter_urls``. Rules of equal length go alphabetically.
@@ -18,19 +20,25 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable, Iterator, Mapping
-from functools import lru_cache
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from dataclasses import dataclass
+from itertools import islice
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import materialise
+
 #: (verdict, host, path) as the contract has them.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 SEEDS = ("adult", "bet", "bets", "betting", "casino", "cheap", "escort", "loan", "loans", "lottery", "pharma", "pharmacy", "pills", "poker", "porn", "replica", "sex", "slots", "spam", "torrent", "viagra", "warez", "xxx")
 CLASSES = ("allow", "block")
 LONGEST_WORD = 24
+#: So many of the keys met most often are broadcast, if they are no longer than this; the join finds the others.
+MOST_SHARED, LONGEST_SHARED = 50_000, 256
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -50,21 +58,25 @@ def rule_column(host: Column, path: Column, rules: Iterable[tuple[str, str, str]
 
 
 class Segmenter:
-    """Splits concatenated names into words by their probabilities."""
+    """Splits concatenated names into words by their probabilities.
+
+    ``total`` is the count of all words and one, if ``counts`` holds only some.
+    """
 
-    def __init__(self, counts: Mapping[str, int]):
-        total = sum(counts.values()) + 1
+    def __init__(self, counts: Mapping[str, int], total: int | None = None):
+        self.total = total = sum(counts.values()) + 1 if total is None else total
         self.cost = {w: math.log(total / n) for w, n in counts.items()}
         self.unknown, self.letter = math.log(total), math.log(30)
-        self.split = lru_cache(65_536)(self._split)
 
-    def _split(self, name: str) -> tuple[str, ...]:
+    def split(self, name: str, more: Mapping[str, int] | None = None) -> tuple[str, ...]:
+        """The words of a name; ``more`` has counts of words that only this name needs."""
+        rare = {w: math.log(self.total / n) for w, n in more.items()} if more else {}
         best, cut = [0.0], [0]
         for end in range(1, len(name) + 1):
             options = [(best[end - 1] + self.unknown + self.letter, end - 1)]
             for start in range(max(0, end - LONGEST_WORD), end):
                 word = name[start:end]
-                cost = self.cost.get(word)
+                cost = self.cost.get(word, rare.get(word))
                 # An unknown word costs more with each letter.
                 options.append((best[start] + (self.unknown + self.letter * len(word) if cost is None else cost), start))
             value, start = min(options)
@@ -77,79 +89,145 @@ class Segmenter:
         return tuple(reversed(out))
 
 
-def tokens_of(host: str, path: str, segmenter: Segmenter) -> list[str]:
-    """Words of the host's labels and of the path; numbers become one token."""
-    labels = re.findall(r"[a-z]+|\d+", host)
-    parts = re.findall(r"[a-z]+|\d+", path.lower())
-    return ["h:" + w for x in labels for w in (("0",) if x.isdigit() else segmenter.split(x[:256]))] + ["p:" + w for x in parts for w in (("0",) if x.isdigit() else segmenter.split(x[:256]))]
+def runs_of(host: str, path: str) -> list[str]:
+    """Runs of letters of the host's labels (``h:``) and of the path (``p:``), whole; numbers become ``0``."""
+    return [f"{side}:{'0' if x.isdigit() else x[:256]}" for side, text in (("h", host), ("p", path.lower())) for x in re.findall(r"[a-z]+|\d+", text)]
+
 
+def pieces_of(run: str) -> Iterator[str]:
+    """All parts of a run that can be words."""
+    return (run[a:b] for a in range(len(run)) for b in range(a + 1, min(a + LONGEST_WORD, len(run)) + 1))
 
-def word_counts(pages: DataFrame, max_words: int = 50_000, seeds: tuple[str, ...] = SEEDS) -> dict[str, int]:
-    """Counts of the words of all pages' texts.
+
+def word_counts(pages: DataFrame, seeds: tuple[str, ...] = SEEDS) -> tuple[DataFrame, int]:
+    """Counts of the words of all pages' texts (key, value), and their sum.
 
     Tags are taken out and the rest is cut at everything but letters. Urls don't
     count: a concatenated name would vouch for itself. Seeds have at least the
     mean count.
     """
     text = F.lower(F.regexp_replace(F.coalesce(F.col("html"), F.lit("")), "<[^>]*>", " "))
-    word = F.explode(F.split(F.regexp_replace(text, r"[^\p{L}]+", " "), " ")).alias("word")
-    counts = pages.select(word).where(F.length("word").between(2, LONGEST_WORD)).groupBy("word").agg(F.count("*").alias("n"))
-    found = {r["word"]: r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(max_words).collect()}
-    mean = max(1, sum(found.values()) // max(1, len(found)))
-    return found | {s: max(mean, found.get(s, 0)) for s in seeds}
+    word = F.explode(F.split(F.regexp_replace(text, r"[^\p{L}]+", " "), " ")).alias("key")
+    counts = pages.select(word).where(F.length("key").between(2, LONGEST_WORD)).groupBy("key").agg(F.count("*").alias("value"))
+    counts = materialise(counts, "url-words")
+    found = counts.agg(F.count("*").alias("n"), F.coalesce(F.sum("value"), F.lit(0)).alias("total")).first()
+    mean = max(1, found["total"] // max(1, found["n"]))
+    own = {r["key"]: r["value"] for r in counts.where(F.col("key").isin(*seeds)).collect()}
+    lifted = [(s, max(mean, own.get(s, 0))) for s in dict.fromkeys(seeds)]
+    total = found["total"] - sum(own.values()) + sum(n for _, n in lifted)
+    return counts.where(~F.col("key").isin(*seeds)).union(pages.sparkSession.createDataFrame(lifted, counts.schema)), total
+
+
+def look_up(rows: DataFrame, column: str, keys_of: Callable[[object], Iterable[str]], table: DataFrame, label: str, most: int) -> tuple[DataFrame, Broadcast]:
+    """What ``table`` (key, value) says of the keys of each row (``id``, ``column``), exactly.
+
+    Returns the rows with ``keys`` and ``values`` of keys that few rows share,
+    and a broadcast dictionary of the keys met most often (null where the table
+    has no such key). A key that is in neither isn't in the table.
+    """
 
+    def keys(skip: Broadcast | None) -> DataFrame:
+        def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known = skip.value if skip else {}
+            for rows in batches:
+                each = ((i, k) for i, x in zip(rows["id"], rows[column], strict=True) for k in keys_of(x) if k not in known)
+                while part := list(islice(each, 50_000)):
+                    yield pd.DataFrame(part, columns=["id", "key"])
 
-class Bayes:
-    """Log odds of ``block`` from token counts of both classes, with one added to each."""
+        return rows.select("id", column).mapInPandas(spread, "id long, key string")
 
-    def __init__(self, counts: Iterable[tuple[str, int, int]], pages: tuple[int, int]):
-        rows = list(counts)
-        sizes = [sum(r[k] for r in rows) + len(rows) + 1 for k in (1, 2)]
-        self.odds = {r[0]: math.log((r[2] + 1) / sizes[1]) - math.log((r[1] + 1) / sizes[0]) for r in rows}
-        self.prior = math.log((pages[1] + 1) / (pages[0] + 1))
+    met = materialise(keys(None).groupBy("key").agg(F.count("*").alias("times")).join(table, "key", "left"), label)
+    often = met.where((F.col("times") > 1) & (F.length("key") <= LONGEST_SHARED)).orderBy(F.desc("times"), "key").limit(most)
+    shared = rows.sparkSession.sparkContext.broadcast({r["key"]: r["value"] for r in often.collect()})
+    rest = keys(shared).join(met.where(F.col("value").isNotNull()).select("key", "value"), "key").groupBy("id").agg(F.collect_set(F.struct("key", "value")).alias("found"))
+    return rows.join(rest.select("id", F.col("found.key").alias("keys"), F.col("found.value").alias("values")), "id", "left"), shared
 
-    def block(self, tokens: Iterable[str]) -> float:
-        return self.prior + sum(self.odds.get(t, 0.0) for t in tokens)
 
+def _found(keys, values) -> dict:
+    return {} if keys is None else dict(zip(keys, values, strict=True))
+
+
+def segmented(runs: DataFrame, words: tuple[DataFrame, int], most: int = MOST_SHARED) -> DataFrame:
+    """The words of each run (``id``, ``run``) as key, value."""
+    table, total = words
+    rows, shared = look_up(runs, "run", pieces_of, table, "url-pieces", most)
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        segmenter = Segmenter({w: n for w, n in shared.value.items() if n is not None}, total + 1)
+        for rows in batches:
+            parts = [segmenter.split(run, _found(k, v)) for run, k, v in zip(rows["run"], rows["keys"], rows["values"], strict=True)]
+            yield pd.DataFrame({"key": rows["run"], "value": pd.Series(parts, dtype=object)})
+
+    return materialise(rows.select("run", "keys", "values").mapInPandas(split, "key string, value array<string>"), "url-segmented")
+
+
+def tokens_of(pages: DataFrame, words: tuple[DataFrame, int], most: int = MOST_SHARED) -> DataFrame:
+    """Each distinct host and path with its number of pages and its tokens."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def runs(host: pd.Series, path: pd.Series) -> pd.Series:
+        return pd.Series([runs_of(a, b) for a, b in zip(host, path, strict=True)], dtype=object)
 
-def train(pages: DataFrame, max_words: int = 50_000, max_tokens: int = 50_000, seeds: tuple[str, ...] = SEEDS) -> tuple[dict[str, int], Bayes]:
-    """Word counts and the class model, both from all pages."""
-    counts = word_counts(pages, max_words, seeds)
     host, path = host_and_path(F.col("url"))
-    bound = pages.sparkSession.sparkContext.broadcast(counts)
-    marks = {f"{side}:{s}" for s in seeds for side in "hp"}
+    urls = pages.select(host.alias("host"), path.alias("path")).groupBy("host", "path").agg(F.count("*").alias("n"))
+    urls = materialise(urls.select("host", "path", "n", runs("host", "path").alias("runs")).withColumn("id", F.monotonically_increasing_id()), "url-runs")
+    names = urls.select(F.explode(F.transform("runs", lambda r: F.substring(r, 3, 2**30))).alias("run")).where("run != '0'").distinct()
+    names = materialise(names.withColumn("id", F.monotonically_increasing_id()), "url-names")
+    rows, shared = look_up(urls, "runs", lambda runs: {r[2:] for r in runs}, segmented(names, words, most), "url-names", most)
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def tokens(hosts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        segmenter = Segmenter(bound.value)
-        for h, p in hosts:
-            yield pd.Series([tokens_of(a, b, segmenter) for a, b in zip(h, p, strict=True)], dtype=object)
-
-    seen = pages.select(tokens(host, path).alias("tokens")).withColumn("bad", F.exists("tokens", lambda t: t.isin(*marks)).cast("long"))
-    # One pass gives both tables: each page adds a token that stands for the page.
-    each = seen.select("bad", F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("token"))
-    table = each.groupBy("token").agg(F.sum(1 - F.col("bad")).alias("good"), F.sum("bad").alias("bad"))
-    # Pages have no fewer than any other token, so their row is among the most frequent, unless tokens repeat within pages; it is put first.
-    rows = table.orderBy((F.col("token") != "").cast("int"), (F.col("good") + F.col("bad")).desc(), "token").limit(max_tokens + 1).collect()
-    pages_of = next(((r["good"], r["bad"]) for r in rows if r["token"] == ""), (0, 0))
-    return counts, Bayes([tuple(r) for r in rows if r["token"]], pages_of)
-
-
-def filter_urls(pages: DataFrame, counts: dict[str, int], model: Bayes, rules: Iterable[tuple[str, str, str]] = RULES) -> DataFrame:
-    """Adds host, path, rule, verdict, the segmented host and the log odds of ``block``."""
-    bound = pages.sparkSession.sparkContext.broadcast((counts, model))
-    rules = tuple(rules)
+    def tokens(runs: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for r, k, v in runs:
+            out = []
+            for own, keys, values in zip(r, k, v, strict=True):
+                # Numbers are no names: they are found nowhere, and stay as they are.
+                rare = _found(keys, values)
+                out.append([x[:2] + w for x in own for w in (("0",) if x[2:] == "0" else rare[x[2:]] if x[2:] in rare else shared.value[x[2:]])])
+            yield pd.Series(out, dtype=object)
+
+    return materialise(rows.select("id", "host", "path", "n", tokens("runs", "keys", "values").alias("tokens")), "url-tokens")
 
-    @F.pandas_udf("struct<words:string,log_odds:double>")
-    def judge(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        words, bayes = bound.value
-        segmenter = Segmenter(words)
-        for h, p in parts:
-            found = [tokens_of(a, b, segmenter) for a, b in zip(h, p, strict=True)]
-            yield pd.DataFrame({"words": [" ".join(t[2:] for t in ts if t[0] == "h") for ts in found], "log_odds": [round(bayes.block(ts), 6) for ts in found]})
 
+@dataclass
+class Bayes:
+    """Log odds of ``block`` from token counts of both classes, with one added to each.
+
+    ``odds`` has them for all tokens (key, value).
+    """
+
+    odds: DataFrame
+    prior: float
+
+
+def train(pages: DataFrame, seeds: tuple[str, ...] = SEEDS, most: int = MOST_SHARED) -> tuple[tuple[DataFrame, int], Bayes]:
+    """Word counts and the class model, both from all pages."""
+    words = word_counts(pages, seeds)
+    marks = {f"{side}:{s}" for s in seeds for side in "hp"}
+    seen = tokens_of(pages, words, most).withColumn("bad", F.exists("tokens", lambda t: t.isin(*marks)).cast("long") * F.col("n")).withColumn("good", F.col("n") - F.col("bad"))
+    sums = lambda df: df.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("good", "bad")), F.count("*").alias("n")).first()
+    table = seen.select("good", "bad", F.explode("tokens").alias("key")).groupBy("key").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    table = materialise(table, "url-counts")
+    whole, each = sums(seen), sums(table)
+    rate = lambda c: F.log((F.col(c) + 1) / F.lit(float(each[c] + each["n"] + 1)))
+    return words, Bayes(table.select("key", (rate("bad") - rate("good")).alias("value")), math.log((whole["bad"] + 1) / (whole["good"] + 1)))
+
+
+def filter_urls(pages: DataFrame, words: tuple[DataFrame, int], model: Bayes, rules: Iterable[tuple[str, str, str]] = RULES, most: int = MOST_SHARED) -> DataFrame:
+    """Adds host, path, rule, verdict, the segmented host and the log odds of ``block``."""
+    rules, prior = tuple(rules), model.prior
+    rows, shared = look_up(tokens_of(pages, words, most), "tokens", set, model.odds, "url-odds", most)
+
+    @F.pandas_udf("double")
+    def log_odds(tokens: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for t, k, v in tokens:
+            # An exact sum: no order of tokens changes it. Tokens that training never saw say nothing.
+            rare = [_found(*found) for found in zip(k, v, strict=True)]
+            yield pd.Series([round(math.fsum([prior, *(r[x] if x in r else shared.value.get(x) or 0.0 for x in own)]), 6) for own, r in zip(t, rare, strict=True)], dtype=float)
+
+    spoken = F.array_join(F.transform(F.filter("tokens", lambda t: F.startswith(t, F.lit("h:"))), lambda t: F.substring(t, 3, 2**30)), " ")
+    judged = rows.select("host", "path", spoken.alias("host_words"), log_odds("tokens", "keys", "values").alias("log_odds"))
     host, path = host_and_path(F.col("url"))
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "host_words", "log_odds")]
-    out = pages.select(*own, host.alias("host"), path.alias("path")).withColumn("_j", judge("host", "path"))
-    verdict = F.coalesce(rule_column(F.col("host"), F.col("path"), rules, 0), F.when(F.col("_j.log_odds") > 0, "block").otherwise("allow"))
-    return out.select(*own, "host", "path", rule_column(F.col("host"), F.col("path"), rules).alias("rule"), verdict.alias("verdict"), F.col("_j.words").alias("host_words"), F.col("_j.log_odds").alias("log_odds"))
+    out = pages.select(*own, host.alias("host"), path.alias("path")).join(judged, ["host", "path"])
+    verdict = F.coalesce(rule_column(F.col("host"), F.col("path"), rules, 0), F.when(F.col("log_odds") > 0, "block").otherwise("allow"))
+    return out.select(*own, "host", "path", rule_column(F.col("host"), F.col("path"), rules).alias("rule"), verdict.alias("verdict"), "host_words", "log_odds")

@@ -1,6 +1,7 @@
 import base64
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -242,6 +243,29 @@ def test_url_model_carries_over(spark):
     assert url_filter.filter_urls(df.where("false"), *url_filter.train(df.where("false"))).count() == 0
 
 
+def test_url_tables_hold_rare_words_and_tokens(spark):
+    # 50,100 words and as many tokens that come twice; the seed's page and its word come once.
+    name = lambda i: "q" + "".join("bcdfghjklm"[int(c)] for c in f"{i:05d}")
+    pages = [(i, f"http://good.org/{name(i // 2)}", f"<p>{name(i // 2)}</p>") for i in range(100_200)]
+    pages += [(-1, "http://warez.org/", None), (-2, "http://good.org/zanyduck", "<p>zany duck</p>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_filter.filter_urls(df, *url_filter.train(df), rules=()).where("page_id < 0").collect()}
+    tokens = [t for _, u, _ in pages for t in ([f"h:{w}" for w in (u.split("/")[2].split("."))] + [f"p:{w}" for w in (("zany", "duck") if u.endswith("zanyduck") else (u.split("/")[3],)) if w])]
+    good, bad = collections.Counter(tokens), collections.Counter(["h:warez", "h:org"])
+    good.subtract(bad)
+    sizes = [sum(c.values()) + len(good) + 1 for c in (good, bad)]
+    odds = lambda t: math.log((bad[t] + 1) / sizes[1]) - math.log((good[t] + 1) / sizes[0])
+    prior = math.log(2 / len(pages))
+    assert got[-1].log_odds == pytest.approx(prior + odds("h:warez") + odds("h:org"), abs=2e-6)
+    assert got[-2].log_odds == pytest.approx(prior + odds("h:good") + odds("h:org") + odds("p:zany") + odds("p:duck"), abs=2e-6)
+
+
+def test_url_look_ups_by_join_and_by_broadcast_agree(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(100)
+    got = [sorted(tuple(r) for r in url_filter.filter_urls(df.select("page_id", "url"), *url_filter.train(df, most=most), most=most).collect()) for most in (0, 3, 50_000)]
+    assert got[0] == got[1] == got[2]
+
+
 # ---- 7 word pieces
 
 
