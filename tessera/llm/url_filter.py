@@ -91,7 +91,7 @@ class Segmenter:
 
 def runs_of(host: str, path: str) -> list[str]:
     """Runs of letters of the host's labels (``h:``) and of the path (``p:``), whole; numbers become ``0``."""
-    return [f"{side}:{'0' if x.isdigit() else x[:256]}" for side, text in (("h", host), ("p", path.lower())) for x in re.findall(r"[a-z]+|\d+", text)]
+    return [f"{side}:{'0' if x.isdigit() else x}" for side, text in (("h", host), ("p", path.lower())) for x in re.findall(r"[a-z]+|\d+", text)]
 
 
 def pieces_of(run: str) -> Iterator[str]:

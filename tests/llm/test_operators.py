@@ -260,6 +260,19 @@ def test_url_tables_hold_rare_words_and_tokens(spark):
     assert got[-2].log_odds == pytest.approx(prior + odds("h:good") + odds("h:org") + odds("p:zany") + odds("p:duck"), abs=2e-6)
 
 
+def test_url_runs_are_segmented_whole(spark):
+    # The seed's word lies behind 300 other letters, in the host or in the path.
+    urls = [f"http://{'zqx' * 100}warez.org/", f"http://good.org/{'zqx' * 100}poker", f"http://{'zqx' * 100}.org/"]
+    df = spark.createDataFrame([(i, u, "<p>zqx zqx zqx</p>") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    words, model = url_filter.train(df)
+    tokens = {r.host + r.path: r.tokens for r in url_filter.tokens_of(df, words).collect()}
+    assert tokens[urls[0][7:]] == ["h:zqx"] * 100 + ["h:warez", "h:org"]
+    assert tokens[urls[1][7:]] == ["h:good", "h:org"] + ["p:zqx"] * 100 + ["p:poker"]
+    assert model.prior == pytest.approx(math.log(3 / 2))
+    host_words = {r.page_id: r.host_words.split() for r in url_filter.filter_urls(df, words, model, rules=()).collect()}
+    assert host_words[0][-2:] == ["warez", "org"] and len(host_words[0]) == 102
+
+
 def test_url_look_ups_by_join_and_by_broadcast_agree(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(100)
     got = [sorted(tuple(r) for r in url_filter.filter_urls(df.select("page_id", "url"), *url_filter.train(df, most=most), most=most).collect()) for most in (0, 3, 50_000)]
