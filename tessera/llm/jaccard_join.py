@@ -216,19 +216,26 @@ def link(docs: DataFrame) -> DataFrame:
     classes = signed.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("n", "h1", "h2", "ph").agg(F.min("doc_id").alias("node"))
     leaders = classes.groupBy("n", "ph").agg(F.min("node").alias("leader"), F.count("*").alias("members"))
     classes = materialise(classes.join(leaders, ["n", "ph"]), "jaccard-classes")
-    first = components(_first_round(corpus, signed, classes))
+    # Ids whose rows have different sets: the document, a node by its id, meets all classes of its rows.
+    sign = F.struct("n", "h1", "h2")
+    several = signed.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(sign).alias("x"), F.max(sign).alias("y")).where(F.col("x") != F.col("y"))
+    several = materialise(several.select("doc_id", (F.col("x.n") == 0).alias("blank")), "jaccard-several")
+    mixed = materialise(signed.where(F.col("n") > 0).join(several, "doc_id").select("doc_id", "blank", "n", "h1", "h2"), "jaccard-mixed")
+    same = mixed.join(classes, ["n", "h1", "h2"]).where(F.col("doc_id") != F.col("node")).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
+    first = components(_first_round(corpus, signed, classes).union(same))
     last = _second_round(corpus, classes, first)
     known = classes.join(first.withColumnRenamed("label", "mid"), "node", "left").withColumn("mid", F.coalesce("mid", "node"))
     known = known.join(components(last).select(F.col("node").alias("mid"), F.col("label").alias("end")), "mid", "left")
     known = known.select("n", "h1", "h2", F.coalesce("end", "mid").alias("component"))
-    # Rows of one id with several texts: the least component of theirs is that of all (they were linked as one node).
-    out = signed.join(known, ["n", "h1", "h2"], "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
+    # Rows without words are in no class; those of an id that has words elsewhere go with it.
+    other = mixed.where("blank").join(known, ["n", "h1", "h2"]).groupBy("doc_id").agg(F.min("component").alias("other"))
+    out = signed.join(known, ["n", "h1", "h2"], "left").join(materialise(other, "jaccard-blank"), "doc_id", "left")
+    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "other", "doc_id"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.cast("long").alias("component_id"))
 
 
 def _first_round(corpus: Corpus, signed: DataFrame, classes: DataFrame) -> DataFrame:
-    """Verified stars: of posting lists, of groups, and of rows that share an id."""
+    """Verified stars: of posting lists and of groups."""
     leaders = classes.where(F.col("node") == F.col("leader")).select(F.col("leader").alias("doc_id"), "n", "ph")
     others = signed.where(F.col("n") > 0).select("doc_id", "n", "ph").join(leaders, ["doc_id", "n", "ph"], "left_anti").select("doc_id").distinct()
     unsure = maybe_among(materialise(others.where(F.col("doc_id").isNotNull()), "jaccard-others"), corpus.n)

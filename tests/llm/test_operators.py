@@ -410,3 +410,14 @@ def test_packing_rows(spark, odd, nothing):
     pieces = rows_of(packing.best_fit_pack(long, F.col("n")))
     assert sorted(r["piece_tokens"] for r in pieces if r["doc_id"] == 2) == [1808, 4096, 4096]
     assert packing.best_fit_pack(nothing, F.lit(1)).count() == 0
+
+
+def test_jaccard_rows_of_one_id_are_one_document(spark):
+    a, b, c, d = ("red fox runs far off", "blue owl sits still here now", "one two three four five six", "other words in this last text")
+    rows = [(3, a), (7, a), (7, b), (9, b), (7, None), (20, c), (12, c), (12, d), (11, d), (30, a + " x"), (30, "lone"), (40, ""), (50, "alone here"), (50, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = collections.defaultdict(list)
+    for r in jaccard_join.link(df).collect():
+        got[r.doc_id].append(r.component_id)
+    assert got == {3: [3], 7: [3] * 3, 9: [3], 20: [11], 12: [11] * 2, 11: [11], 30: [30] * 2, 40: [40], 50: [50] * 2}
+    assert {r.doc_id for r in jaccard_join.keep_one(df).collect()} == {3, 11, 30, 40, 50}
