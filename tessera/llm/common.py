@@ -51,16 +51,46 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
-    """A path of its own below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path of its own below the shared folder; it goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    store, place = _store(spark, path)
+    store.deleteOnExit(place)
+    return path
+
+
+def _store(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as that system has it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = fresh_dir(spark, label)
+    return _write(df, fresh_dir(df.sparkSession, label))
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Intermediate tables of one computation, deleted once its result is written."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.label, self.paths = spark, label, []
+
+    def table(self, df: DataFrame, label: str) -> DataFrame:
+        """``materialise``, until ``clear``."""
+        path = fresh_dir(self.spark, f"{self.label}-{label}")
+        self.paths.append(path)
+        return _write(df, path)
+
+    def clear(self) -> None:
+        for path in self.paths:
+            store, place = _store(self.spark, path)
+            store.delete(place, True)
+        self.paths.clear()
 
 
 def local_path(uri: str) -> str | None:

@@ -11,23 +11,34 @@ are ordered by how common they are (lossy counts in a table of hash buckets,
 by powers of two), the rarest first, so a passage that many documents share comes
 last and seldom enters a prefix. Two sets that link share a prefix token.
 
-First round: every posting list links its groups to its least group (a star),
-every group its classes to its leader; such pairs are verified on whole sets,
-and components are formed. This is linear in the postings and takes care of
-large groups of near copies. Second round, exact: in lists that still hold
-several components, groups outside the component of the list's least group are
-paired with the others; pairs of groups are filtered by size and by the number
-of shared prefix tokens (a bound on the overlap that holds for all members),
-expanded to members of different components, and verified.
-
-Tables in reach of every task (bucket levels, id filters) have a fixed most
-size. An id filter only tells which rows surely need no join; the others are
-joined exactly.
+What bounds a pair: prefix tokens that no other group has (a near copy's own
+changes) are in no common part. A posting carries ``left``, the set's size less
+such tokens before it; neither side's ``left`` can be exceeded by the overlap.
+As own changes are rare tokens, they come first, and a set that changed too much
+to link with the middle of its family is dropped from the family's lists by
+``left`` alone, before any pair is made.
+
+Stars: in every list the set with the largest ``left`` for its size, the
+family's middle, is the hub; it is paired with all others of the list, and every
+group's leader with its classes. Pairs are verified on whole sets and components
+formed: linear in the postings. As long as the lists that still hold several
+components would give more than ``PAIRS_A_POSTING`` pairs a posting, and the last
+stars linked something, the sets outside the hub's component get a star of their
+own. The rest is exact: in lists of several components, sets outside the hub's
+component are paired with the others; pairs of groups are filtered by size,
+``left`` and the number of shared prefix tokens (a bound on the overlap that
+holds for all members), expanded to members of different components, and
+verified.
+
+Id filters that tasks share have a fixed most size. One only tells which rows
+surely need no join; the others are joined exactly.
 
 Defined results: null text, or text without words, has an empty set and links
 with nothing; a text of fewer than five words is one shingle; rows of equal
 ``doc_id`` are one document, linked by what any of them says; a null ``doc_id``
-keeps its row with a null component; other columns are ignored.
+keeps its row with a null component; other columns are ignored. Sets hold
+hashes: among N different shingles some two collide with a probability of about
+N^2 / 2^65, which could alter a size or a link.
 """
 
 from __future__ import annotations
@@ -35,69 +46,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.byte_bpe import constant
-from tessera.llm.common import materialise
+from tessera.llm.common import Scratch, materialise
+from tessera.llm.shingles import first_tokens, set_hashes, shingle_sets
 
-GRAM, BLOCK, MOST_BITS = 5, 4096, 24
-REMEMBERED = 400_000
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
-
-
-class WordHashes(dict):
-    """Hashes of words in a bounded memory: when it is full, those met first (the frequent ones) stay."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            for late in list(self)[REMEMBERED // 2 :]:
-                del self[late]
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_words = WordHashes()
-
-
-def shingle_set(text: str | None) -> np.ndarray:
-    """The distinct 64-bit shingle hashes of a text, ascending.
-
-    In UTF-8, ``split`` without an argument cuts at the six ASCII blanks only.
-    """
-    found = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    n = len(found)
-    if not n:
-        return np.zeros(0, np.int64)
-    size = min(n, GRAM)
-    h = np.fromiter(map(_words.__getitem__, found), np.uint64, n)
-    mixed = np.full(n - size + 1, size, np.uint64)
-    for k in range(size):
-        mixed = mixed * _FACTOR + h[k : n - size + 1 + k]
-    mixed = (mixed ^ (mixed >> np.uint64(33))) * _MIX
-    return np.unique((mixed ^ (mixed >> np.uint64(29))).view(np.int64))
-
-
-def dense(rows: DataFrame, size: int) -> Column:
-    """A table (slot, value as tinyint) of a bounded number of slots, as a constant.
-
-    Slots lie in blocks, made in parallel; one task then puts the blocks, whose
-    number is bounded, together.
-    """
-    spark, width = rows.sparkSession, min(BLOCK, size)
-    every = spark.range(size).select(F.col("id").alias("slot"), F.lit(0).cast("tinyint").alias("value"))
-    filled = every.unionByName(rows.select("slot", "value")).groupBy("slot").agg(F.max("value").alias("value"))
-    blocks = filled.groupBy(F.floor(F.col("slot") / width).alias("block")).agg(F.sort_array(F.collect_list(F.struct("slot", "value"))).alias("x"))
-    blocks = blocks.select("block", F.transform("x", lambda x: x["value"]).alias("x"))
-    return constant(blocks.groupBy().agg(F.sort_array(F.collect_list(F.struct("block", "x"))).alias("x")).select(F.transform("x", lambda b: b["x"]).alias("value")))
-
-
-def at_slot(table: Column, slot: Column, size: int) -> Column:
-    width = min(BLOCK, size)
-    return F.get(F.get(table, F.floor(slot / width).cast("int")), F.pmod(slot, F.lit(width)).cast("int"))
+MOST_BITS = 24
+PAIRS_A_POSTING, MOST_STARS = 4, 8
 
 
 def slots_for(n: int) -> int:
@@ -105,11 +62,17 @@ def slots_for(n: int) -> int:
     return 1 << min(MOST_BITS, max(10, (16 * max(1, n)).bit_length()))
 
 
-def maybe_among(ids: DataFrame, n: int) -> Column:
-    """A test on ``doc_id``: false only if it surely isn't among ``ids``."""
-    size = slots_for(n)
-    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(size))
-    return at_slot(dense(ids.select(slot.alias("slot"), F.lit(1).cast("tinyint").alias("value")).distinct(), size), slot, size) == 1
+def marked(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """Adds ``_maybe``: false only if the row's ``doc_id`` surely isn't among ``ids``.
+
+    The filter is a bit for each of at most ``2**MOST_BITS`` slots, 64 a row, so
+    what is broadcast has a fixed most size.
+    """
+    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(slots_for(n)))
+    bits = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 AS int)))").alias("_bits"))
+    held = rows.withColumn("_slot", slot).join(F.broadcast(bits), F.shiftright("_slot", 6) == F.col("_word"), "left")
+    maybe = F.coalesce(F.expr("(shiftright(_bits, cast(_slot & 63 AS int)) & 1) = 1"), F.lit(False))
+    return held.withColumn("_maybe", maybe).select(*rows.columns, "_maybe")
 
 
 def prefix_size(n: Column) -> Column:
@@ -117,169 +80,212 @@ def prefix_size(n: Column) -> Column:
     return n - F.floor((4 * n + 4) / 5).cast("int") + 1
 
 
+def _prefix_sizes(n: np.ndarray) -> np.ndarray:
+    return np.where(n > 0, n - (4 * n + 4) // 5 + 1, 0)
+
+
 def enough(overlap: Column, n: Column, m: Column) -> Column:
     """Whether sets of ``n`` and ``m`` with that overlap link: 100 o >= 80 (n + m - o)."""
     return 9 * overlap >= 4 * (n + m)
 
 
+def _sizes_fit(n: Column, m: Column) -> Column:
+    return (5 * n >= 4 * m) & (5 * m >= 4 * n)
+
+
+def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), pa.array(values[ends[0] : ends[-1]], pa.int64()))
+
+
 class Corpus:
     """The documents, and what all steps need to know of them."""
 
     def __init__(self, docs: DataFrame):
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+        self.scratch = Scratch(docs.sparkSession, "jaccard")
         self.n = self.docs.count()
-        self.size = slots_for(self.n)
-        self.levels = docs.sparkSession.sparkContext.broadcast(self._levels())
+        self.levels = docs.sparkSession.sparkContext.broadcast(self._levels(slots_for(self.n)))
 
-    def _levels(self) -> np.ndarray:
+    def _levels(self, size: int) -> np.ndarray:
         """For each bucket of tokens how common it is, as a power of two.
 
         Lossy counting: a task reports only buckets that it met far more often
         than the mean bucket, so what comes together are the common ones; the
         others are level 0.
         """
-        size = self.size
 
-        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen = np.zeros(size, np.int32)
-            for rows in batches:
-                for text in rows["text"]:
-                    seen[shingle_set(text) & (size - 1)] += 1
+            for batch in batches:
+                for sets in shingle_sets(batch.column("text")):
+                    slots = sets.values & (size - 1)
+                    for a, b in zip(sets.ends[:-1], sets.ends[1:], strict=True):
+                        seen[slots[a:b]] += 1
             often = np.flatnonzero(seen > 3 + 4 * seen.mean())
-            yield pd.DataFrame({"slot": often, "n": seen[often]})
+            yield pa.RecordBatch.from_arrays([pa.array(often, pa.int32()), pa.array(seen[often], pa.int32())], ["slot", "n"])
 
-        counts = self.docs.select("text").mapInPandas(count, "slot int, n int").groupBy("slot").agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("level"))
+        counts = self.docs.select("text").mapInArrow(count, "slot int, n int").groupBy("slot").agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("level"))
         found, levels = counts.toPandas(), np.zeros(size, np.uint8)
         levels[found["slot"].to_numpy(np.int64)] = np.minimum(found["level"].to_numpy(np.int64), 31)
         return levels
 
-    def made(self, docs: DataFrame, parts: str) -> DataFrame:
-        """Per row of ``docs`` any of: n, h1 and h2 (128-bit hash of the set), ph (of the prefix), p (the prefix), s (the set)."""
-        size, levels, wanted = self.size, self.levels, parts.split()
-        kinds = {"n": "int", "h1": "long", "h2": "long", "ph": "long", "p": "array<long>", "s": "array<long>"}
+    def signatures(self) -> DataFrame:
+        """Per row: n, h1 and h2 (128-bit hash of the set), ph (of the prefix), p (the prefix)."""
+        levels = self.levels
 
-        def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            level = levels.value
+        def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, len(batch), 512):
-                    rows, out = batch.iloc[at : at + 512], []
-                    for text in rows["text"]:
-                        s = shingle_set(text)
-                        n = len(s)
-                        # In order: a token's level above the upper 58 bits of its hash.
-                        tokens = np.sort(level[s & (size - 1)].astype(np.int64) << 58 | (s.view(np.uint64) >> np.uint64(6)).view(np.int64)) if "p" in parts else None
-                        p = tokens[: n - (4 * n + 4) // 5 + 1] if n and "p" in parts else s[:0]
-                        both = xxhash.xxh3_128_digest(s.tobytes()) if "h1" in wanted else bytes(16)
-                        out.append({"n": n, "h1": int.from_bytes(both[:8], "big", signed=True), "h2": int.from_bytes(both[8:], "big", signed=True), "ph": xxhash.xxh64_intdigest(p.tobytes()) - (1 << 63), "p": p, "s": s})
-                    frame = pd.DataFrame(out, columns=list(kinds))[wanted]
-                    frame.insert(0, "doc_id", rows["doc_id"].astype("Int64").to_numpy())
-                    yield frame
-
-        return docs.select("doc_id", "text").mapInPandas(make, "doc_id long, " + ", ".join(f"{w} {kinds[w]}" for w in wanted))
+                for sets in shingle_sets(batch.column("text")):
+                    ids = batch.column("doc_id").slice(sets.first_row, len(sets.ends) - 1)
+                    h1, h2 = set_hashes(sets.values, sets.ends)
+                    tokens, ends = first_tokens(sets, levels.value, _prefix_sizes)
+                    columns = [ids, pa.array(sets.sizes, pa.int32()), *(pa.array(x, pa.int64()) for x in (h1, h2, set_hashes(tokens, ends)[0])), _lists(tokens, ends)]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "h1", "h2", "ph", "p"])
+
+        return self.docs.mapInArrow(sign, "doc_id long, n int, h1 long, h2 long, ph long, p array<long>")
 
     def sets_of(self, ids: DataFrame) -> DataFrame:
         """The whole sets of some documents: only texts that may be theirs are joined."""
-        near = self.docs.where(maybe_among(ids, self.n))
-        return self.made(near.join(ids, "doc_id", "left_semi"), "s")
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for sets in shingle_sets(batch.column("text")):
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(sets.first_row, len(sets.ends) - 1), _lists(sets.values, sets.ends)], ["doc_id", "s"])
+
+        near = marked(self.docs, ids, self.n).where("_maybe").select("doc_id", "text")
+        return near.mapInArrow(whole, "doc_id long, s array<long>").join(ids, "doc_id", "left_semi")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Of distinct pairs (a, b), those whose sets link."""
-        ids = materialise(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "jaccard-ids")
+        ids = self.scratch.table(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
         sets = self.sets_of(ids)
         both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
         return both.where(enough(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb"))).select("a", "b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, label) for every node of the edges (a, b): the least node in reach.
 
     Each step takes the least label among neighbours, then follows labels once;
     steps are written to the shared folder, which ends their lineage.
     """
-    ways = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "jaccard-edges")
-    labels = materialise(ways.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "jaccard-labels")
+    ways = scratch.table(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    labels = scratch.table(ways.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
     while True:
         near = ways.join(labels, ways["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
         step = step.join(jump, "mid", "left").select("node", "old", F.least("mid", "far").alias("label"))
-        done = materialise(step, "jaccard-labels")
+        done = scratch.table(step, "labels")
         labels = done.select("node", "label")
         if not done.where(F.col("old") != F.col("label")).take(1):
             return labels
 
 
+def _postings(corpus: Corpus, signed: DataFrame) -> DataFrame:
+    """(token, doc, n, left) of the groups' leaders, for tokens that several groups have."""
+    groups = signed.groupBy("n", "ph").agg(F.min_by("p", "doc_id").alias("p"), F.min("doc_id").alias("doc"))
+    groups = corpus.scratch.table(groups.select("doc", "n", "p"), "prefixes")
+    each = groups.select("doc", "n", F.posexplode("p").alias("pos", "token")).repartition("token")
+    shared = each.join(each.groupBy("token").agg(F.count("*").alias("lists")).where("lists > 1").select("token"), "token")
+    rows = shared.groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("t"))
+    # Of the prefix tokens before the k-th shared one, pos - k are no one else's.
+    left = F.transform("t", lambda t, k: F.struct(t["token"].alias("token"), (F.col("n") - t["pos"] + k).alias("left")))
+    return corpus.scratch.table(rows.select("doc", "n", F.inline(left)), "postings")
+
+
+def _hub_order(rank: str = "doc") -> Column:
+    return F.struct((F.col("left") / F.col("n")).alias("l"), (-F.col(rank)).alias("d"))
+
+
+def _stars(postings: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each list's hub with the others that can link with it."""
+    dealt = postings.repartition("token")
+    hubs = dealt.groupBy("token").agg(F.max_by(F.struct(F.col("doc").alias("hub"), F.col("n").alias("m"), F.col("left").alias("hub_left")), _hub_order()).alias("h")).select("token", "h.*")
+    near = _sizes_fit(F.col("n"), F.col("m")) & enough(F.least("left", "hub_left"), F.col("n"), F.col("m"))
+    pairs = dealt.join(hubs, "token").where((F.col("doc") != F.col("hub")) & near).groupBy("hub", "doc", "n").agg(F.count("*").alias("c"))
+    # Any choice is right here, as the last round is exact: pairs that share little are left to it.
+    return pairs.where(20 * F.col("c") >= prefix_size(F.col("n"))).select(F.col("hub").alias("a"), F.col("doc").alias("b"))
+
+
+def _open_lists(corpus: Corpus, postings: DataFrame, groups: DataFrame) -> DataFrame:
+    """The postings of lists that hold several components, and whether each is apart from its hub's.
+
+    A posting is dropped whose ``left`` is too small for the list's smallest set.
+    """
+    posted = postings.join(groups.withColumnRenamed("leader", "doc"), "doc").repartition("token")
+    lists = posted.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h"), F.max_by("main", _hub_order()).alias("hub_comp"), F.min("n").alias("least"))
+    alive = enough(F.col("left"), F.col("n"), F.greatest(F.col("least"), F.ceil(4 * F.col("n") / 5)))
+    apart = (F.col("low") != F.col("hub_comp")) | (F.col("high") != F.col("hub_comp"))
+    found = posted.join(lists.where("l < h").drop("l", "h"), "token").where(alive)
+    return corpus.scratch.table(found.select("token", "doc", "n", "left", "low", "high", apart.alias("apart")), "open")
+
+
 def link(docs: DataFrame) -> DataFrame:
     """A row per row of ``docs``: doc_id, n_shingles, component_id."""
     corpus = Corpus(docs)
-    signed = materialise(corpus.made(corpus.docs, "n h1 h2 ph"), "jaccard-signatures")
-    classes = signed.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("n", "h1", "h2", "ph").agg(F.min("doc_id").alias("node"))
-    leaders = classes.groupBy("n", "ph").agg(F.min("node").alias("leader"), F.count("*").alias("members"))
-    classes = materialise(classes.join(leaders, ["n", "ph"]), "jaccard-classes")
+    table = corpus.scratch.table
+    signed = table(corpus.signatures(), "signatures")
+    worded = signed.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
+    classes = worded.groupBy("n", "h1", "h2", "ph").agg(F.min("doc_id").alias("node"))
+    leaders = classes.groupBy("n", "ph").agg(F.min("node").alias("leader"))
+    classes = table(classes.join(leaders, ["n", "ph"]), "classes")
     # Ids whose rows have different sets: the document, a node by its id, meets all classes of its rows.
     sign = F.struct("n", "h1", "h2")
     several = signed.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(sign).alias("x"), F.max(sign).alias("y")).where(F.col("x") != F.col("y"))
-    several = materialise(several.select("doc_id", (F.col("x.n") == 0).alias("blank")), "jaccard-several")
-    mixed = materialise(signed.where(F.col("n") > 0).join(several, "doc_id").select("doc_id", "blank", "n", "h1", "h2"), "jaccard-mixed")
+    several = table(several.select("doc_id", (F.col("x.n") == 0).alias("blank")), "several")
+    mixed = table(signed.where(F.col("n") > 0).join(several, "doc_id").select("doc_id", "blank", "n", "h1", "h2"), "mixed")
     same = mixed.join(classes, ["n", "h1", "h2"]).where(F.col("doc_id") != F.col("node")).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
-    first = components(_first_round(corpus, signed, classes).union(same))
-    last = _second_round(corpus, classes, first)
+    postings = _postings(corpus, worded)
+    within = classes.where(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    pairs = _stars(postings).union(within).distinct()
+    edges = table(corpus.verified(table(pairs, "pairs")).union(same), "links")
+    first = components(edges, corpus.scratch)
+    for _ in range(MOST_STARS):
+        named = classes.select("node", "leader", "n").join(first, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+        named = table(named, "named")
+        groups = named.groupBy("leader").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by("comp", "node").alias("main"))
+        open_lists = _open_lists(corpus, postings, groups)
+        sizes = open_lists.groupBy("token").agg(F.count("*").alias("all"), F.count_if("apart").alias("apart"))
+        load = sizes.agg(F.sum(F.col("all") * F.col("apart")).alias("pairs"), F.sum("all").alias("rows")).first()
+        if (load["pairs"] or 0) <= PAIRS_A_POSTING * (load["rows"] or 0):
+            break
+        more = table(corpus.verified(table(_stars(open_lists.where("apart")).distinct(), "pairs")), "links")
+        if not more.take(1):
+            break
+        edges = table(edges.union(more).distinct(), "links")
+        first = components(edges, corpus.scratch)
+    last = _last_round(corpus, open_lists, named, groups)
     known = classes.join(first.withColumnRenamed("label", "mid"), "node", "left").withColumn("mid", F.coalesce("mid", "node"))
-    known = known.join(components(last).select(F.col("node").alias("mid"), F.col("label").alias("end")), "mid", "left")
+    known = known.join(components(last, corpus.scratch).select(F.col("node").alias("mid"), F.col("label").alias("end")), "mid", "left")
     known = known.select("n", "h1", "h2", F.coalesce("end", "mid").alias("component"))
     # Rows without words are in no class; those of an id that has words elsewhere go with it.
     other = mixed.where("blank").join(known, ["n", "h1", "h2"]).groupBy("doc_id").agg(F.min("component").alias("other"))
-    out = signed.join(known, ["n", "h1", "h2"], "left").join(materialise(other, "jaccard-blank"), "doc_id", "left")
+    out = signed.select("doc_id", "n", "h1", "h2").join(known, ["n", "h1", "h2"], "left").join(table(other, "blank"), "doc_id", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "other", "doc_id"))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.cast("long").alias("component_id"))
-
-
-def _first_round(corpus: Corpus, signed: DataFrame, classes: DataFrame) -> DataFrame:
-    """Verified stars: of posting lists and of groups."""
-    leaders = classes.where(F.col("node") == F.col("leader")).select(F.col("leader").alias("doc_id"), "n", "ph")
-    others = signed.where(F.col("n") > 0).select("doc_id", "n", "ph").join(leaders, ["doc_id", "n", "ph"], "left_anti").select("doc_id").distinct()
-    unsure = maybe_among(materialise(others.where(F.col("doc_id").isNotNull()), "jaccard-others"), corpus.n)
-    docs = corpus.docs.where(F.col("doc_id").isNotNull())
-    exact = corpus.made(docs.where(unsure), "n ph p").join(leaders, ["doc_id", "n", "ph"], "left_semi").select("doc_id", "n", "p")
-    postings = corpus.made(docs.where(~unsure), "n p").union(exact.distinct()).select(F.col("doc_id").alias("doc"), "n", F.explode("p").alias("token"))
-    lists = postings.groupBy("token").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).where(F.col("hub") < F.col("last")).select("token", "hub")
-    corpus.shared = materialise(postings.join(lists, "token"), "jaccard-postings")
-    sizes = leaders.select(F.col("doc_id").alias("hub"), F.col("n").alias("m"))
-    stars = corpus.shared.where(F.col("doc") != F.col("hub")).groupBy("hub", "doc", "n").agg(F.count("*").alias("c")).join(sizes, "hub")
-    # Any choice is right here, as the second round is exact: pairs that share little are left to it.
-    stars = stars.where(_sizes_fit(F.col("n"), F.col("m")) & (20 * F.col("c") >= prefix_size(F.col("n")))).select(F.col("hub").alias("a"), F.col("doc").alias("b"))
-    within = classes.where(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    return corpus.verified(materialise(stars.union(within).distinct(), "jaccard-pairs"))
+    found = materialise(out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.cast("long").alias("component_id")), "jaccard-found")
+    corpus.scratch.clear()
+    return found
 
 
-def _sizes_fit(n: Column, m: Column) -> Column:
-    return (5 * n >= 4 * m) & (5 * m >= 4 * n)
-
-
-def _second_round(corpus: Corpus, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Links between components of the first round, as edges between their labels."""
-    named = classes.select("node", "leader", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
-    named = materialise(named, "jaccard-named")
-    groups = named.groupBy("leader").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by("comp", "node").alias("main"))
-    posted = corpus.shared.join(groups.withColumnRenamed("leader", "doc"), "doc")
-    mixed = posted.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h"), F.min_by("main", "doc").alias("hub_comp")).where(F.col("l") < F.col("h")).select("token", "hub_comp")
-    open_lists = materialise(posted.drop("hub").join(mixed, "token"), "jaccard-open")
-    apart = (F.col("low") != F.col("hub_comp")) | (F.col("high") != F.col("hub_comp"))
-    x = open_lists.where(apart).select("token", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("low").alias("xl"), F.col("high").alias("xh"))
-    y = open_lists.select("token", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("low").alias("yl"), F.col("high").alias("yh"), (~apart).alias("inside"))
+def _last_round(corpus: Corpus, open_lists: DataFrame, named: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links between components, as edges between their labels: exact."""
+    x = open_lists.where("apart").select("token", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("left").alias("ex"), F.col("low").alias("xl"), F.col("high").alias("xh"))
+    y = open_lists.select("token", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("left").alias("ey"), F.col("low").alias("yl"), F.col("high").alias("yh"), (~F.col("apart")).alias("inside"))
     differ = (F.least("xl", "yl") != F.greatest("xh", "yh")) & (F.col("x") != F.col("y"))
-    pairs = x.join(y, "token").where(differ & (F.col("inside") | (F.col("x") < F.col("y"))) & _sizes_fit(F.col("nx"), F.col("ny")))
+    fits = _sizes_fit(F.col("nx"), F.col("ny")) & enough(F.least("ex", "ey"), F.col("nx"), F.col("ny"))
+    pairs = x.join(y, "token").where(differ & (F.col("inside") | (F.col("x") < F.col("y"))) & fits)
     lesser = F.col("x") < F.col("y")
     pick = lambda a, b: F.when(lesser, F.col(a)).otherwise(F.col(b))
     shared = pairs.groupBy(pick("x", "y").alias("g"), pick("y", "x").alias("k"), pick("nx", "ny").alias("ng"), pick("ny", "nx").alias("nk")).agg(F.count("*").alias("c"))
     rest = F.greatest(F.col("ng") - prefix_size(F.col("ng")), F.col("nk") - prefix_size(F.col("nk")))
-    likely = materialise(shared.where(enough(F.col("c") + rest, F.col("ng"), F.col("nk"))).select("g", "k"), "jaccard-groups")
+    likely = corpus.scratch.table(shared.where(enough(F.col("c") + rest, F.col("ng"), F.col("nk"))).select("g", "k"), "groups")
     member = lambda side, leader: named.select(F.col("leader").alias(leader), F.col("node").alias(side), F.col("comp").alias(f"{side}c"))
     crossed = likely.join(member("a", "g"), "g").join(member("b", "k"), "k").where(F.col("ac") != F.col("bc")).select("a", "b", "ac", "bc")
     mixed_groups = groups.where(F.col("low") != F.col("high")).select(F.col("leader").alias("g"), "main")
     odd = mixed_groups.join(member("a", "g"), "g").where(F.col("ac") != F.col("main"))
     inner = odd.join(member("b", "g"), "g").where((F.col("ac") != F.col("bc")) & ((F.col("bc") == F.col("main")) | (F.col("a") < F.col("b")))).select("a", "b", "ac", "bc")
-    found = materialise(crossed.union(inner).distinct(), "jaccard-pairs")
+    found = corpus.scratch.table(crossed.union(inner).distinct(), "pairs")
     true = corpus.verified(found.select("a", "b").distinct())
     return true.join(found, ["a", "b"]).select(F.col("ac").alias("a"), F.col("bc").alias("b")).distinct()
 
@@ -292,6 +298,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     found = link(docs)
     gone = materialise(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "jaccard-gone")
-    unsure = F.coalesce(maybe_among(gone, docs.count()), F.lit(False))
-    stay = docs.where(~unsure)
-    return stay.unionByName(docs.where(unsure).join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id") == F.col("_gone"), "left_anti"))
+    held = marked(docs, gone, found.count())
+    unsure = held.where("_maybe").join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    return held.where("NOT _maybe").unionByName(unsure).drop("_maybe")
