@@ -54,7 +54,7 @@ from tessera.llm.common import Scratch, materialise
 from tessera.llm.shingles import first_tokens, set_hashes, shingle_sets
 
 MOST_BITS = 24
-PAIRS_A_POSTING, MOST_STARS = 4, 8
+PAIRS_A_POSTING, MOST_STARS = 64, 8
 
 
 def slots_for(n: int) -> int:
@@ -241,14 +241,14 @@ def link(docs: DataFrame) -> DataFrame:
     pairs = _stars(postings).union(within).distinct()
     edges = table(corpus.verified(table(pairs, "pairs")).union(same), "links")
     first = components(edges, corpus.scratch)
-    for _ in range(MOST_STARS):
+    for star in range(MOST_STARS + 1):
         named = classes.select("node", "leader", "n").join(first, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
         named = table(named, "named")
         groups = named.groupBy("leader").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by("comp", "node").alias("main"))
         open_lists = _open_lists(corpus, postings, groups)
         sizes = open_lists.groupBy("token").agg(F.count("*").alias("all"), F.count_if("apart").alias("apart"))
         load = sizes.agg(F.sum(F.col("all") * F.col("apart")).alias("pairs"), F.sum("all").alias("rows")).first()
-        if (load["pairs"] or 0) <= PAIRS_A_POSTING * (load["rows"] or 0):
+        if star == MOST_STARS or (load["pairs"] or 0) <= PAIRS_A_POSTING * (load["rows"] or 0):
             break
         more = table(corpus.verified(table(_stars(open_lists.where("apart")).distinct(), "pairs")), "links")
         if not more.take(1):
