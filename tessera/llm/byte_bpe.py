@@ -1,24 +1,24 @@
-"""Byte-level BPE encoding and decoding with Spark's higher-order functions.
+"""Byte-level BPE encoding and decoding.
 
 A text is cut by the vocabulary's pattern. A piece that is a vocabulary entry
 has its rank as id; any other is folded: its single bytes are the parts, and as
 long as two neighbours form an entry, the leftmost pair of the least rank is
-joined. The rank map reaches the tasks as one constant, split into hash buckets,
-as a look-up in a Spark map reads the whole map.
+joined. Decoding takes the binary entry of each id and concatenates them.
 
-Distinct pieces are counted over all documents. The most frequent, ``remembered``
-at most (a memory bound, about 100 bytes each), are folded once each, and their
-codes reach the tasks as a second constant of the same form. Every other piece
-is folded where it stands, in the same way, so results don't depend on the
-bound, and no piece is shuffled but to be counted. Pieces of more than
-``LONG_BYTES`` bytes (runs without a break) would make the fold's quadratic cost
-felt: in texts that may have any, such pieces are merged by a heap instead.
-
-Decoding takes the binary entry of each id and concatenates them.
+Two forms give the same ids. ``encode`` cuts and folds Arrow batches: each
+distinct piece is folded once and remembered by its worker, in a memory of fixed
+size; a fold takes n log n steps for n bytes, however long the piece. Rows stay
+where they are, so there is no shuffle and no hot key. ``encode_by_columns`` is
+made of SQL functions: distinct words of all documents are folded by a higher-order
+function over a literal rank map, and joined back by word. It shuffles every piece
+of every text, and its fold is interpreted, which costs more than the check tool
+allows (README has figures); the query uses ``encode``.
 
 Defined results: a null text is empty and has no ids; null and repeated
 ``doc_id`` pass through; an empty table gives no rows; other columns are
-dropped. Texts are taken whole.
+dropped. Texts are taken whole. The pattern's classes follow the installed
+``regex`` library (``encode``), which agrees with tiktoken on every code point,
+or the JVM's Unicode version (``encode_by_columns``).
 """
 
 from __future__ import annotations
@@ -26,16 +26,20 @@ from __future__ import annotations
 import base64
 import heapq
 import uuid
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tessera.llm.common import materialise
+from tessera.llm.common import materialise, text_runs
 
 NONE = 2**30
-BUCKETS, LONG_BYTES = 1 << 16, 512
+BUCKETS = 1 << 16
+#: Pieces of up to so many characters are remembered, so many of them a worker.
+KEPT_CHARS, KEPT_PIECES = 48, 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -43,8 +47,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one piece by a heap of pairs and a linked list of parts."""
+def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one piece: a heap of pairs by rank and place, and a linked list of parts."""
     if piece in ranks:
         return [ranks[piece]]
     end = list(range(1, len(piece) + 1))  # by start of a part; 0 once it is gone
@@ -69,6 +73,64 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class PieceCoder(dict):
+    """Ids of pieces as little-endian 32-bit integers, in a bounded memory.
+
+    When it is full, the pieces met first stay (frequent ones are met early) and
+    the later half makes room.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        super().__init__()
+        self.ranks, self.entries = ranks, [b""] * len(ranks)
+        for entry, rank in ranks.items():
+            self.entries[rank] = entry
+        # Blanks as the vocabularies' own library takes them: by Unicode's White_Space property.
+        self.cut = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+
+    def __missing__(self, piece: str) -> bytes:
+        coded = np.array(merge(piece.encode("utf-8", "surrogatepass"), self.ranks), "<u4").tobytes()
+        if len(piece) <= KEPT_CHARS:
+            if len(self) >= KEPT_PIECES:
+                for late in list(self)[KEPT_PIECES // 2 :]:
+                    del self[late]
+            self[piece] = coded
+        return coded
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, self.cut(text)))
+
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.entries.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+_coders: dict = {}
+
+
+def coder_of(ranks: dict[bytes, int], pattern: str) -> PieceCoder:
+    """This worker's coder, made once for each vocabulary."""
+    key = (pattern, len(ranks), hash(frozenset(list(ranks.items())[:: max(1, len(ranks) // 97)])))
+    if key not in _coders:
+        _coders.clear()
+        _coders[key] = PieceCoder(ranks, pattern)
+    return _coders[key]
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """A row per document: number of ids, the ids and the decoded bytes (binary)."""
+    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = coder_of(ranks.value, pattern)
+        for batch in batches:
+            for first, texts in text_runs(batch.column("text")):
+                ids = [coder.encode(t or "") for t in texts]
+                columns = [batch.column("doc_id").slice(first, len(texts)), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([coder.decode(x) for x in ids], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "bytes"])
+
+    return docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(code, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary, bytes binary")
+
+
 def pieces(text: Column, pattern: str) -> Column:
     """The pattern's matches; ``(?U)`` gives blanks their Unicode meaning."""
     return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
@@ -78,47 +140,31 @@ def _bucket(key: Column, buckets: int) -> Column:
     return F.pmod(F.hash(key), F.lit(buckets))
 
 
-class RankMap:
-    """The vocabulary as constants: bytes to rank, and id to bytes."""
-
-    def __init__(self, spark: SparkSession, ranks: dict[bytes, int]):
-        rows = spark.createDataFrame([(bytearray(k), v) for k, v in ranks.items()], "piece binary, id int")
-        if sorted(ranks.values()) != list(range(len(ranks))):
-            raise ValueError("the ranks of a vocabulary count from 0 without gaps")
-        self.rows = materialise(rows.coalesce(1), "bpe-ranks")
-
-    def constants(self) -> tuple[Column, Column]:
-        """Bytes to rank, in buckets; and by id its four little-endian bytes and its entry."""
-        maps = as_buckets(self.rows.select("piece", F.col("id").alias("value")), BUCKETS)
-        own = F.struct("id", id_bytes(F.col("id")).cast("string").alias("le"), F.col("piece").cast("string").alias("bytes"))
-        entry = self.rows.groupBy().agg(F.sort_array(F.collect_list(own)).alias("x"))
-        return maps, constant(entry.select(F.transform("x", lambda e: F.struct(e["le"].alias("le"), e["bytes"].alias("bytes"))).alias("value")))
-
-
-def as_buckets(rows: DataFrame, buckets: int) -> Column:
-    """A bounded table (piece, value) as a constant: an array of small maps."""
-    key = rows.columns[0]
-    full = rows.groupBy(_bucket(F.col(key), buckets).alias("b")).agg(F.map_from_entries(F.collect_list(F.struct(key, "value"))).alias("m"))
-    value = rows.schema["value"].dataType.simpleString()
-    kind = rows.schema[key].dataType.simpleString()
-    every = rows.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(full, "b", "left")
-    filled = every.select("b", F.coalesce("m", F.expr(f"cast(map() as map<{kind},{value}>)")).alias("m"))
+def constants(spark: SparkSession, ranks: dict[bytes, int]) -> tuple[Column, Column, list[str]]:
+    """The vocabulary as literals: bytes to rank, in hash buckets (a look-up in a
+    Spark map reads the whole map); and by id its four little-endian bytes and its
+    entry. Session variables carry them, whose names are returned, too."""
+    if sorted(ranks.values()) != list(range(len(ranks))):
+        raise ValueError("the ranks of a vocabulary count from 0 without gaps")
+    rows = materialise(spark.createDataFrame([(bytearray(k), v) for k, v in ranks.items()], "piece binary, id int").coalesce(1), "bpe-ranks")
+    full = rows.groupBy(_bucket(F.col("piece"), BUCKETS).alias("b")).agg(F.map_from_entries(F.collect_list(F.struct("piece", "id"))).alias("m"))
+    every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(full, "b", "left")
+    filled = every.select("b", F.coalesce("m", F.expr("cast(map() as map<binary,int>)")).alias("m"))
     listed = filled.groupBy().agg(F.sort_array(F.collect_list(F.struct("b", F.map_entries("m").alias("e")))).alias("x"))
-    return constant(listed.select(F.transform("x", lambda x: F.map_from_entries(x["e"])).alias("value")))
-
+    own = F.struct("id", id_bytes(F.col("id")).cast("string").alias("le"), F.col("piece").cast("string").alias("bytes"))
+    entry = rows.groupBy().agg(F.sort_array(F.collect_list(own)).alias("x")).select(F.transform("x", lambda e: F.struct(e["le"].alias("le"), e["bytes"].alias("bytes"))))
+    names = [_variable(listed.select(F.transform("x", lambda x: F.map_from_entries(x["e"])))), _variable(entry)]
+    return F.expr(f"session.{names[0]}"), F.expr(f"session.{names[1]}"), names
 
-def constant(one_value: DataFrame) -> Column:
-    """The value of a query of one row and column, as a literal of later plans.
 
-    A session variable carries it: the value stays in its binary form, so plans
-    hold (and print) a reference to it, and it is evaluated only once.
-    """
+def _variable(one_value: DataFrame) -> str:
+    """A session variable of the value of a query of one row and column."""
     spark, name = one_value.sparkSession, f"tessera_{uuid.uuid4().hex}"
     one_value.createOrReplaceTempView(name)
     spark.sql(f"DECLARE VARIABLE {name} {one_value.schema[0].dataType.simpleString()}")
     spark.sql(f"SET VAR {name} = (SELECT * FROM {name})")
     spark.catalog.dropTempView(name)
-    return F.expr(f"session.{name}")
+    return name
 
 
 def look_up(maps: Column, key: Column, buckets: int) -> Column:
@@ -165,59 +211,28 @@ def id_bytes(value: Column) -> Column:
     return F.concat(*(F.substring(big, k, 1) for k in (4, 3, 2, 1)))
 
 
-def code_of(piece: Column, ranks: Column, entries: Column, ids: Column | None = None) -> Column:
+def code_of(piece: Column, ranks: Column, entries: Column) -> Column:
     """A piece's ids as bytes, and the bytes that decoding them gives."""
     whole = piece.cast("binary")
-    if ids is None:
-        known = look_up(ranks, whole, BUCKETS)
-        ids = F.when(known.isNotNull(), F.array(known)).otherwise(fold(whole, ranks))
+    known = look_up(ranks, whole, BUCKETS)
+    ids = F.when(known.isNotNull(), F.array(known)).otherwise(fold(whole, ranks))
     text = lambda e, name: F.array_join(F.transform(e, lambda x: x[name]), "")
     by_id = F.transform(ids, lambda i: F.get(entries, i))
     return F.get(F.transform(F.array(by_id), lambda e: F.struct(text(e, "le").alias("ids"), text(e, "bytes").alias("bytes"))), F.lit(0))
 
 
-def frequent(docs: DataFrame, pattern: str, remembered: int) -> DataFrame:
-    """The most frequent pieces of all documents: at most ``remembered``, by classes of frequency."""
-    seen = docs.select(F.explode(pieces(F.col("text"), pattern)).alias("piece")).where(F.octet_length("piece") <= LONG_BYTES)
-    counts = materialise(seen.groupBy("piece").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("piece", F.floor(8 * F.log2("n")).cast("int").alias("size")), "bpe-pieces")
-    room, least = remembered, None
-    for size, n in sorted(((r["size"], r["n"]) for r in counts.groupBy("size").agg(F.count("*").alias("n")).collect()), reverse=True):
-        if n > room:
-            break
-        room, least = room - n, size
-    return counts.where(F.col("size") >= (least if least is not None else NONE)).select("piece")
-
-
-def encode(docs: DataFrame, ranks_path: str, pattern: str, remembered: int = 1 << 19) -> DataFrame:
-    """A row per document: number of ids, the ids and the decoded bytes (binary)."""
-    spark, ranks = docs.sparkSession, read_ranks(ranks_path)
-    rank_map = RankMap(spark, ranks)
-    maps, entries = rank_map.constants()
-    known = materialise(frequent(docs, pattern, remembered).select("piece", code_of(F.col("piece"), maps, entries).alias("c")).select("piece", F.col("c.ids").cast("binary").alias("ids"), F.col("c.bytes").cast("binary").alias("bytes")), "bpe-known")
-    table = known.select("piece", F.struct(F.col("ids").cast("string").alias("ids"), F.col("bytes").cast("string").alias("bytes")).alias("value"))
-    buckets = 1 << max(4, (remembered - 1).bit_length())
-    remembered_codes = as_buckets(table, buckets)
-    bound = spark.sparkContext.broadcast(ranks)
-
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
-    def long_ids(texts: pd.Series) -> pd.Series:
-        def one(found) -> list:
-            return [merge_long(p.encode(), bound.value) if p is not None else None for p in found]
-
-        return texts.map(one)
-
-    cut = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    run = LONG_BYTES // 4
-    long = F.length("text") >= run
-    long = long & F.rlike("text", F.lit(rf"(?U)\S{{{run}}}|\s{{{run}}}"))
-    code = lambda p: F.coalesce(look_up(remembered_codes, p, buckets), code_of(p, maps, entries))
-    plain = cut.where(~long).withColumn("p", pieces(F.col("text"), pattern)).withColumn("codes", F.transform("p", code))
-    odd = cut.where(long).withColumn("p", pieces(F.col("text"), pattern))
-    odd = odd.withColumn("l", long_ids(F.transform("p", lambda p: F.when(F.octet_length(p) > LONG_BYTES, p))))
-    own = lambda x: F.when(x["l"].isNull(), code(x["p"])).otherwise(code_of(x["p"], maps, entries, x["l"]))
-    odd = odd.withColumn("codes", F.transform(F.arrays_zip("p", "l"), own))
-    joined = lambda name: F.array_join(F.transform("codes", lambda c: c[name]), "").cast("binary").alias(name)
-    out = plain.select("doc_id", joined("ids"), joined("bytes")).union(odd.select("doc_id", joined("ids"), joined("bytes")))
+def encode_by_columns(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """``encode`` with SQL functions alone: each distinct word is folded once, and its code joined back."""
+    maps, entries, names = constants(docs.sparkSession, read_ranks(ranks_path))
+    rows = materialise(docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id()), "bpe-rows")
+    each = rows.select("row", F.posexplode(pieces(F.col("text"), pattern)).alias("pos", "piece"))
+    words = each.select("piece").distinct().select("piece", code_of(F.col("piece"), maps, entries).alias("c"))
+    words = materialise(words.select("piece", F.col("c.ids").alias("ids"), F.col("c.bytes").alias("bytes")), "bpe-words")
+    for name in names:
+        docs.sparkSession.sql(f"DROP TEMPORARY VARIABLE {name}")
+    whole = each.join(words, "piece").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "ids", "bytes"))).alias("x"))
+    joined = lambda name: F.coalesce(F.array_join(F.transform("x", lambda x: x[name]), ""), F.lit("")).cast("binary").alias(name)
+    out = rows.select("row", "doc_id").join(whole, "row", "left").select("doc_id", joined("ids"), joined("bytes"))
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "bytes")
 
 

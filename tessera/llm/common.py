@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,3 +102,16 @@ def local_path(uri: str) -> str | None:
     if uri.startswith("file:"):
         return "/" + uri[5:].lstrip("/")
     return uri if os.path.isabs(uri) else None
+
+
+def text_runs(texts: pa.Array, most_rows: int = 256, most_bytes: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
+    """A text column as runs of rows: the first row's place and the texts.
+
+    A run ends at ``most_rows`` or before ``most_bytes``, unless one text is longer.
+    """
+    ends = np.cumsum(np.nan_to_num(np.asarray(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False), float)))
+    row, before = 0, 0.0
+    while row < len(texts):
+        stop = min(row + most_rows, max(row + 1, int(np.searchsorted(ends, before + most_bytes, "right"))))
+        yield row, texts.slice(row, stop - row).to_pylist()
+        row, before = stop, ends[stop - 1]

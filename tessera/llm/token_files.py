@@ -7,8 +7,8 @@ A data set is a folder of shards. Shard ``k`` holds the documents of the
             unsigned 16-bit integers (32-bit if the vocabulary needs it)
 ``k.off``   ``n + 1`` little-endian int64: where each document starts in the
             shard, and the shard's end
-``k.doc``   ``n`` little-endian int64: the document ids (the smallest int64
-            stands for a null id)
+``k.doc``   ``n`` little-endian int64: the document ids (null ids are stored as
+            the smallest int64; they come first, and the shard's row counts them)
 
 The base of a shard, the number of ids before it in the whole data set, is the
 prefix sum of the ids of earlier shards. Readers map the files into memory, so
@@ -19,6 +19,11 @@ comes first; rows of equal ``doc_id`` are ordered by a hash of their text, then
 as they come; an empty table gives no shard; other columns are ignored. Texts
 are encoded whole, and the id is looked up per blank-separated chunk: the
 tokenizer drops blanks before it merges, so chunks encode independently.
+Names of special tokens in a text are encoded as the library does by default
+(``<|endoftext|>`` gives its id); ``names_as_text`` makes them ordinary text.
+
+Texts are encoded where they lie, and ids are what is dealt by ranges of
+``doc_id``. A task writes its shard as rows come, so it holds a batch at a time.
 """
 
 from __future__ import annotations
@@ -29,14 +34,18 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
+from typing import IO
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
+import pyarrow as pa
+import pyarrow.compute
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh_dir, local_path
+from tessera.llm.common import Scratch, fresh_dir, local_path, text_runs
 
 #: Chunks of up to so many characters are remembered, so many of them a worker.
 CACHED_CHARS, CACHED_CHUNKS = 40, 1_000_000
@@ -53,13 +62,13 @@ class ChunkEncoder(dict):
     ones are met early) and the later half makes room.
     """
 
-    def __init__(self, path: str, dtype: str):
+    def __init__(self, path: str, dtype: str, names_as_text: bool = False):
         super().__init__()
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = names_as_text
         self.model = self.tokenizer.model
         self.code, self[""] = {"<u2": "H", "<u4": "I"}[dtype], b""
 
@@ -68,7 +77,8 @@ class ChunkEncoder(dict):
             # Plain letters are one piece for the tokenizer: only its model has work to do.
             low = chunk.lower()
             coded = self._bytes([token.id for token in self.model.tokenize(low)]) if low == chunk else self[low]
-        elif chunk[-1] in ",." and chunk.isascii() and chunk[:-1].isalpha():
+        elif chunk[-1] in ",." and chunk[:-1].isalpha():
+            # Letters and marks are separate pieces.
             coded = self[chunk[:-1]] + self[chunk[-1]]
         else:
             coded = self._bytes(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
@@ -85,37 +95,36 @@ class ChunkEncoder(dict):
             out.byteswap()
         return out.tobytes()
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text as bytes."""
-        blanks, known = str.maketrans("\t\n\r", "   "), self.__getitem__
-        for text in texts:
-            yield b"".join(map(known, (text or "").translate(blanks).split(" ")))
+    def encode(self, text: str | None) -> bytes:
+        """The ids of a text as bytes."""
+        flat = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        return b"".join(map(self.__getitem__, flat.split(" ")))
 
 
-def _encoder(path: str, dtype: str) -> ChunkEncoder:
-    if (path, dtype) not in _encoders:
-        _encoders[path, dtype] = ChunkEncoder(path, dtype)
-    return _encoders[path, dtype]
+def _encoder(*made_of) -> ChunkEncoder:
+    if made_of not in _encoders:
+        _encoders.clear()
+        _encoders[made_of] = ChunkEncoder(*made_of)
+    return _encoders[made_of]
 
 
-def _put(folder: str, name: str, parts: list[bytes]) -> None:
-    """A whole file or none: a task that is run again writes the same bytes."""
+@contextmanager
+def _whole_file(folder: str, name: str) -> Iterator[IO[bytes]]:
+    """A file to write that appears whole or not at all: a task that is run again writes the same bytes."""
+    passing = f".{name}-{uuid.uuid4().hex}"
     if (local := local_path(folder)) is not None:
         os.makedirs(local, exist_ok=True)
-        passing = f"{local}/.{name}-{uuid.uuid4().hex}"
-        with open(passing, "wb") as out:
-            out.writelines(parts)
-        os.replace(passing, f"{local}/{name}")
+        with open(f"{local}/{passing}", "wb") as out:
+            yield out
+        os.replace(f"{local}/{passing}", f"{local}/{name}")
         return
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(folder)
     store.create_dir(path, recursive=True)
-    passing = f"{path}/.{name}-{uuid.uuid4().hex}"
-    with store.open_output_stream(passing) as out:
-        for part in parts:
-            out.write(part)
-    store.move(passing, f"{path}/{name}")
+    with store.open_output_stream(f"{path}/{passing}") as out:
+        yield out
+    store.move(f"{path}/{passing}", f"{path}/{name}")
 
 
 def _get(folder: str, name: str, dtype: str) -> np.ndarray:
@@ -130,40 +139,58 @@ def _get(folder: str, name: str, dtype: str) -> np.ndarray:
         return np.frombuffer(file.read(), dtype=dtype)
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, vocab_size: int) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, end_id: int, width: str, names_as_text: bool = False) -> DataFrame:
+    """(doc_id, tie, ids) of each document, where it lies; ``ids`` are bytes and end with ``end_id``."""
+    file = os.path.basename(tokenizer_path)
+    docs.sparkSession.sparkContext.addFile(tokenizer_path)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, end = _encoder(SparkFiles.get(file), width, names_as_text), np.asarray([end_id], width).tobytes()
+        for batch in batches:
+            for first, texts in text_runs(batch.column("text")):
+                ids = pa.array([encoder.encode(t) + end for t in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(first, len(texts)) for c in ("doc_id", "tie")] + [ids], ["doc_id", "tie", "ids"])
+
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("string").alias("text"))
+    return plain.mapInArrow(code, "doc_id long, tie long, ids binary")
+
+
+def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, vocab_size: int, names_as_text: bool = False) -> DataFrame:
     """Encode and write all documents in order of ``doc_id``; returns the shards.
 
-    The result has a row per shard: shard, name, n_docs, n_tokens, base,
-    doc_base. It is small (a row per partition) and made by one action.
+    The result has a row per shard: shard, name, n_docs, n_tokens, n_null (its
+    first documents, whose id is null), base, doc_base. It is small (a row per partition) and made by one action.
     """
     width = "<u2" if max(vocab_size, end_id + 1) <= 1 << 16 else "<u4"
+    scratch, size = Scratch(docs.sparkSession, "token-files"), np.dtype(width).itemsize
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = _encoder(tokenizer_path, width), np.asarray([end_id], width).tobytes()
-        size, parts, lengths, ids = np.dtype(width).itemsize, [], [], []
-        for rows in batches:
-            for coded in encoder.encode(rows["text"].tolist()):
-                parts += (coded, end)
-                lengths.append(len(coded) // size + 1)
-            ids.append(np.where(rows["none"], NULL_ID, rows["doc_id"]).astype("<i8"))
-        if not lengths:
-            return
-        part = TaskContext.get().partitionId()
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n, at, nulls = TaskContext.get().partitionId(), 0, 0, 0
         name = f"{part:06d}"
-        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype("<i8")
-        _put(folder, f"{name}.ids", parts)
-        _put(folder, f"{name}.off", [offsets.tobytes()])
-        _put(folder, f"{name}.doc", [np.concatenate(ids).tobytes()])
-        yield pd.DataFrame({"shard": [part], "name": [name], "n_docs": [len(lengths)], "n_tokens": [int(offsets[-1])]})
-
-    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    plain = ordered.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.isnull("doc_id").alias("none"), "text")
-    found = plain.mapInPandas(write, "shard int, name string, n_docs long, n_tokens long").collect()
+        batches = (b for b in batches if b.num_rows)
+        if (batch := next(batches, None)) is None:
+            return
+        with _whole_file(folder, f"{name}.ids") as ids, _whole_file(folder, f"{name}.off") as off, _whole_file(folder, f"{name}.doc") as doc:
+            off.write(np.zeros(1, "<i8").tobytes())
+            while batch is not None:
+                for x in batch.column("ids"):
+                    ids.write(x.as_buffer())
+                ends = at + np.cumsum(pa.compute.binary_length(batch.column("ids")).to_numpy()) // size
+                off.write(ends.astype("<i8").tobytes())
+                doc.write(pa.compute.fill_null(batch.column("doc_id"), NULL_ID).to_numpy().astype("<i8").tobytes())
+                nulls += batch.column("doc_id").null_count
+                n, at, batch = n + batch.num_rows, int(ends[-1]), next(batches, None)
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int32()), "name": [name], "n_docs": [n], "n_tokens": [at], "n_null": [nulls]})
+
+    coded = scratch.table(encode(docs, tokenizer_path, end_id, width, names_as_text), "ids")
+    ordered = coded.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
+    found = ordered.mapInArrow(write, "shard int, name string, n_docs long, n_tokens long, n_null long").collect()
+    scratch.clear()
     base, doc_base, shards = 0, 0, []
     for row in sorted(found, key=lambda r: r["shard"]):
-        shards.append((row["shard"], row["name"], row["n_docs"], row["n_tokens"], base, doc_base))
+        shards.append((row["shard"], row["name"], row["n_docs"], row["n_tokens"], row["n_null"], base, doc_base))
         base, doc_base = base + row["n_tokens"], doc_base + row["n_docs"]
-    schema = "shard int, name string, n_docs long, n_tokens long, base long, doc_base long"
+    schema = "shard int, name string, n_docs long, n_tokens long, n_null long, base long, doc_base long"
     return docs.sparkSession.createDataFrame(shards, schema).withColumn("width", F.lit(width))
 
 
@@ -178,13 +205,13 @@ def read_token_files(shards: DataFrame, folder: str) -> DataFrame:
                     own, cut = np.asarray(doc[at : at + 4096]), np.asarray(off[at : at + 4097])
                     wide = np.asarray(ids[cut[0] : cut[-1]]).astype("<u4")
                     crc = [zlib.crc32(wide[a:b]) for a, b in zip(cut[:-1] - cut[0], cut[1:] - cut[0], strict=True)]
-                    yield pd.DataFrame({"doc_id": pd.Series(own).astype("Int64").mask(own == NULL_ID), "start": shard.base + cut[:-1], "n_tokens": np.diff(cut), "ids_crc32": crc, "shard": shard.shard})
+                    yield pd.DataFrame({"doc_id": pd.Series(own).astype("Int64").mask(np.arange(at, at + len(own)) < shard.n_null), "start": shard.base + cut[:-1], "n_tokens": np.diff(cut), "ids_crc32": crc, "shard": shard.shard})
 
     spread = shards.repartition(max(1, min(shards.count(), 100_000)), "shard") if shards.take(1) else shards
     return spread.mapInPandas(read, READ_SCHEMA)
 
 
-def op3_token_files(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 2, vocab_size: int = 49_408) -> DataFrame:
+def op3_token_files(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 2, vocab_size: int = 49_408, names_as_text: bool = False) -> DataFrame:
     """Write the documents' token files into the shared folder and read them back."""
     folder = fresh_dir(spark, "token-files")
-    return read_token_files(write_token_files(docs, folder, tokenizer_path, end_id, vocab_size), folder)
+    return read_token_files(write_token_files(docs, folder, tokenizer_path, end_id, vocab_size, names_as_text), folder)

@@ -11,7 +11,7 @@ Words are what stands between blanks; each is counted in its UTF-8 bytes, so a
 vocabulary that has every byte covers every word. Counts of words are kept per
 worker in a bounded memory. Defined results: a null or empty text has no words
 and no tokens; a word that can't be matched counts as one unknown token; null
-and repeated ids pass through; other columns are dropped by the query only.
+and repeated ids pass through; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -23,6 +23,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.byte_bpe import read_ranks
+from tessera.llm.common import BLANKS
+
 REMEMBERED = 400_000
 
 
@@ -87,31 +90,34 @@ def word_vocabulary(ranks: Iterable[bytes]) -> tuple[set[bytes], set[bytes]]:
     return {e[1:] for e in entries if e[:1] == b" " and len(e) > 1} | single, {e for e in entries if not e.startswith(b" ")} | single
 
 
-_made: dict[str, tuple[Automaton, dict[str, int]]] = {}
-
+_made: dict[int, tuple[Automaton, dict[str, int]]] = {}
 
-def _from_ranks(path: str) -> tuple[Automaton, dict[str, int]]:
-    if path not in _made:
-        import base64
 
-        with open(path, "rb") as lines:
-            _made[path] = Automaton(*word_vocabulary(base64.b64decode(line.split()[0]) for line in lines)), {}
-    return _made[path]
+def _from_entries(entries: list[bytes]) -> tuple[Automaton, dict[str, int]]:
+    """This worker's automaton and what it has counted, made once for each vocabulary."""
+    key = hash(tuple(entries))
+    if key not in _made:
+        _made.clear()
+        _made[key] = Automaton(*word_vocabulary(entries)), {}
+    return _made[key]
 
 
 SCHEMA = "doc_id long, n_words long, n_tokens long, n_unknown long, max_word_tokens long"
 
 
 def count_tokens(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """Words and greedy pieces of each whole text."""
+    """Words and greedy pieces of each whole text; the vocabulary file is read on the driver and shipped."""
+    entries = docs.sparkSession.sparkContext.broadcast(list(read_ranks(ranks_path)))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton, known = _from_ranks(ranks_path)
+        automaton, known = _from_entries(entries.value)
         blanks = str.maketrans("\t\n\x0b\x0c\r", "     ")
         for rows in batches:
             out = []
             for text in rows["text"]:
-                found = [w for w in (text or "").translate(blanks).split(" ") if w]
+                for blank in BLANKS:
+                    text = text.replace(blank, " ")
+                found = list(filter(None, text.split(" ")))
                 for word in set(found).difference(known):
                     if len(known) >= REMEMBERED:
                         known.clear()
@@ -125,4 +131,4 @@ def count_tokens(docs: DataFrame, ranks_path: str) -> DataFrame:
             frame.insert(0, "doc_id", rows["doc_id"].astype("Int64").to_numpy())
             yield frame
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(count, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInPandas(count, SCHEMA)

@@ -128,12 +128,13 @@ def test_media_digest(spark, odd, nothing):
 # ---- 3 token files
 
 
-def test_token_files(spark, odd, nothing, tmp_path):
+@pytest.mark.parametrize("names_as_text", [False, True])
+def test_token_files(spark, odd, nothing, names_as_text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORD_BPE)
-    t.encode_special_tokens = True
-    got = rows_of(token_files.op3_token_files(spark, odd, WORD_BPE))
+    t.encode_special_tokens = names_as_text
+    got = rows_of(token_files.op3_token_files(spark, odd, WORD_BPE, names_as_text=names_as_text))
     got.sort(key=lambda r: r["start"])
     assert [r["doc_id"] for r in got] == [None, 0, 1, 2, 3, 3, *range(4, len(ODD))]
     start = 0
@@ -145,6 +146,17 @@ def test_token_files(spark, odd, nothing, tmp_path):
     assert token_files.op3_token_files(spark, nothing, WORD_BPE).count() == 0
 
 
+def test_token_files_special_names_long_texts_and_least_id(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(WORD_BPE)
+    texts = ["a <|endoftext|> b", "x<|startoftext|>y", "<|ENDOFTEXT|>", "\u00dcber\u00df, na\u00efve. \u039f\u0394\u039f\u03a3. \u0130x, e\u0301t\u0301e\u0301.", "lorem ipsum, " * 100_000 + "z" * 50_000]
+    rows = [(np.iinfo(np.int64).min + k, x) for k, x in enumerate(texts)]
+    got = sorted(rows_of(token_files.op3_token_files(spark, spark.createDataFrame(rows, "doc_id long, text string"), WORD_BPE)), key=lambda r: r["start"])
+    want = [np.array([*t.encode(x, add_special_tokens=False).ids, 2], "<u4") for x in texts]
+    assert [(r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got] == [(i, len(w), zlib.crc32(w.tobytes())) for (i, _), w in zip(rows, want, strict=True)]
+
+
 # ---- 4 decision list
 
 
@@ -324,17 +336,33 @@ def tiktoken_encoding():
 @settings(max_examples=50, deadline=None)
 @given(st.binary(min_size=1, max_size=300))
 def test_heap_merge_matches(tiktoken_encoding, piece):
-    assert byte_bpe.merge_long(piece, tiktoken_encoding._mergeable_ranks) == tiktoken_encoding._core_bpe.encode_single_piece(piece)
+    assert byte_bpe.merge(piece, tiktoken_encoding._mergeable_ranks) == tiktoken_encoding._core_bpe.encode_single_piece(piece)
 
 
 def test_byte_bpe(spark, odd, nothing, tiktoken_encoding):
-    for remembered in (1 << 12, 1 << 4):
-        for r in rows_of(byte_bpe.digest(byte_bpe.encode(odd, RANKS, public_tokenizers.PATTERN, remembered))):
+    for form in (byte_bpe.encode, byte_bpe.encode_by_columns):
+        for r in rows_of(byte_bpe.digest(form(odd, RANKS, public_tokenizers.PATTERN))):
             text = "no id" if r["doc_id"] is None else ODD[r["doc_id"]] or ""
             ids = tiktoken_encoding.encode_ordinary(text)
             assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()), text[:40]
             assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
-    assert byte_bpe.encode(nothing, RANKS, public_tokenizers.PATTERN, 16).count() == 0
+    assert byte_bpe.encode(nothing, RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_byte_bpe_long_texts_and_full_memory(spark, tiktoken_encoding, monkeypatch):
+    rng = random.Random(8)
+    text = "z" * 200_000 + " " + "".join(rng.choices("abcdefgh .,\n\u00e9", k=300_000)) + " " * 5000 + "end"
+    coder = byte_bpe.PieceCoder(byte_bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    monkeypatch.setattr(byte_bpe, "KEPT_PIECES", 64)
+    ids = np.array(tiktoken_encoding.encode_ordinary(text), "<u4").tobytes()
+    assert coder.encode(text) == ids and coder.decode(ids) == text.encode() and len(coder) <= 65
+
+
+def test_pattern_classes_agree_on_all_code_points(tiktoken_encoding):
+    coder = byte_bpe.PieceCoder(byte_bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    for at in range(0, 0x110000, 4096):
+        text = "".join(f"a{c}1{c} {c}a" for c in map(chr, range(at, at + 4096)) if not 0xD800 <= ord(c) < 0xE000)
+        assert np.frombuffer(coder.encode(text), "<u4").tolist() == tiktoken_encoding.encode_ordinary(text)
 
 
 # ---- 9 n-gram Jaccard join
