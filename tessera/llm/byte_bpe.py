@@ -116,8 +116,8 @@ def coder_of(ranks: dict[bytes, int], pattern: str) -> PieceCoder:
     return _coders[key]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """A row per document: number of ids, the ids and the decoded bytes (binary)."""
+def encode(docs: DataFrame, ranks_path: str, pattern: str, parts: tuple[str, ...] = ("n_tokens", "ids", "bytes")) -> DataFrame:
+    """A row per document: number of ids, the ids and the decoded bytes (binary), or some of these."""
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,10 +125,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         for batch in batches:
             for first, texts in text_runs(batch.column("text")):
                 ids = [coder.encode(t or "") for t in texts]
-                columns = [batch.column("doc_id").slice(first, len(texts)), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([coder.decode(x) for x in ids], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "bytes"])
+                made = {"n_tokens": lambda: pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": lambda: pa.array(ids, pa.binary()), "bytes": lambda: pa.array([coder.decode(x) for x in ids], pa.binary())}  # noqa: B023
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)), *(made[c]() for c in parts)], ["doc_id", *parts])
 
-    return docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(code, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary, bytes binary")
+    kinds = {"n_tokens": "long", "ids": "binary", "bytes": "binary"}
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{c} {kinds[c]}" for c in parts)
+    return docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(code, schema)
 
 
 def pieces(text: Column, pattern: str) -> Column:

@@ -111,7 +111,6 @@ def count_tokens(docs: DataFrame, ranks_path: str) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton, known = _from_entries(entries.value)
-        blanks = str.maketrans("\t\n\x0b\x0c\r", "     ")
         for rows in batches:
             out = []
             for text in rows["text"]:

@@ -411,35 +411,87 @@ def test_jaccard_components(spark, odd, nothing):
 # ---- 10 packing
 
 
-def test_pack_block_fits_and_shrinks():
-    rng = np.random.default_rng(0)
-    lengths = rng.integers(1, 4097, 500)
-    bins, fill, size = packing.pack_block(lengths, packing.LENGTHS)
-    assert (np.bincount(bins, lengths).astype(int) == fill).all()
-    sizes = sorted(packing.LENGTHS)
-    assert all(s == next(c for c in sizes if c >= f) for f, s in zip(fill, size, strict=True))
-    assert sum(fill) / sum(size) > 0.9
-
-
-def test_packing_rows(spark, odd, nothing):
-    got = rows_of(packing.best_fit_pack(odd, packing.word_tokens(F.col("text"))))
+def plain_best_fit(lengths, costs):
+    """Piece by piece: the fullest bin that has room, or a new one of the least cost per usable token."""
+    rooms, sizes, fills, left = [], [], [], sum(lengths)
+    for need in sorted(lengths, reverse=True):
+        fits = [b for b, room in enumerate(rooms) if room >= need]
+        if fits:
+            b = min(fits, key=lambda b: (rooms[b], sizes[b]))
+        else:
+            b = len(rooms)
+            rooms.append(min((c for c in costs if c >= need), key=lambda c: (costs[c] / min(c, left), c)))
+            sizes.append(rooms[b])
+            fills.append([])
+        rooms[b] -= need
+        fills[b].append(need)
+        left -= need
+    return sorted(min(c for c in costs if c >= sum(f)) for f in fills), sorted(map(sum, fills))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=120), st.sampled_from([{10: 10.0, 20: 25.0, 40: 60.0}, {40: 1.0, 20: 1.0}, {7: 9.0, 40: 40.0}]))
+def test_classes_are_best_fit(lengths, costs):
+    bins = packing.pack_lengths(collections.Counter(lengths), costs)
+    got = collections.Counter(n for b in bins for n, k in b.content for _ in range(k * b.times))
+    assert got == collections.Counter(lengths)
+    fills = sorted(sum(n * k for n, k in b.content) for b in bins for _ in range(b.times))
+    assert (sorted(b.capacity for b in bins for _ in range(b.times)), fills) == plain_best_fit(lengths, costs)
+
+
+def check_bins(got):
     by_bin = collections.defaultdict(list)
     for r in got:
         by_bin[r["bin_id"]].append(r)
     for rows in by_bin.values():
         rows.sort(key=lambda r: r["bin_pos"])
         at = 0
-        for r in rows:
-            assert r["bin_offset"] == at
+        for k, r in enumerate(rows):
+            assert (r["bin_pos"], r["bin_offset"]) == (k, at)
             at += r["piece_tokens"]
         assert at == rows[0]["bin_tokens"] <= rows[0]["bin_capacity"]
-    assert sum(r["piece_tokens"] for r in got if r["doc_id"] == 13) == 2001
-    long = spark.createDataFrame([(1, None), (2, 10_000), (3, -4)], "doc_id long, n long")
+    return sorted(rows[0]["bin_capacity"] for rows in by_bin.values()), sorted(rows[0]["bin_tokens"] for rows in by_bin.values())
+
+
+def test_packing_rows(spark, odd, nothing):
+    long = spark.createDataFrame([(1, None, "x"), (2, 10_000, "x"), (3, -4, "x"), (3, -4, "x"), (None, 7, "x")], "doc_id long, n long, bin_id string")
     pieces = rows_of(packing.best_fit_pack(long, F.col("n")))
-    assert sorted(r["piece_tokens"] for r in pieces if r["doc_id"] == 2) == [1808, 4096, 4096]
+    assert sorted(r["piece_tokens"] for r in pieces if r["doc_id"] == 2) == [1808, 4096, 4096] and len(pieces) == 7
+    assert check_bins(pieces) == plain_best_fit([1, 4096, 4096, 1808, 1, 1, 7], packing.LENGTHS)
     assert packing.best_fit_pack(nothing, F.lit(1)).count() == 0
 
 
+def test_packing_does_not_depend_on_files(spark):
+    rng = random.Random(10)
+    rows = [(i if i % 5 else None, rng.choice([1, 3, 300, 511, 512, 513, 4000, 5000, rng.randrange(1, 9000)])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, n long")
+    got = [rows_of(packing.best_fit_pack(d, F.col("n"))) for d in (df.repartition(7), df.coalesce(1))]
+    key = lambda rows: sorted((str(r["doc_id"]), *list(r.values())[1:]) for r in rows)
+    assert key(got[0]) == key(got[1])
+    lengths = [min(4096, n - k) for _, n in rows for k in range(0, n, 4096)]
+    assert check_bins(got[0]) == plain_best_fit(lengths, packing.LENGTHS)
+
+
+def test_sequences_hold_all_tokens(spark, odd, tiktoken_encoding):
+    coded = byte_bpe.encode(odd, RANKS, public_tokenizers.PATTERN)
+    want = collections.Counter()
+    for r in odd.collect():
+        want[(r.doc_id, tuple(tiktoken_encoding.encode_ordinary(r.text or "")) + (50256,))] += 1
+    pieces = collections.defaultdict(list)
+    for r in rows_of(packing.sequences(coded, 50256, {64: 64.0, 256: 300.0})):
+        ids = np.frombuffer(r["tokens"], "<u4").tolist()
+        assert len(ids) <= r["capacity"] and [p["offset"] for p in r["pieces"]][0] == 0
+        cuts = [p["offset"] for p in r["pieces"]] + [len(ids)]
+        for p, a, b in zip(r["pieces"], cuts, cuts[1:]):
+            pieces[p["doc_id"], p["piece"]].append(tuple(ids[a:b]))
+    got = collections.Counter()
+    for doc_id in {d for d, _ in pieces}:
+        parts = [pieces[doc_id, k] for k in range(max(k for d, k in pieces if d == doc_id) + 1)]
+        for whole in zip(*parts) if doc_id != 3 else [tuple(p[:1][0] for p in parts)] * 2:
+            got[(doc_id, sum(whole, ()))] += 1
+    assert got == want
+
+
 def test_jaccard_rows_of_one_id_are_one_document(spark):
     a, b, c, d = ("red fox runs far off", "blue owl sits still here now", "one two three four five six", "other words in this last text")
     rows = [(3, a), (7, a), (7, b), (9, b), (7, None), (20, c), (12, c), (12, d), (11, d), (30, a + " x"), (30, "lone"), (40, ""), (50, "alone here"), (50, "")]
