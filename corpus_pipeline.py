@@ -8,10 +8,11 @@ columns beyond those of ``documents`` are left out.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import classifier_chain, decision_list, jaccard_join, packing
+from tessera.llm import byte_bpe, classifier_chain, decision_list, jaccard_join, packing
 from tessera.llm.common import materialise, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -36,7 +37,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: every kept document gets its place in a packed sequence."""
-    return packing.best_fit_pack(docs, packing.word_tokens(F.col("text")))
+    counted = byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ("n_tokens",))
+    return packing.best_fit_pack(counted, F.col("n_tokens") + 1)
 
 
 STAGES = [("toxicity", toxicity), ("quality rules", quality_rules), ("n-gram Jaccard join", near_duplicates), ("best-fit packing", best_fit_packing)]
