@@ -4,24 +4,28 @@ The categories have an order. The model of each sees the text's features and
 the probabilities of the categories before it. While it is trained, these
 probabilities come from models that haven't seen the row (out-of-fold
 predictions), so a later link doesn't trust earlier ones more than they merit.
+The last category is the verdict: what the chain says of the earlier ones is
+part of its input.
 
 Features are the presence of lower-case words, of their first four to seven
 characters, and a few marks of style; what counts is whether something occurs
 in the whole text, not how often, so one insult in a long text counts as much
 as in a short one. Training uses at most ``max_per_class`` labelled documents
 of each verdict (a bound of the classifier alone; chosen by hash of the id). The
-vocabulary is chosen on them by a distributed count and holds at most
-``max_features``; weights are broadcast, and their size is bounded by that.
-
-Defined results: a null text has no words; null labels are left out, of
-repeated ones the greatest counts; without labels of both kinds every
-probability is 0 and nothing is toxic; other columns pass through ``score``.
+vocabulary is chosen on them by a distributed count and a test of significance;
+as the sample is bounded, so are the vocabulary and the weights, which are broadcast.
+
+Defined results: a null text has no words; rows without a verdict are left out,
+of repeated ones the greatest of each label counts; a null label of an earlier
+category is no; without labels of both kinds every probability is 0 and nothing
+is toxic; other columns pass through ``score``, but those that it adds replace
+input columns of their names.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,7 +34,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHAIN = ("toxic", "toxic_junk", "toxic_prose")
+from tessera.llm.common import free_name
+
+#: The categories that the tables' labels tell apart, in order, as conditions on labels: toxic junk, toxic prose, toxic.
+CHAIN = {"toxic_junk": "toxic > 0 AND quality = 0", "toxic_prose": "toxic > 0 AND quality = 1", "toxic": "toxic > 0"}
 WORD = re.compile(r"[^\W\d_]+")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 
@@ -87,16 +94,16 @@ def fit_linear(row: np.ndarray, col: np.ndarray, dense: np.ndarray, y: np.ndarra
     return w
 
 
-def fit_chain(known: dict[str, int], rows: list[set], labels: np.ndarray, fold: np.ndarray, allowed: np.ndarray, names: tuple[str, ...] = CHAIN, false_alarms: float = 0.001) -> Chain:
-    """All links, and a threshold for the first category.
+def fit_chain(known: dict[str, int], rows: list[set], labels: np.ndarray, fold: np.ndarray, allowed: np.ndarray, names: tuple[str, ...] = tuple(CHAIN), false_alarms: float = 0.001) -> Chain:
+    """All links, and a threshold for the last category, the verdict.
 
     ``allowed`` says which features the models of each fold may see (those that
     were chosen without its rows), and, in its last row, which the final ones
     may. The threshold is the least at which no more than ``false_alarms`` of
-    the clean rows are taken for toxic by models that haven't seen them.
+    the clean rows are taken for toxic by chains that haven't seen them.
     """
     chain, n = Chain(names, known), len(known)
-    if not len(rows) or labels[:, 0].min() == labels[:, 0].max():
+    if not len(rows) or labels[:, -1].min() == labels[:, -1].max():
         return chain
     row, col = _pairs(rows)
     unseen = np.zeros((len(rows), len(names)))
@@ -110,29 +117,30 @@ def fit_chain(known: dict[str, int], rows: list[set], labels: np.ndarray, fold:
             unseen[out, k] = _sigmoid(all_z[out])
         may = allowed[-1][col]
         chain.weights.append(fit_linear(row[may], col[may], dense, y, n))
-    clean = np.sort(unseen[labels[:, 0] == 0, 0])[::-1]
+    clean = np.sort(unseen[labels[:, -1] == 0, -1])[::-1]
     chain.threshold = float(max(0.5, clean[int(false_alarms * len(clean))] + 1e-6))
     return chain
 
 
-def train(documents: DataFrame, labels: DataFrame, max_per_class: int = 4096, max_features: int = 30_000, folds: int = 3, least_z: float = 4.0) -> Chain:
-    """The chain for the label columns ``toxic`` and ``quality``.
+def train(documents: DataFrame, labels: DataFrame, categories: Mapping[str, str] = CHAIN, max_per_class: int = 4096, folds: int = 3, least_z: float = 4.0) -> Chain:
+    """The chain for ``categories``: names and conditions on the label columns, the verdict last.
 
-    Categories: toxic; toxic and of low quality; toxic and of good quality.
-    A feature is chosen if its share of toxic documents is ``least_z`` standard
-    errors (less one document) from that of the sample.
+    A feature is chosen if its share of documents with the verdict is ``least_z``
+    standard errors (less one document) from that of the sample.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"), F.max("quality").alias("_quality"))
-    some = [known.where((F.col("_toxic") > 0) == on).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class) for on in (True, False)]
+    names, columns = tuple(categories), [c for c in labels.columns if c != "doc_id"]
+    known = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*(F.max(c).alias(c) for c in columns))
+    known = known.select("doc_id", *(F.expr(rule).alias(f"_{k}") for k, rule in enumerate(categories.values()))).withColumnRenamed(f"_{len(names) - 1}", "_on").where("_on IS NOT NULL")
+    some = [known.where(F.col("_on") == on).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class) for on in (True, False)]
     picked = some[0].union(some[1]).withColumn("_fold", F.pmod(F.xxhash64("doc_id"), F.lit(folds)).cast("int"))
-    sizes = {(r["_fold"], r["on"]): r["n"] for r in picked.groupBy("_fold", (F.col("_toxic") > 0).alias("on")).agg(F.count("*").alias("n")).collect()}
+    sizes = {(r["_fold"], r["_on"]): r["n"] for r in picked.groupBy("_fold", "_on").agg(F.count("*").alias("n")).collect()}
     sample = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def parts(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: sorted(features_of(t)))
 
-    seen = sample.select(F.explode(parts("text")).alias("feature"), (F.col("_toxic") > 0).cast("long").alias("on"), "_fold")
+    seen = sample.select(F.explode(parts("text")).alias("feature"), F.col("_on").cast("long").alias("on"), "_fold")
     # For each fold what the others say of a feature, and in the end what all say.
     views = [F.col("_fold") != f for f in range(folds)] + [F.lit(True)]
     counts = seen.groupBy("feature").agg(*(F.sum(F.when(v, F.col("on")).otherwise(0)).alias(f"h{k}") for k, v in enumerate(views)), *(F.count_if(v).alias(f"n{k}") for k, v in enumerate(views)))
@@ -145,7 +153,7 @@ def train(documents: DataFrame, labels: DataFrame, max_per_class: int = 4096, ma
 
     chosen = counts.select("feature", *(z(k).alias(f"z{k}") for k in range(folds + 1)))
     top = F.greatest(*(F.col(f"z{k}") for k in range(folds + 1)))
-    best = chosen.where(top >= least_z).orderBy(top.desc(), "feature").limit(max_features).collect()
+    best = chosen.where(top >= least_z).orderBy(top.desc(), "feature").collect()
     number = {r["feature"]: k for k, r in enumerate(best)}
     allowed = np.array([[r[f"z{k}"] >= least_z for r in best] for k in range(folds + 1)], bool).reshape(folds + 1, len(best))
     bound = documents.sparkSession.sparkContext.broadcast(number)
@@ -154,14 +162,15 @@ def train(documents: DataFrame, labels: DataFrame, max_per_class: int = 4096, ma
     def numbers(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: sorted(features_of(t, bound.value)))
 
-    rows = sample.select("doc_id", "_toxic", "_quality", "_fold", numbers("text").alias("x")).collect()
+    marks = [f"_{k}" for k in range(len(names) - 1)] + ["_on"]
+    rows = sample.select("doc_id", *marks, "_fold", numbers("text").alias("x")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
-    y = np.array([[r["_toxic"] > 0, r["_toxic"] > 0 and r["_quality"] == 0, r["_toxic"] > 0 and r["_quality"] == 1] for r in rows], int).reshape(-1, 3)
-    return fit_chain(number, [set(r["x"]) for r in rows], y, np.array([r["_fold"] for r in rows], int), allowed)
+    y = np.array([[bool(r[m]) for m in marks] for r in rows], int).reshape(-1, len(names))
+    return fit_chain(number, [set(r["x"]) for r in rows], y, np.array([r["_fold"] for r in rows], int), allowed, names)
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
-    """Adds ``p_<category>`` for each category and ``toxic``."""
+    """Adds ``p_<category>`` for each category and ``toxic``, the chain's verdict."""
     bound = docs.sparkSession.sparkContext.broadcast(chain)
     schema = T.StructType([T.StructField(f"p_{name}", T.DoubleType()) for name in chain.names] + [T.StructField("toxic", T.BooleanType())])
 
@@ -170,11 +179,11 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
         own = bound.value
         for batch in texts:
             p = own.probabilities([features_of(t, own.known) for t in batch])
-            yield pd.DataFrame({f"p_{n}": p[:, k] for k, n in enumerate(own.names)} | {"toxic": p[:, 0] >= own.threshold if own.weights else np.zeros(len(p), bool)})
+            yield pd.DataFrame({f"p_{n}": p[:, k] for k, n in enumerate(own.names)} | {"toxic": p[:, -1] >= own.threshold if own.weights else np.zeros(len(p), bool)})
 
-    added = {"_judged": judge(F.coalesce(F.col("text").cast("string"), F.lit("")))}
-    clash = {f.name for f in schema}
-    return docs.withColumns(added).select(*(c for c in docs.columns if c not in clash), "_judged.*")
+    clash, judged = {f.name for f in schema}, free_name(docs, "judged")
+    own = [c for c in docs.columns if c not in clash]
+    return docs.select(*own, judge(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias(judged)).select(*own, f"{judged}.*")
 
 
 def is_toxic() -> Column:

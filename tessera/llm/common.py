@@ -33,6 +33,13 @@ def words(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(flat, " "), ""), F.array().cast("array<string>"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def window_hash(w: Column, i: Column, size: int) -> Column:
     """The 64-bit hash of ``size`` array elements from ``i`` (from 0) on.
 

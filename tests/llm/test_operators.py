@@ -218,6 +218,32 @@ def test_chain_learns_and_handles_odd_rows(spark, odd, nothing):
     assert not any(r.toxic for r in classifier_chain.score(d.limit(5), none).collect())
 
 
+def test_chain_verdict_uses_earlier_links():
+    # Two features say a category each; the verdict is either of them, and its own features are switched off.
+    rng = np.random.default_rng(5)
+    x = rng.random((600, 2)) < 0.3
+    rows = [set(np.flatnonzero(r)) for r in x]
+    y = np.stack([x[:, 0], x[:, 1], x.any(1)], 1).astype(int)
+    fold = np.arange(600) % 3
+    chain = classifier_chain.fit_chain({"a": 0, "b": 1}, rows, y, fold, np.ones((4, 2), bool), ("insult", "threat", "toxic"))
+    assert ((chain.probabilities(rows)[:, -1] >= chain.threshold) == x.any(1)).all()
+    blind = classifier_chain.Chain(chain.names, chain.known, [w.copy() for w in chain.weights], chain.threshold)
+    blind.weights[-1][:2] = 0
+    p = blind.probabilities(rows)[:, -1]
+    assert p[x.any(1)].min() > p[~x.any(1)].max()
+
+
+def test_chain_takes_any_categories_and_clashing_columns(spark):
+    docs = [(i, ("you scum " if i % 4 == 0 else "i will hurt " if i % 4 == 1 else "a fine day ") + f"w{i}", "x") for i in range(400)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, judged string")
+    labels = spark.createDataFrame([(i, i % 4 == 0, i % 4 == 1) for i in range(300)], "doc_id long, insult boolean, threat boolean")
+    chain = classifier_chain.train(d, labels, {"insult": "insult", "threat": "threat", "toxic": "insult OR threat"})
+    got = {r.doc_id: r for r in classifier_chain.score(d, chain).collect()}
+    assert all(r.toxic == (i % 4 < 2) and (r.p_insult > 0.5) == (i % 4 == 0) and (r.p_threat > 0.5) == (i % 4 == 1) and r.judged == "x" for i, r in got.items())
+    long = spark.createDataFrame([(1, "lorem ipsum " * 200_000 + "you scum"), (2, "lorem ipsum " * 200_000 + "a fine day")], "doc_id long, text string")
+    assert {r.doc_id: r.toxic for r in classifier_chain.score(long, chain).collect()} == {1: True, 2: False}
+
+
 # ---- 6 url filter
 
 
