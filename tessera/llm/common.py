@@ -81,7 +81,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def _write(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

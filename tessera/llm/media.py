@@ -1,7 +1,10 @@
 """Media columns: texts or samples as lossless WebP, and pixels back from it.
 
 ``write_media`` stores a payload as grey images of ``WIDTH`` columns, end to end
-if one image (16,384 rows) doesn't hold it. ``read_media`` decodes stored bytes,
+if one image (16,384 rows, the format's most) doesn't hold it. What the format
+offers is used as the content asks: few values are bundled by a palette, samples
+that follow their neighbours go through a predictor, long repeats become
+back-references. ``read_media`` decodes stored bytes,
 ours or any lossless WebP, and writes pixel arrays: width, height, channels
 (1 for grey, 4 for ARGB) and the samples row by row.
 
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.webp import MAX_SIDE, decode_webp, encode_grey
+from tessera.llm.webp import MAX_SIDE, decode_webp, encode_grey, plan_grey
 
 WIDTH = 192
 PIXELS = "struct<width:int,height:int,channels:int,pixels:binary,error:string>"
@@ -38,9 +41,10 @@ def payload_of(text: str | None, width: int = WIDTH) -> bytes:
 
 
 def store(payload: bytes, width: int = WIDTH) -> bytes:
-    """A payload as one or more WebP files, end to end."""
+    """A payload as one or more WebP files, end to end; each is stored as its content asks (``plan_grey``)."""
     samples, most = np.frombuffer(payload, np.uint8), width * MAX_SIDE
-    return b"".join(encode_grey(samples[at : at + most], width) for at in range(0, len(samples), most))
+    parts = (samples[at : at + most] for at in range(0, len(samples), most))
+    return b"".join(encode_grey(part, width, **plan_grey(part, width)) for part in parts)
 
 
 def files_of(media: bytes) -> Iterator[bytes]:

@@ -215,18 +215,20 @@ def _one_channel(bits: Bits, codes: list[PrefixCode], width: int, height: int) -
     two = np.zeros(one.size, np.uint8)
     np.add(one[:-64], one[place + one[:-64]], out=two[:-64])
     four = two[:-64] + two[place + two[:-64]]
-    steps, base, out, got = four.tobytes(), bits.at & ~7, [], 0
+    steps, base, out, got, many = four.tobytes(), bits.at & ~7, np.zeros(n, np.uint32), 0, 1 << 20
     try:
         while got < n:
-            quarter = np.fromiter(accumulate(range((n - got - 1) // 4), lambda p, _: p + steps[p], initial=bits.at - base), np.int64)
+            # After a reference the next one may be near: look a little ahead, then farther.
+            ask = min(n - got, 4 * many)
+            quarter = np.fromiter(accumulate(range((ask - 1) // 4), lambda p, _: p + steps[p], initial=bits.at - base), np.int64)
             at = np.empty((len(quarter), 4), np.int64)
             at[:, 0], at[:, 2] = quarter, quarter + two[quarter]
             at[:, 1], at[:, 3] = quarter + one[quarter], at[:, 2] + one[at[:, 2]]
-            at = at.ravel()[: n - got]
+            at = at.ravel()[:ask]
             symbols = green.symbols[(wide[np.minimum(at >> 3, len(wide) - 1)] >> (at & 7).astype(np.uint32)) & mask]
             special = np.flatnonzero(symbols >= 256)
-            upto = int(special[0]) if len(special) else len(symbols)
-            out.append(symbols[:upto])
+            upto, many = (int(special[0]), 16) if len(special) else (len(symbols), 4 * many)
+            out[got : got + upto] = symbols[:upto]
             got += upto
             last = int(at[min(upto, len(at) - 1)])
             bits.at = base + last + int(one[last])
@@ -235,14 +237,13 @@ def _one_channel(bits: Bits, codes: list[PrefixCode], width: int, height: int) -
                 back = _distance(_extended(bits, far.read(bits)), width)
                 if back > got or got + times > n:
                     raise ValueError("a back-reference leaves the image")
-                so_far = np.concatenate(out)
-                out = [so_far, np.resize(so_far[got - back :], times)]
+                out[got : got + times] = np.resize(out[got - back : min(got, got - back + times)], times)
                 got += times
     except IndexError:
         raise ValueError("the image data end early") from None
     if bits.at > 8 * len(bits.data):
         raise ValueError("the image data end early")
-    return np.concatenate(out).astype(np.uint32) << np.uint32(8) | rest
+    return out << np.uint32(8) | rest
 
 
 def _mean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -276,8 +277,41 @@ def packed(parts: np.ndarray) -> np.ndarray:
     return a << np.uint32(24) | r << np.uint32(16) | g << np.uint32(8) | b
 
 
+def _predict_runs(pixels: np.ndarray, width: int, height: int, mode: int, sign: int) -> np.ndarray:
+    """``predict`` with the left (1) or the upper (2) neighbour all over: sums or differences of whole runs.
+
+    The first row always goes by its left neighbour, the first column by its upper one.
+    """
+    rows = np.ascontiguousarray(pixels, "<u4").view(np.uint8).reshape(height, width, 4)
+    edge, inner = (rows[:, 0], rows) if mode == 1 else (rows[0], rows)
+    out = np.empty_like(rows)
+    axis = 1 if mode == 1 else 0
+    black = np.array([0, 0, 0, 255], np.uint8)
+    if sign > 0:
+        first = np.cumsum(edge, axis=0, dtype=np.uint8) + black
+        out[...] = inner
+        if mode == 1:
+            out[:, 0] = first
+        else:
+            out[0] = first
+        np.cumsum(out, axis=axis, dtype=np.uint8, out=out)
+    else:
+        out[...] = inner
+        if mode == 1:
+            out[:, 1:] -= inner[:, :-1]
+            out[1:, 0] = inner[1:, 0] - inner[:-1, 0]
+        else:
+            out[1:] -= inner[:-1]
+            out[0, 1:] = inner[0, 1:] - inner[0, :-1]
+        out[0, 0] = inner[0, 0] - black
+    return out.reshape(-1).view("<u4").astype(np.uint32)
+
+
 def predict(pixels: np.ndarray, width: int, height: int, modes: np.ndarray, block: int, sign: int) -> np.ndarray:
     """Adds (``sign`` 1) or takes away (-1) what the predictors say."""
+    used = np.unique((modes >> np.uint32(8)) & np.uint32(15))
+    if len(used) == 1 and used[0] in (1, 2):
+        return _predict_runs(pixels, width, height, int(used[0]), sign)
     given = channels(pixels).reshape(height * width, 4)
     done = np.zeros_like(given) if sign > 0 else given
     out, across = np.zeros_like(given), -(-width // (1 << block))
@@ -586,11 +620,97 @@ def _head(width: int, height: int, alpha: bool) -> BitWriter:
     return out
 
 
-def encode_grey(samples: np.ndarray, width: int, palette: bool = False) -> bytes:
+def far_repeats(samples: np.ndarray, least: int = 32, most: int = 4096) -> list[tuple[int, int, int]]:
+    """(position, length, distance) of long repeats of 8-bit samples, in order.
+
+    Places are compared whose next eight samples have a certain hash, one of 16
+    on the average: equal content has them at equal places. Repeats are then
+    extended both ways.
+    """
+    if len(samples) < 2 * least:
+        return []
+    windows = np.ndarray((len(samples) - 7,), "<u8", samples.tobytes(), strides=(1,)) * np.uint64(0x9E3779B97F4A7C15)
+    marks = np.flatnonzero(windows >> np.uint64(60) == 0)
+    _, first, kind = np.unique(windows[marks], return_index=True, return_inverse=True)
+    found, done = [], 0
+    for k in np.flatnonzero(first[kind] != np.arange(len(marks))):
+        at, before = int(marks[k]), int(marks[first[kind[k]]])
+        if at < done:
+            continue
+        back = min(at - done, before, 256)
+        differs = np.flatnonzero(samples[at - back : at] != samples[before - back : before])
+        back = back - int(differs[-1]) - 1 if len(differs) else back
+        ahead = min(len(samples) - at, most - back)
+        differs = np.flatnonzero(samples[at : at + ahead] != samples[before : before + ahead])
+        ahead = int(differs[0]) if len(differs) else ahead
+        if back + ahead >= least:
+            found.append((at - back, back + ahead, at - before))
+            done = at + ahead
+    return found
+
+
+def write_green(out: BitWriter, green: np.ndarray, rest: int, spans: list[tuple[int, int, int]]) -> None:
+    """An entropy-coded main image that varies in green only, with back-references."""
+    out.put(0, 2)
+    literal, copies, at = [], [], 0
+    for start, length, distance in spans:
+        literal.append(green[at:start])
+        copies.append((*_split_extended(length), *_split_extended(distance + 120)))
+        at = start + length
+    literal.append(green[at:])
+    counts, far = np.bincount(np.concatenate(literal), minlength=280), np.zeros(40, np.int64)
+    for c in copies:
+        counts[256 + c[0]] += 1
+        far[c[3]] += 1
+    codes = write_code(out, code_lengths(counts))
+    for shift in (16, 0, 24):
+        only = np.zeros(256, np.int64)
+        only[rest >> shift & 255] = 1
+        write_code(out, code_lengths(only))
+    fars = write_code(out, code_lengths(far))
+    table = np.zeros((2, 280), np.int64)
+    table[:, list(codes)] = np.array(list(codes.values())).T
+    words, sizes = [], []
+    for part, copy in zip(literal, [*copies, None], strict=True):
+        words.append(table[0][part])
+        sizes.append(table[1][part])
+        if copy:
+            four = (codes[256 + copy[0]], (copy[2], copy[1]), fars[copy[3]], (copy[5], copy[4]))
+            words.append(np.array([w for w, _ in four]))
+            sizes.append(np.array([n for _, n in four]))
+    out.run(np.concatenate(words), np.concatenate(sizes))
+
+
+def _cost(samples: np.ndarray) -> float:
+    """Bits of the samples under their own best prefix code, about."""
+    counts = np.bincount(samples, minlength=256)
+    counts = counts[counts > 0]
+    return float(len(samples) * np.log2(len(samples)) - (counts * np.log2(counts)).sum()) if len(samples) else 0.0
+
+
+def plan_grey(samples: np.ndarray, width: int) -> dict:
+    """What serves these samples best: a palette, a predictor, back-references or none.
+
+    Two to four values are bundled by a palette, four or eight to a pixel. A predictor is taken if it saves a
+    tenth of the bits; otherwise long repeats become back-references.
+    """
+    values = np.count_nonzero(np.bincount(samples, minlength=256))
+    if values <= 4:
+        return {"palette": values > 1}
+    rows = samples.reshape(-1, width)
+    plain, by_left = _cost(samples), _cost((rows[:, 1:] - rows[:, :-1]).ravel())
+    by_top = _cost((rows[1:] - rows[:-1]).ravel()) if len(rows) > 2 else plain
+    if min(by_left, by_top) < 0.9 * plain:
+        return {"mode": 1 if by_left <= by_top else 2}
+    return {"spans": far_repeats(samples)}
+
+
+def encode_grey(samples: np.ndarray, width: int, palette: bool = False, mode: int = 0, spans: list[tuple[int, int, int]] | None = None) -> bytes:
     """A grey image of 8-bit samples as WebP, with one prefix code for its pixels.
 
     Grey has equal channels: with green subtracted, or as palette indices, only
-    the green channel holds anything.
+    the green channel holds anything. ``mode`` names a predictor for all of it,
+    ``spans`` back-references.
     """
     height = len(samples) // width
     out = _head(width, height, False)
@@ -612,8 +732,19 @@ def encode_grey(samples: np.ndarray, width: int, palette: bool = False) -> bytes
             index = (rows.reshape(height, -1, each) << (size * np.arange(each))).sum(axis=2).ravel()
     else:
         out.put(SUBTRACT_GREEN, 2)
+    pixels = np.uint32(0xFF000000) | index.astype(np.uint32) << np.uint32(8)
+    if mode:
+        out.put(1, 1)
+        out.put(PREDICTOR, 2)
+        out.put(7, 3)
+        side = np.full(-(-width // 512) * -(-height // 512), 0xFF000000 | mode << 8, np.uint32)
+        write_pixels(out, side, False)
+        pixels = predict(pixels, width, height, side, 9, -1)
     out.put(0, 1)
-    write_pixels(out, np.uint32(0xFF000000) | index.astype(np.uint32) << np.uint32(8), True)
+    if spans:
+        write_green(out, samples, 0xFF000000, spans)
+    else:
+        write_pixels(out, pixels, True)
     return _container(out.bytes())
 
 

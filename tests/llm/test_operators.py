@@ -105,6 +105,74 @@ def test_webp_all_transforms():
                         assert (webp.decode_webp(webp.encode_argb(image, width, transforms, repeats=repeats, cache_bits=cache))[2] == image).all()
 
 
+class Fields:
+    """A stream written field by field, least bit first, apart from the encoder."""
+
+    def __init__(self, *fields):
+        self.bits = [value >> k & 1 for value, n in fields for k in range(n)]
+
+    def file(self):
+        bits = self.bits + [0] * (-len(self.bits) % 8)
+        stream = bytes(sum(bits[k + j] << j for j in range(8)) for k in range(0, len(bits), 8))
+        stream += b"\0" * (len(stream) & 1)
+        return b"RIFF" + (12 + len(stream)).to_bytes(4, "little") + b"WEBPVP8L" + len(stream).to_bytes(4, "little") + stream
+
+
+def simple(*symbols):
+    """A prefix code of one or two symbols of eight bits."""
+    return [(1, 1), (len(symbols) - 1, 1), (1, 1), (symbols[0], 8), *((x, 8) for x in symbols[1:])]
+
+
+def test_webp_foreign_streams():
+    one = webp.decode_webp(base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA=="))
+    assert one[:2] == (1, 1) and len(one[2]) == 1
+    head = lambda w, h: [(0x2F, 8), (w - 1, 14), (h - 1, 14), (0, 1), (0, 3)]
+    # A code of eleven given lengths: green 7 and 9 have one bit each from a code with one word for length 1.
+    rest = [*simple(3), *simple(5), *simple(255)]
+    plain = Fields(*head(3, 1), (0, 1), (0, 1), (0, 1), *simple(7, 9), *rest, *simple(0), (0, 1), (1, 1), (1, 1)).file()
+    assert [hex(x) for x in webp.decode_webp(plain)[2]] == ["0xff030705", "0xff030905", "0xff030905"]
+    # Subtracted green comes back into red and blue.
+    green = Fields(*head(2, 1), (1, 1), (2, 2), (0, 1), (0, 1), (0, 1), *simple(7, 9), *rest, *simple(0), (0, 1), (1, 1)).file()
+    assert [hex(x) for x in webp.decode_webp(green)[2]] == ["0xff0a070c", "0xff0c090e"]
+    # A palette of two colours, eight pixels to a byte: 0b0101 for a row of four.
+    palette = Fields(
+        *head(4, 1), (1, 1), (3, 2), (1, 8), (0, 1), *simple(10, 20), *simple(0), *simple(0), *simple(255, 0), *simple(0), (0, 1), (1, 1), (1, 1), (0, 1),
+        (0, 1), (0, 1), (0, 1), *simple(5), *simple(0), *simple(0), *simple(255), *simple(0),
+    ).file()
+    assert [hex(x) for x in webp.decode_webp(palette)[2]] == [hex(x) for x in (0xFF001E00, 0xFF000A00, 0xFF001E00, 0xFF000A00)]
+    # A predictor tile of mode 1 (left): residuals add up along the row.
+    left = Fields(
+        *head(3, 1), (1, 1), (0, 2), (0, 3), (0, 1), *simple(1), *simple(0), *simple(0), *simple(255), *simple(0), (0, 1),
+        (0, 1), (0, 1), *simple(2, 4), *simple(0), *simple(0), *simple(0), *simple(0), (0, 1), (1, 1), (1, 1),
+    ).file()
+    assert [hex(x) for x in webp.decode_webp(left)[2]] == ["0xff000200", "0xff000600", "0xff000a00"]
+
+
+def test_webp_plans_fit_their_content():
+    rng = np.random.default_rng(3)
+    line = rng.integers(32, 127, 400).astype(np.uint8)
+    texts = {
+        "palette": rng.choice([48, 49, 50], 192 * 7, p=[0.9, 0.05, 0.05]).astype(np.uint8),
+        "mode": (np.cumsum(rng.integers(-2, 3, 192 * 20)) & 255).astype(np.uint8),
+        "spans": np.concatenate([line, rng.integers(32, 127, 300).astype(np.uint8), line, line[50:], line[:86]])[: 192 * 8],
+    }
+    for kind, samples in texts.items():
+        samples = samples[: len(samples) // 192 * 192]
+        plan = webp.plan_grey(samples, 192)
+        assert plan.get(kind), kind
+        stored = webp.encode_grey(samples, 192, **plan)
+        assert len(stored) < len(webp.encode_grey(samples, 192))
+        assert (webp.decode_webp(stored)[2] == np.uint32(0xFF000000) | samples.astype(np.uint32) * np.uint32(0x010101)).all()
+    for mode in (1, 2):
+        for shape in ((192, 1), (1, 9), (7, 5), (600, 3), (3, 600)):
+            image = rng.integers(0, 256, shape[0] * shape[1]).astype(np.uint8)
+            assert (webp.decode_webp(webp.encode_grey(image, shape[0], mode=mode))[2] & 255 == image).all()
+    many = np.concatenate([np.concatenate([line[:64], rng.integers(32, 127, 20).astype(np.uint8)]) for _ in range(4000)])
+    many = many[: len(many) // 192 * 192]
+    plan = webp.plan_grey(many, 192)
+    assert len(plan["spans"]) > 3000 and (webp.decode_webp(webp.encode_grey(many, 192, **plan))[2] & 255 == many).all()
+
+
 def test_webp_damage_is_an_error():
     good = webp.encode_grey(np.arange(192, dtype=np.uint8), 192)
     for bad in (b"", b"RIFF", good[:40], good[:20] + b"\0" + good[21:]):
