@@ -206,7 +206,7 @@ def _one_channel(bits: Bits, codes: list[PrefixCode], width: int, height: int) -
     wide = np.zeros(len(raw) + 3, np.uint32)
     wide[: len(raw)] = raw
     wide = wide[:-2] | wide[1:-1] << np.uint32(8) | np.append(wide[2:-1], np.uint32(0)) << np.uint32(16) if len(raw) else wide[:1]
-    mask, lengths = np.uint32(green.mask), np.zeros((len(wide) + 8, 8), np.uint8)
+    mask, lengths = np.uint32(green.mask), np.zeros((len(wide) + 16, 8), np.uint8)
     for s in range(8):
         np.take(green.lengths, (wide >> np.uint32(s)) & mask, out=lengths[: len(wide), s])
     # Where one, two and four words from each bit position end; past the data, nowhere.
