@@ -3,17 +3,19 @@
 A host such as ``cheappills.example.com`` is split at its marks, and each label
 into the most probable words by a unigram Viterbi search. Word probabilities
 come from counts over all pages; the classes' token counts come from all pages,
-too. A page counts towards the class ``block`` if its segmented host or path
-holds a seed word (a fixed parameter), else towards ``allow``; naive Bayes then
-carries the verdict over to pages whose tokens go with such hosts.
-
-All words and all tokens count. Tables are looked up by the keys that occur:
-the ``most`` keys met most often are broadcast with their values, all others are
-joined (``look_up``). Names are segmented once for each distinct run of letters,
+too. What a page is labelled as in training is said by its content, not by its
+url: any condition on the page can be given, and by default a page counts towards
+``block`` if its text has a seed word (a fixed parameter). Naive Bayes then learns
+which words of urls go with such content, and judges urls alone.
+
+All words and all tokens count, however long or rare. Tables are looked up by the
+keys that occur: the keys met most often, at most ``most``, are broadcast with
+their values, all others are joined (``look_up``). Names are segmented once for each distinct run of letters,
 urls are judged once for each distinct host and path.
 Defined results: a null url, or one without ``://``, has an empty host and path
 and no tokens, so the class sizes decide; a null html has no words; other
-columns pass through ``filter_urls``. Rules of equal length go alphabetically.
+columns pass through ``filter_urls``, but those that it adds replace input columns
+of their names. Rules of equal length go alphabetically.
 """
 
 from __future__ import annotations
@@ -36,7 +38,6 @@ from tessera.llm.common import materialise
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 SEEDS = ("adult", "bet", "bets", "betting", "casino", "cheap", "escort", "loan", "loans", "lottery", "pharma", "pharmacy", "pills", "poker", "porn", "replica", "sex", "slots", "spam", "torrent", "viagra", "warez", "xxx")
 CLASSES = ("allow", "block")
-LONGEST_WORD = 24
 #: So many of the keys met most often are broadcast, if they are no longer than this; the join finds the others.
 MOST_SHARED, LONGEST_SHARED = 50_000, 256
 
@@ -60,26 +61,36 @@ def rule_column(host: Column, path: Column, rules: Iterable[tuple[str, str, str]
 class Segmenter:
     """Splits concatenated names into words by their probabilities.
 
-    ``total`` is the count of all words and one, if ``counts`` holds only some.
+    ``total`` is the count of all words and one, and ``lengths`` are those that
+    words have, if ``counts`` holds only some of them.
     """
 
-    def __init__(self, counts: Mapping[str, int], total: int | None = None):
+    def __init__(self, counts: Mapping[str, int], total: int | None = None, lengths: Iterable[int] | None = None):
         self.total = total = sum(counts.values()) + 1 if total is None else total
         self.cost = {w: math.log(total / n) for w, n in counts.items()}
+        self.lengths = sorted({len(w) for w in counts} if lengths is None else lengths)
         self.unknown, self.letter = math.log(total), math.log(30)
 
     def split(self, name: str, more: Mapping[str, int] | None = None) -> tuple[str, ...]:
-        """The words of a name; ``more`` has counts of words that only this name needs."""
+        """The words of a name; ``more`` has counts of words that only this name needs.
+
+        An unknown word costs more with each letter. The best way whose last word
+        is unknown is kept beside the best way, so unknown words have any length.
+        """
         rare = {w: math.log(self.total / n) for w, n in more.items()} if more else {}
-        best, cut = [0.0], [0]
+        best, cut, odd, odd_start = [0.0], [0], math.inf, 0
         for end in range(1, len(name) + 1):
-            options = [(best[end - 1] + self.unknown + self.letter, end - 1)]
-            for start in range(max(0, end - LONGEST_WORD), end):
-                word = name[start:end]
+            if best[end - 1] + self.unknown < odd:
+                odd, odd_start = best[end - 1] + self.unknown, end - 1
+            odd += self.letter
+            value, start = odd, odd_start
+            for length in self.lengths:
+                if length > end:
+                    break
+                word = name[end - length : end]
                 cost = self.cost.get(word, rare.get(word))
-                # An unknown word costs more with each letter.
-                options.append((best[start] + (self.unknown + self.letter * len(word) if cost is None else cost), start))
-            value, start = min(options)
+                if cost is not None and best[end - length] + cost < value:
+                    value, start = best[end - length] + cost, end - length
             best.append(value)
             cut.append(start)
         out, end = [], len(name)
@@ -94,28 +105,44 @@ def runs_of(host: str, path: str) -> list[str]:
     return [f"{side}:{'0' if x.isdigit() else x}" for side, text in (("h", host), ("p", path.lower())) for x in re.findall(r"[a-z]+|\d+", text)]
 
 
-def pieces_of(run: str) -> Iterator[str]:
-    """All parts of a run that can be words."""
-    return (run[a:b] for a in range(len(run)) for b in range(a + 1, min(a + LONGEST_WORD, len(run)) + 1))
+def pieces_of(run: str, lengths: Iterable[int]) -> Iterator[str]:
+    """All parts of a run that are as long as words are."""
+    return (run[a : a + n] for n in lengths for a in range(len(run) - n + 1))
+
+
+def page_words(html: Column) -> Column:
+    """The lower-case words of a page's text: tags are taken out, and the rest is cut at everything but letters."""
+    text = F.lower(F.regexp_replace(F.coalesce(html, F.lit("")), "<[^>]*>", " "))
+    return F.split(F.regexp_replace(text, r"[^\p{L}]+", " "), " ")
+
+
+@dataclass
+class Words:
+    """Counts of words (key, value), their sum and the lengths that occur."""
+
+    counts: DataFrame
+    total: int
+    lengths: list[int]
 
 
-def word_counts(pages: DataFrame, seeds: tuple[str, ...] = SEEDS) -> tuple[DataFrame, int]:
-    """Counts of the words of all pages' texts (key, value), and their sum.
+def word_counts(pages: DataFrame, seeds: tuple[str, ...] = SEEDS) -> Words:
+    """Counts of the words of all pages' texts.
 
-    Tags are taken out and the rest is cut at everything but letters. Urls don't
-    count: a concatenated name would vouch for itself. Seeds have at least the
-    mean count.
+    Urls don't count: a concatenated name would vouch for itself. Seeds have at
+    least the mean count.
     """
-    text = F.lower(F.regexp_replace(F.coalesce(F.col("html"), F.lit("")), "<[^>]*>", " "))
-    word = F.explode(F.split(F.regexp_replace(text, r"[^\p{L}]+", " "), " ")).alias("key")
-    counts = pages.select(word).where(F.length("key").between(2, LONGEST_WORD)).groupBy("key").agg(F.count("*").alias("value"))
+    word = F.explode(page_words(F.col("html"))).alias("key")
+    counts = pages.select(word).where(F.length("key") >= 2).groupBy("key").agg(F.count("*").alias("value"))
     counts = materialise(counts, "url-words")
     found = counts.agg(F.count("*").alias("n"), F.coalesce(F.sum("value"), F.lit(0)).alias("total")).first()
     mean = max(1, found["total"] // max(1, found["n"]))
     own = {r["key"]: r["value"] for r in counts.where(F.col("key").isin(*seeds)).collect()}
     lifted = [(s, max(mean, own.get(s, 0))) for s in dict.fromkeys(seeds)]
     total = found["total"] - sum(own.values()) + sum(n for _, n in lifted)
-    return counts.where(~F.col("key").isin(*seeds)).union(pages.sparkSession.createDataFrame(lifted, counts.schema)), total
+    # Words that letters of urls can make.
+    lengths = {r["n"] for r in counts.where(F.rlike("key", F.lit("^[a-z]+$"))).select(F.length("key").alias("n")).distinct().collect()}
+    table = counts.where(~F.col("key").isin(*seeds)).union(pages.sparkSession.createDataFrame(lifted, counts.schema))
+    return Words(table, total, sorted(lengths.union(map(len, seeds))))
 
 
 def look_up(rows: DataFrame, column: str, keys_of: Callable[[object], Iterable[str]], table: DataFrame, label: str, most: int) -> tuple[DataFrame, Broadcast]:
@@ -123,7 +150,8 @@ def look_up(rows: DataFrame, column: str, keys_of: Callable[[object], Iterable[s
 
     Returns the rows with ``keys`` and ``values`` of keys that few rows share,
     and a broadcast dictionary of the keys met most often (null where the table
-    has no such key). A key that is in neither isn't in the table.
+    has no such key). A key that is in neither isn't in the table. The dictionary
+    has at most ``most`` keys of at most ``LONGEST_SHARED`` characters.
     """
 
     def keys(skip: Broadcast | None) -> DataFrame:
@@ -137,7 +165,14 @@ def look_up(rows: DataFrame, column: str, keys_of: Callable[[object], Iterable[s
         return rows.select("id", column).mapInPandas(spread, "id long, key string")
 
     met = materialise(keys(None).groupBy("key").agg(F.count("*").alias("times")).join(table, "key", "left"), label)
-    often = met.where((F.col("times") > 1) & (F.length("key") <= LONGEST_SHARED)).orderBy(F.desc("times"), "key").limit(most)
+    # By powers of two, so that no task sends keys that aren't among them.
+    frequent = met.where((F.col("times") > 1) & (F.length("key") <= LONGEST_SHARED)).withColumn("level", F.floor(F.log2("times")))
+    room, least = most, 99
+    for level, n in sorted(((r["level"], r["n"]) for r in frequent.groupBy("level").agg(F.count("*").alias("n")).collect()), reverse=True):
+        if n > room:
+            break
+        room, least = room - n, level
+    often = frequent.where(F.col("level") >= least)
     shared = rows.sparkSession.sparkContext.broadcast({r["key"]: r["value"] for r in often.collect()})
     rest = keys(shared).join(met.where(F.col("value").isNotNull()).select("key", "value"), "key").groupBy("id").agg(F.collect_set(F.struct("key", "value")).alias("found"))
     return rows.join(rest.select("id", F.col("found.key").alias("keys"), F.col("found.value").alias("values")), "id", "left"), shared
@@ -147,13 +182,13 @@ def _found(keys, values) -> dict:
     return {} if keys is None else dict(zip(keys, values, strict=True))
 
 
-def segmented(runs: DataFrame, words: tuple[DataFrame, int], most: int = MOST_SHARED) -> DataFrame:
+def segmented(runs: DataFrame, words: Words, most: int = MOST_SHARED) -> DataFrame:
     """The words of each run (``id``, ``run``) as key, value."""
-    table, total = words
-    rows, shared = look_up(runs, "run", pieces_of, table, "url-pieces", most)
+    total, lengths = words.total, words.lengths
+    rows, shared = look_up(runs, "run", lambda run: pieces_of(run, lengths), words.counts, "url-pieces", most)
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        segmenter = Segmenter({w: n for w, n in shared.value.items() if n is not None}, total + 1)
+        segmenter = Segmenter({w: n for w, n in shared.value.items() if n is not None}, total + 1, lengths)
         for rows in batches:
             parts = [segmenter.split(run, _found(k, v)) for run, k, v in zip(rows["run"], rows["keys"], rows["values"], strict=True)]
             yield pd.DataFrame({"key": rows["run"], "value": pd.Series(parts, dtype=object)})
@@ -161,16 +196,17 @@ def segmented(runs: DataFrame, words: tuple[DataFrame, int], most: int = MOST_SH
     return materialise(rows.select("run", "keys", "values").mapInPandas(split, "key string, value array<string>"), "url-segmented")
 
 
-def tokens_of(pages: DataFrame, words: tuple[DataFrame, int], most: int = MOST_SHARED) -> DataFrame:
-    """Each distinct host and path with its number of pages and its tokens."""
+def tokens_of(pages: DataFrame, words: Words, most: int = MOST_SHARED, label: Column | None = None) -> DataFrame:
+    """Each distinct host and path with its number of pages, of those labelled ``bad``, and its tokens."""
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def runs(host: pd.Series, path: pd.Series) -> pd.Series:
         return pd.Series([runs_of(a, b) for a, b in zip(host, path, strict=True)], dtype=object)
 
     host, path = host_and_path(F.col("url"))
-    urls = pages.select(host.alias("host"), path.alias("path")).groupBy("host", "path").agg(F.count("*").alias("n"))
-    urls = materialise(urls.select("host", "path", "n", runs("host", "path").alias("runs")).withColumn("id", F.monotonically_increasing_id()), "url-runs")
+    marked = F.coalesce(label if label is not None else F.lit(False), F.lit(False))
+    urls = pages.select(host.alias("host"), path.alias("path"), marked.alias("bad")).groupBy("host", "path").agg(F.count("*").alias("n"), F.count_if("bad").alias("bad"))
+    urls = materialise(urls.select("host", "path", "n", "bad", runs("host", "path").alias("runs")).withColumn("id", F.monotonically_increasing_id()), "url-runs")
     names = urls.select(F.explode(F.transform("runs", lambda r: F.substring(r, 3, 2**30))).alias("run")).where("run != '0'").distinct()
     names = materialise(names.withColumn("id", F.monotonically_increasing_id()), "url-names")
     rows, shared = look_up(urls, "runs", lambda runs: {r[2:] for r in runs}, segmented(names, words, most), "url-names", most)
@@ -185,7 +221,7 @@ def tokens_of(pages: DataFrame, words: tuple[DataFrame, int], most: int = MOST_S
                 out.append([x[:2] + w for x in own for w in (("0",) if x[2:] == "0" else rare[x[2:]] if x[2:] in rare else shared.value[x[2:]])])
             yield pd.Series(out, dtype=object)
 
-    return materialise(rows.select("id", "host", "path", "n", tokens("runs", "keys", "values").alias("tokens")), "url-tokens")
+    return materialise(rows.select("id", "host", "path", "n", "bad", tokens("runs", "keys", "values").alias("tokens")), "url-tokens")
 
 
 @dataclass
@@ -199,11 +235,15 @@ class Bayes:
     prior: float
 
 
-def train(pages: DataFrame, seeds: tuple[str, ...] = SEEDS, most: int = MOST_SHARED) -> tuple[tuple[DataFrame, int], Bayes]:
-    """Word counts and the class model, both from all pages."""
+def train(pages: DataFrame, label: Column | None = None, seeds: tuple[str, ...] = SEEDS, most: int = MOST_SHARED) -> tuple[Words, Bayes]:
+    """Word counts and the class model, both from all pages.
+
+    ``label`` says of a page that it is to be blocked; by default it is that its
+    text has a seed word. A null label is no.
+    """
     words = word_counts(pages, seeds)
-    marks = {f"{side}:{s}" for s in seeds for side in "hp"}
-    seen = tokens_of(pages, words, most).withColumn("bad", F.exists("tokens", lambda t: t.isin(*marks)).cast("long") * F.col("n")).withColumn("good", F.col("n") - F.col("bad"))
+    label = F.arrays_overlap(page_words(F.col("html")), F.array(*map(F.lit, seeds))) if label is None else label
+    seen = tokens_of(pages, words, most, label).withColumn("good", F.col("n") - F.col("bad"))
     sums = lambda df: df.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("good", "bad")), F.count("*").alias("n")).first()
     table = seen.select("good", "bad", F.explode("tokens").alias("key")).groupBy("key").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     table = materialise(table, "url-counts")
@@ -212,7 +252,7 @@ def train(pages: DataFrame, seeds: tuple[str, ...] = SEEDS, most: int = MOST_SHA
     return words, Bayes(table.select("key", (rate("bad") - rate("good")).alias("value")), math.log((whole["bad"] + 1) / (whole["good"] + 1)))
 
 
-def filter_urls(pages: DataFrame, words: tuple[DataFrame, int], model: Bayes, rules: Iterable[tuple[str, str, str]] = RULES, most: int = MOST_SHARED) -> DataFrame:
+def filter_urls(pages: DataFrame, words: Words, model: Bayes, rules: Iterable[tuple[str, str, str]] = RULES, most: int = MOST_SHARED) -> DataFrame:
     """Adds host, path, rule, verdict, the segmented host and the log odds of ``block``."""
     rules, prior = tuple(rules), model.prior
     rows, shared = look_up(tokens_of(pages, words, most), "tokens", set, model.odds, "url-odds", most)

@@ -341,11 +341,15 @@ def test_segmenter_matches_brute_force():
         assert cost(s.split(name)) == pytest.approx(min(map(cost, ways(name))))
 
 
-def test_url_model_carries_over(spark):
-    pages = [(i, f"http://{'free' if i % 2 else 'good'}{'bets' if i % 2 else 'news'}.org/{'win' if i % 2 else 'read'}/{i}", "<p>free bets good news win read</p>" * 3) for i in range(60)] + [(99, "http://winfree.org/", None), (98, None, None)]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+def test_url_model_learns_from_content(spark):
+    # Content labels hyphenated hosts; the model carries over to concatenated names and to new hosts.
+    pages = [(i, f"http://{'free-bets' if i % 2 else 'good-news'}.org/{'win' if i % 2 else 'read'}/{i}", "<p>free bets win</p>" if i % 2 else "<p>good news read</p>", "clash") for i in range(60)]
+    pages += [(96, "http://x.org/" + "\u00e9" * 50_000, "<p>" + "read " * 100_000 + "</p>", "c"), (97, "http://goodnews.org/", "<p>bets</p>", "c"), (98, None, None, None), (99, "http://winfree.org/", None, None), (99, "http://winfree.org/", None, None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, verdict string")
     got = {r.page_id: r.verdict for r in url_filter.filter_urls(df, *url_filter.train(df), rules=()).collect()}
-    assert got[99] == "block" and got[98] == "allow" and got[1] == "block" and got[2] == "allow"
+    assert got[99] == "block" and got[98] == "allow" and got[97] == "allow" and got[1] == "block" and got[2] == "allow" and len(got) == 64
+    given = {r.page_id: r.verdict for r in url_filter.filter_urls(df, *url_filter.train(df, F.expr("page_id % 2 = 0")), rules=()).collect()}
+    assert given[1] == "allow" and given[2] == "block"
     assert url_filter.filter_urls(df.where("false"), *url_filter.train(df.where("false"))).count() == 0
 
 
@@ -353,7 +357,7 @@ def test_url_tables_hold_rare_words_and_tokens(spark):
     # 50,100 words and as many tokens that come twice; the seed's page and its word come once.
     name = lambda i: "q" + "".join("bcdfghjklm"[int(c)] for c in f"{i:05d}")
     pages = [(i, f"http://good.org/{name(i // 2)}", f"<p>{name(i // 2)}</p>") for i in range(100_200)]
-    pages += [(-1, "http://warez.org/", None), (-2, "http://good.org/zanyduck", "<p>zany duck</p>")]
+    pages += [(-1, "http://warez.org/", "<p>warez</p>"), (-2, "http://good.org/zanyduck", "<p>zany duck</p>")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     got = {r.page_id: r for r in url_filter.filter_urls(df, *url_filter.train(df), rules=()).where("page_id < 0").collect()}
     tokens = [t for _, u, _ in pages for t in ([f"h:{w}" for w in (u.split("/")[2].split("."))] + [f"p:{w}" for w in (("zany", "duck") if u.endswith("zanyduck") else (u.split("/")[3],)) if w])]
@@ -366,15 +370,17 @@ def test_url_tables_hold_rare_words_and_tokens(spark):
     assert got[-2].log_odds == pytest.approx(prior + odds("h:good") + odds("h:org") + odds("p:zany") + odds("p:duck"), abs=2e-6)
 
 
-def test_url_runs_are_segmented_whole(spark):
-    # The seed's word lies behind 300 other letters, in the host or in the path.
-    urls = [f"http://{'zqx' * 100}warez.org/", f"http://good.org/{'zqx' * 100}poker", f"http://{'zqx' * 100}.org/"]
-    df = spark.createDataFrame([(i, u, "<p>zqx zqx zqx</p>") for i, u in enumerate(urls)], "page_id long, url string, html string")
+def test_url_runs_and_words_have_any_length(spark):
+    # The word lies behind 300 other letters, in the host or in the path; one word has 40 letters.
+    long = "abcdefghij" * 4
+    urls = [f"http://{'zqx' * 100}warez.org/", f"http://good.org/{'zqx' * 100}poker", f"http://{'zqx' * 100}.org/", f"http://zqx{long}zqx.org/"]
+    df = spark.createDataFrame([(i, u, f"<p>zqx zqx zqx {long} {'poker' if i < 2 else ''}</p>") for i, u in enumerate(urls)], "page_id long, url string, html string")
     words, model = url_filter.train(df)
     tokens = {r.host + r.path: r.tokens for r in url_filter.tokens_of(df, words).collect()}
     assert tokens[urls[0][7:]] == ["h:zqx"] * 100 + ["h:warez", "h:org"]
     assert tokens[urls[1][7:]] == ["h:good", "h:org"] + ["p:zqx"] * 100 + ["p:poker"]
-    assert model.prior == pytest.approx(math.log(3 / 2))
+    assert tokens[urls[3][7:]] == ["h:zqx", f"h:{long}", "h:zqx", "h:org"]
+    assert model.prior == pytest.approx(math.log(3 / 3))
     host_words = {r.page_id: r.host_words.split() for r in url_filter.filter_urls(df, words, model, rules=()).collect()}
     assert host_words[0][-2:] == ["warez", "org"] and len(host_words[0]) == 102
 
