@@ -6,15 +6,21 @@ and a line break. Within texts and roles, ``<`` followed by backslashes and
 can be undone; in roles, ``%`` and line breaks are percent-encoded too.
 
 A window holds a span of new turns, chosen from the prefix sums of turn tokens
-so that it fits the budget and ends between turns. The system turn that opens
-the conversation and a limited number of turns before the span are repeated in
-front of it; targets are the assistant texts of new turns only, so each is
-trained on once. A turn that alone exceeds the budget has a window of its own,
-marked ``over_budget``; nothing is cut.
+so that it fits the budget and ends between turns. Tokens are given as a column,
+or else counted as the pieces into which byte-pair vocabularies cut a text before
+they merge. The system turn that opens the conversation and a limited number of
+turns before the span are repeated in front of it; only the first window, which
+repeats nothing, has the whole budget for its span. Targets are the assistant
+texts of new turns only, so each is trained on once. A turn that alone exceeds the
+room has a window of its own, marked ``over_budget`` if it is; nothing is cut. The
+system turn is kept whatever its size: one that leaves no room gives every later
+turn its own window, and one above the budget puts all of them over it.
 
 Conversations are handled in blocks of ``block_turns`` turn numbers: a row holds
 at most a block, however long a conversation, and a block gets the system turn
-and the last turns before it by a join of those few turns.
+and the last turns before it by a join of those few turns. Turn numbers are taken
+to be distinct within a conversation; rows that share one (or have none) are kept
+and ordered, but stay in one block together.
 
 Defined results: null role or text is empty; a null turn number comes first;
 rows of equal number go by role, then text; rows of null ``conv_id`` are one
@@ -47,9 +53,14 @@ def _unescape_role(role: Column) -> Column:
     return F.replace(F.replace(unescape(role), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
-def estimated_tokens(text: Column) -> Column:
-    """Tokens of a turn as the budget counts them: four characters each, and four for the marks."""
-    return (F.ceil(F.length(text) / 4) + 4).cast("long")
+#: Letters or digits or other marks, with a blank before; or blanks.
+PIECE = r" ?\p{L}+| ?\p{N}+| ?[^\x09-\x0D\x20\p{L}\p{N}]+|[\x09-\x0D\x20]+"
+MARK_TOKENS = 4
+
+
+def piece_tokens(text: Column) -> Column:
+    """Pieces of a text as byte-pair vocabularies cut it, before any merges."""
+    return F.regexp_count(text, F.lit(PIECE)).cast("long")
 
 
 def _sums(values: Column) -> Column:
@@ -57,18 +68,20 @@ def _sums(values: Column) -> Column:
     return F.aggregate(values, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
 
 
-def chat_windows(turns: DataFrame, budget: int = 1024, history_tokens: int = 256, history_turns: int = 2, block_turns: int = 256) -> DataFrame:
+def chat_windows(turns: DataFrame, budget: int = 1024, history_tokens: int = 256, history_turns: int = 2, block_turns: int = 256, tokens: Column | None = None) -> DataFrame:
     """A row per window: the formatted text, its targets and what was repeated.
 
     ``loss`` lists the targets as zero-based character positions and lengths;
     ``n_repeated`` counts the leading turns that an earlier window has, too.
+    ``tokens`` gives the tokens of a turn's text; each turn has ``MARK_TOKENS`` more.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), text.alias("text"), estimated_tokens(text).alias("tokens"))
+    turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), text.alias("text"), (F.coalesce(tokens if tokens is not None else piece_tokens(text), F.lit(0)).cast("long") + MARK_TOKENS).alias("tokens"))
     rows = turns.select("conv_id", F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / block_turns).alias("block"), turn.alias("t"))
     blocks = rows.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     opening = F.when(F.get("turns", F.lit(0))["role"] == "system", F.slice("turns", 1, 1)).otherwise(F.array().cast(TURN))
-    edge = blocks.select("conv_id", "block", opening.alias("opening"), F.slice("turns", -F.least(F.lit(history_turns), F.size("turns")), history_turns).alias("tail"))
+    tail = F.slice("turns", -F.least(F.lit(history_turns), F.size("turns")), history_turns) if history_turns else F.array().cast(TURN)
+    edge = blocks.select("conv_id", "block", opening.alias("opening"), tail.alias("tail"))
     by = W.partitionBy("conv_id").orderBy("block")
     edge = edge.select(
         F.col("conv_id").alias("c"), F.col("block").alias("b"), F.first("opening").over(by).alias("system"),
@@ -80,10 +93,12 @@ def chat_windows(turns: DataFrame, budget: int = 1024, history_tokens: int = 256
     joined = joined.withColumn("sums", _sums(F.transform("turns", lambda t: t["tokens"])))
     used = F.coalesce(F.get("system", F.lit(0))["tokens"], F.lit(0)) + history_tokens
     joined = joined.withColumn("room", F.greatest(F.lit(1).cast("long"), budget - used))
+    # The first window repeats nothing.
+    room = lambda acc: F.when(F.col("first") & (F.size(acc) == 1), F.lit(budget).cast("long")).otherwise(F.col("room"))
     reach = lambda a, b: F.get("sums", b) - F.get("sums", a)  # noqa: E731  tokens of turns a up to b, from 0
     starts = F.aggregate(
         F.sequence(F.col("lead"), F.size("turns") - 1), F.array(F.col("lead")),
-        lambda acc, i: F.when((i > F.element_at(acc, -1)) & (reach(F.element_at(acc, -1), i + 1) > F.col("room")), F.concat(acc, F.array(i))).otherwise(acc),
+        lambda acc, i: F.when((i > F.element_at(acc, -1)) & (reach(F.element_at(acc, -1), i + 1) > room(acc)), F.concat(acc, F.array(i))).otherwise(acc),
     )
     spans = joined.withColumn("starts", starts).select("*", F.posexplode("starts").alias("part", "start"))
     spans = spans.withColumn("stop", F.coalesce(F.get("starts", F.col("part") + 1), F.size("turns")))
@@ -105,9 +120,9 @@ def chat_windows(turns: DataFrame, budget: int = 1024, history_tokens: int = 256
         (k >= F.col("n_repeated")) & (x["m"]["role"] == "assistant"),
         F.struct((x["at"] + F.length(x["m"]["head"])).alias("start"), F.length(x["m"]["body"]).cast("long").alias("length")),
     )
-    tokens = F.aggregate("turns", F.lit(0).cast("long"), lambda acc, t: acc + t["tokens"])
+    total = F.aggregate("turns", F.lit(0).cast("long"), lambda acc, t: acc + t["tokens"])
     return marked.select(
-        "conv_id", "block", "part", "n_repeated", F.size("turns").alias("n_turns"), tokens.alias("n_tokens"), (tokens > budget).alias("over_budget"),
+        "conv_id", "block", "part", "n_repeated", F.size("turns").alias("n_turns"), total.alias("n_tokens"), (total > budget).alias("over_budget"),
         F.array_join(F.transform("marked", lambda m: F.concat(m["head"], m["body"], F.lit(END + "\n"))), "").alias("formatted"),
         F.filter(F.transform(placed, target), lambda x: x.isNotNull()).alias("loss"),
     )

@@ -88,7 +88,7 @@ WITH RECURSIVE src AS (
   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
 ), t AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
-    CAST(ceil(length(text) / 4.0) AS BIGINT) + 4 AS tok,
+    len(regexp_extract_all(text, ' ?\p{L}+| ?\p{N}+| ?[^\x09-\x0D\x20\p{L}\p{N}]+|[\x09-\x0D\x20]+')) + 4 AS tok,
     24 + length(role) + length(text) + length(regexp_extract_all(text, '<\\*\|')) AS chars
   FROM src
 ), c AS (
@@ -98,7 +98,7 @@ WITH RECURSIVE src AS (
     CASE WHEN role = 'system' THEN chars ELSE 0 END AS sc FROM t WHERE i = 1
 ), nxt AS (
   SELECT a.conv_id, a.i AS start, min(b.i) AS nx FROM c a JOIN sys USING (conv_id) JOIN c b ON b.conv_id = a.conv_id AND b.i > a.i
-    AND b.s - (a.s - a.tok) > greatest(1, 1024 - 256 - st) GROUP BY ALL
+    AND b.s - (a.s - a.tok) > CASE WHEN a.i = 1 THEN 1024 ELSE greatest(1, 1024 - 256 - st) END GROUP BY ALL
 ), w AS (
   SELECT conv_id, CAST(1 AS BIGINT) AS start FROM sys
   UNION ALL SELECT w.conv_id, nxt.nx FROM w JOIN nxt ON nxt.conv_id = w.conv_id AND nxt.start = w.start

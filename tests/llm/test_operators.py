@@ -71,13 +71,35 @@ def test_chat_digest_reads_back(spark):
 
 def test_chat_repeats_system_and_history(spark):
     df = chat(spark, [(1, 0, "system", "S" * 40, "")] + [(1, t, "assistant" if t % 2 == 0 else "user", str(t) * 80, "") for t in range(1, 9)])
-    got = sorted(rows_of(chat_windows.chat_windows(df, budget=110, history_tokens=30, history_turns=2)), key=lambda w: w["part"])
+    got = sorted(rows_of(chat_windows.chat_windows(df, budget=110, history_tokens=30, history_turns=2, tokens=F.ceil(F.length("text") / 4))), key=lambda w: w["part"])
     assert len(got) > 2
     for w in got[1:]:
         assert w["formatted"].startswith("<|im_start|>system\n") and w["n_repeated"] == 2 and w["formatted"].count("<|im_start|>system") == 1
     assert chat_windows.chat_windows(df.where("false")).count() == 0
 
 
+def test_chat_budgets(spark):
+    said = [(1, 0, "system", "s " * 30, ""), *((1, t, "assistant" if t % 2 == 0 else "user", f"w{t} " * 10, "") for t in range(1, 9))]
+    text = F.col("text")
+    # Each turn has 10 words (30 the first) and MARK_TOKENS: a budget of 90 holds the system turn and four more.
+    windows = chat_windows.chat_windows(chat(spark, said), budget=90, history_tokens=0, history_turns=0, tokens=F.size(F.split(F.trim(text), " ")))
+    got = sorted(rows_of(windows), key=lambda w: w["part"])
+    assert [(w["n_turns"], w["n_repeated"], w["n_tokens"], w["over_budget"]) for w in got] == [(5, 0, 90, False), (5, 1, 90, False)]
+    big = chat_windows.chat_windows(chat(spark, said), budget=20, history_tokens=0, history_turns=0, tokens=F.size(F.split(F.trim(text), " ")))
+    got = sorted(rows_of(big), key=lambda w: w["part"])
+    assert [(w["n_turns"], w["over_budget"]) for w in got] == [(1, True), *[(2, True)] * 8]
+    found = spark.createDataFrame([("Two words, 12 3!\n\n x\u00e9\u0301",), ("",)], "text string").select(chat_windows.piece_tokens(text)).collect()
+    assert [r[0] for r in found] == [9, 0]
+
+
+def test_chat_rows_without_or_with_equal_numbers(spark):
+    rows = [(1, None, "user", "late", ""), (1, None, "user", "early", ""), *((1, 5, "assistant", f"a{k:03d}", "") for k in range(400)), (1, 2, None, None, ""), (None, None, None, None, None), (None, 3, "assistant", "z" * 400_000, "")]
+    got = {r["conv_id"]: r for r in rows_of(chat_windows.conversation_digest(chat_windows.chat_windows(chat(spark, rows))))}
+    whole = "user\nearly\nuser\nlate\n\n\n" + "".join(f"assistant\na{k:03d}\n" for k in range(400))
+    assert got[1]["turns_sha256"] == hashlib.sha256(whole.encode()).hexdigest() and got[1]["n_turns"] == 403
+    assert (got[None]["n_turns"], got[None]["loss_chars"]) == (2, 400_000)
+
+
 @settings(max_examples=20, deadline=None)
 @given(st.text(alphabet="<|\\im_endstar>% \n", max_size=60))
 def test_escape_is_undone(text):
