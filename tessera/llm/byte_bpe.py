@@ -6,7 +6,7 @@ long as two neighbours form an entry, the leftmost pair of the least rank is
 joined. Decoding takes the binary entry of each id and concatenates them.
 
 Two forms give the same ids. ``encode`` cuts and folds Arrow batches: each
-distinct piece is folded once and remembered by its worker, in a memory of fixed
+distinct word is folded once and remembered by its worker, in a memory of fixed
 size; a fold takes n log n steps for n bytes, however long the piece. Rows stay
 where they are, so there is no shuffle and no hot key. ``encode_by_columns`` is
 made of SQL functions: distinct words of all documents are folded by a higher-order
@@ -26,7 +26,7 @@ from __future__ import annotations
 import base64
 import heapq
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +38,12 @@ from tessera.llm.common import materialise, text_runs
 
 NONE = 2**30
 BUCKETS = 1 << 16
-#: Pieces of up to so many characters are remembered, so many of them a worker.
-KEPT_CHARS, KEPT_PIECES = 48, 500_000
+#: Chunks of up to so many characters are remembered, so many of them a worker.
+KEPT_CHARS, KEPT = 48, 800_000
+#: The pattern for which texts may be split at spaces, blanks that touch, and blanks but space and line feed.
+BLANK_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+TOUCHING = ("  ", " \n", "\n ")
+RARE_BLANKS = "\t\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -73,32 +77,54 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class PieceCoder(dict):
-    """Ids of pieces as little-endian 32-bit integers, in a bounded memory.
+class Memory(dict):
+    """What ``make`` gives for each key, in a bounded memory.
 
-    When it is full, the pieces met first stay (frequent ones are met early) and
+    When it is full, the keys met first stay (frequent ones are met early) and
     the later half makes room.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, make: Callable[[str], bytes], most: int):
         super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(key) <= KEPT_CHARS:
+            if len(self) >= self.most:
+                for late in list(self)[self.most // 2 :]:
+                    del self[late]
+            self[key] = value
+        return value
+
+
+class PieceCoder:
+    """Ids of texts as little-endian 32-bit integers, and texts of ids.
+
+    Where the pattern allows it, a text is first split at spaces between words: a
+    match of ``BLANK_PATTERN`` never goes on after a space with other characters
+    than blanks on both sides, but may begin with one, so what lies between two
+    such spaces has its own matches. Codes of these chunks are remembered.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, kept: int = KEPT):
         self.ranks, self.entries = ranks, [b""] * len(ranks)
         for entry, rank in ranks.items():
             self.entries[rank] = entry
         # Blanks as the vocabularies' own library takes them: by Unicode's White_Space property.
         self.cut = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+        self.splits = pattern == BLANK_PATTERN
+        self.pieces = Memory(lambda p: np.array(merge(p.encode("utf-8", "surrogatepass"), ranks), "<u4").tobytes(), kept // 4)
+        self.opening, self.chunks = Memory(self._matches, kept // 16), Memory(lambda c: self._matches(f" {c}"), kept)
 
-    def __missing__(self, piece: str) -> bytes:
-        coded = np.array(merge(piece.encode("utf-8", "surrogatepass"), self.ranks), "<u4").tobytes()
-        if len(piece) <= KEPT_CHARS:
-            if len(self) >= KEPT_PIECES:
-                for late in list(self)[KEPT_PIECES // 2 :]:
-                    del self[late]
-            self[piece] = coded
-        return coded
+    def _matches(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.cut(text)))
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.cut(text)))
+        if not self.splits or any(b in text for b in TOUCHING) or any(b in text for b in (RARE_BLANKS[:4] if text.isascii() else RARE_BLANKS)):
+            return self._matches(text)
+        first, *rest = text.split(" ")
+        return self.opening[first] + b"".join(map(self.chunks.__getitem__, rest))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.entries.__getitem__, np.frombuffer(ids, "<u4").tolist()))

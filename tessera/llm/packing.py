@@ -128,7 +128,8 @@ def best_fit_pack(docs: DataFrame, n_tokens: Column, costs: Mapping[int, float]
     ``row`` names a long column that is passed through, to tell rows of equal ids apart.
     """
     longest, extra = max(costs), [row] if row else []
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *extra, F.greatest(F.coalesce(n_tokens.cast("long"), F.lit(1)), F.lit(1)).alias("n"))
+    # Written first: finding ranges reads all lengths once more, which may cost a lot to make.
+    whole = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *extra, F.greatest(F.coalesce(n_tokens.cast("long"), F.lit(1)), F.lit(1)).alias("n")), "packing-lengths")
     pieces = whole.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / longest))).alias("piece"))
     pieces = pieces.select("doc_id", *extra, F.col("piece").cast("int").alias("piece"), F.least(F.lit(longest), F.col("n") - F.col("piece") * longest).cast("int").alias("length"))
     # Written in order, with each row's range and place in it: numbers stay what they are.

@@ -471,13 +471,25 @@ def test_byte_bpe(spark, odd, nothing, tiktoken_encoding):
     assert byte_bpe.encode(nothing, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
-def test_byte_bpe_long_texts_and_full_memory(spark, tiktoken_encoding, monkeypatch):
+def test_byte_bpe_long_texts_and_full_memory(tiktoken_encoding):
     rng = random.Random(8)
     text = "z" * 200_000 + " " + "".join(rng.choices("abcdefgh .,\n\u00e9", k=300_000)) + " " * 5000 + "end"
-    coder = byte_bpe.PieceCoder(byte_bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
-    monkeypatch.setattr(byte_bpe, "KEPT_PIECES", 64)
+    coder = byte_bpe.PieceCoder(byte_bpe.read_ranks(RANKS), public_tokenizers.PATTERN, 64)
     ids = np.array(tiktoken_encoding.encode_ordinary(text), "<u4").tobytes()
-    assert coder.encode(text) == ids and coder.decode(ids) == text.encode() and len(coder) <= 65
+    assert coder.encode(text) == ids and coder.decode(ids) == text.encode()
+    short = text.replace("  ", " ").replace("\n", "")
+    assert np.frombuffer(coder.encode(short), "<u4").tolist() == tiktoken_encoding.encode_ordinary(short) and len(coder.chunks) <= 65
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab1,'s \n\t\r\u00a0\u2003\u00e9\x85\x1c", max_size=25))
+def test_chunks_have_their_own_matches(coder, tiktoken_encoding, text):
+    assert np.frombuffer(coder.encode(text), "<u4").tolist() == tiktoken_encoding.encode_ordinary(text)
+
+
+@pytest.fixture(scope="module")
+def coder():
+    return byte_bpe.PieceCoder(byte_bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
 
 
 def test_pattern_classes_agree_on_all_code_points(tiktoken_encoding):
