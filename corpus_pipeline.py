@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, classifier_chain, decision_list, jaccard_join, packing
+from tessera.llm import classifier_chain, decision_list, jaccard_join, packing, wordpiece
 from tessera.llm.common import materialise, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -37,7 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: every kept document gets its place in a packed sequence."""
-    counted = byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ("n_tokens",))
+    counted = wordpiece.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return packing.best_fit_pack(counted, F.col("n_tokens") + 1)
 
 
