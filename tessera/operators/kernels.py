@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.shared import written
+
 
 def _struct(names: Sequence[str]) -> Column:
     return F.struct(*names)
@@ -52,11 +54,12 @@ def prefix_offsets(df: DataFrame, length: str, order: Sequence[str], keys: Seque
 def global_offsets(df: DataFrame, length: str, order: str, out: str = "offset", slices: int | None = None) -> DataFrame:
     """``prefix_offsets`` over a whole table without one task for all rows.
 
-    Rows are dealt by ranges of ``order``; sums within ranges run in parallel,
-    and the sums of the ranges (a row for each) are added up before.
+    Rows are dealt by ranges of ``order`` and written, so that their ranges stay
+    what they are; sums within ranges run in parallel, and the sums of the ranges
+    (a row for each) are added up before.
     """
     spread = df.repartitionByRange(slices, order) if slices else df.repartitionByRange(order)
-    spread = spread.withColumn("_part", F.spark_partition_id())
+    spread = written(spread.withColumn("_part", F.spark_partition_id()), "ranges")
     inner = prefix_offsets(spread, length, [order], ["_part"], out)
     sums = prefix_offsets(spread.groupBy("_part").agg(F.sum(length).alias("_sum")), "_sum", ["_part"], (), "_base").select("_part", "_base")
     return inner.join(F.broadcast(sums), "_part").withColumn(out, (F.col(out) + F.col("_base")).cast("long")).drop("_part", "_base")
@@ -142,35 +145,44 @@ def positional_join(sets: DataFrame, items: DataFrame, size: str, set_order: Seq
     Places become an equi-join by exploding each set's range of positions, so
     no range condition is left to a nested loop. Missing items give nulls.
     """
-    placed = prefix_offsets(sets, size, set_order, (), "_start")
+    placed = global_offsets(sets.withColumn("_order", _struct(set_order)), size, "_order", "_start").drop("_order")
     wanted = placed.where(F.col(size) > 0).withColumn("_pos", F.explode(F.sequence(F.col("_start"), F.col("_start") + F.col(size) - 1)))
     return wanted.join(items.withColumnRenamed(position, "_pos"), "_pos", "left").withColumn("slot", (F.col("_pos") - F.col("_start")).cast("long")).withColumnRenamed("_pos", position).drop("_start")
 
 
-def closure_path(nodes: DataFrame, node: str, parent: str, name: str, keys: Sequence[str] = (), skip: Column | None = None, max_depth: int = 64) -> DataFrame:
+def closure_path(nodes: DataFrame, node: str, parent: str, name: str, keys: Sequence[str] = (), skip: Column | None = None) -> DataFrame:
     """Each node's names from its root on, joined by ``/``.
 
-    A null parent, or a parent equal to the node, marks a root. Each step joins
-    the unfinished nodes with the table, so steps are as many as levels; a node
-    that still isn't at a root after ``max_depth`` steps lies on a cycle and has
-    ``is_cycle`` set. Names for which ``skip`` holds leave no part.
+    A null parent, or a parent equal to the node or not in the table, marks a root.
+    Each step doubles how far every node's pointer reaches, so steps are as many as
+    the depth has binary digits. Pointers go first, without names: a node that has
+    reached no root after as many steps as the table could need lies on a cycle or
+    below one, has ``is_cycle`` set and a null path. Names for which ``skip`` holds
+    leave no part.
     """
     keys = list(keys)
     part = F.when(skip, F.lit(None)).otherwise(F.col(name)) if skip is not None else F.col(name)
-    own = nodes.select(*keys, F.col(node).alias("_id"), F.when(F.col(parent) == F.col(node), None).otherwise(F.col(parent)).alias("_up"), part.alias("_part"))
-    paths = own.select(*keys, F.col("_id").alias(node), F.col("_up").alias("_next"), F.array_compact(F.array("_part")).alias("_parts"))
-    done, depth = None, 0
-    while depth < max_depth:
-        ended = paths.where("_next IS NULL")
-        done = ended if done is None else done.unionByName(ended)
-        open_ = paths.where("_next IS NOT NULL")
-        if not open_.take(1):
+    listed = nodes.select(*keys, F.col(node).alias("_up"), F.lit(True).alias("_known")).distinct()
+    own = nodes.select(*keys, F.col(node).alias("_id"), F.when(F.col(parent) == F.col(node), None).otherwise(F.col(parent)).alias("_up"), F.array_compact(F.array(part)).alias("_parts"))
+    own = own.join(listed, [*keys, "_up"], "left").select(*keys, "_id", F.when(F.col("_known"), F.col("_up")).alias("_up"), "_parts")
+    own = written(own, "tree")
+
+    def double(now: DataFrame, extra: Sequence[str]) -> DataFrame:
+        far = now.select(*keys, F.col("_id").alias("_up"), F.col("_up").alias("_far"), *(F.col(c).alias(f"_above{c}") for c in extra))
+        joined = now.join(far, [*keys, "_up"], "left")
+        return written(joined.select(*keys, "_id", F.col("_far").alias("_up"), *(F.concat(F.coalesce(F.col(f"_above{c}"), F.array().cast("array<string>")), F.col(c)).alias(c) for c in extra)), "tree")
+
+    reach, steps = own.select(*keys, "_id", "_up"), max(1, own.count().bit_length())
+    for _ in range(steps):
+        if not reach.where("_up IS NOT NULL").take(1):
             break
-        up = own.select(*keys, F.col("_id").alias("_next"), F.col("_up").alias("_far"), F.col("_part").alias("_p"))
-        paths = open_.join(up, [*keys, "_next"], "left").select(*keys, node, F.col("_far").alias("_next"), F.concat(F.array_compact(F.array("_p")), F.col("_parts")).alias("_parts"))
-        depth += 1
-    out = done.withColumn("is_cycle", F.lit(False)).unionByName(paths.where("_next IS NOT NULL").withColumn("is_cycle", F.lit(True)))
-    return out.select(*keys, node, F.array_join("_parts", "/").alias("path"), "is_cycle")
+        reach = double(reach, ())
+    lost = reach.where("_up IS NOT NULL").select(*keys, "_id")
+    paths = own.join(lost, [*keys, "_id"], "left_anti")
+    while paths.where("_up IS NOT NULL").take(1):
+        paths = double(paths, ["_parts"])
+    out = paths.select(*keys, F.col("_id").alias(node), F.array_join("_parts", "/").alias("path"), F.lit(False).alias("is_cycle"))
+    return out.unionByName(lost.select(*keys, F.col("_id").alias(node), F.lit(None).cast("string").alias("path"), F.lit(True).alias("is_cycle")))
 
 
 def two_hops(seeds: DataFrame, first: DataFrame, second: DataFrame, on_first: str, on_second: str) -> DataFrame:
@@ -194,10 +206,10 @@ def histogram(df: DataFrame, value: Column, out: str = "value") -> DataFrame:
 def first_seen_index(df: DataFrame, value: str, order: Sequence[str], out: str = "index") -> DataFrame:
     """Dense numbers from 0 for the distinct values, in order of first appearance.
 
-    One row for each distinct value is ranked, not each row.
+    One row for each distinct value is ranked, not each row, and in ranges.
     """
-    seen = df.groupBy(value).agg(F.min(_struct(order)).alias("_first"))
-    return seen.select(value, (F.row_number().over(W.orderBy("_first")) - 1).cast("long").alias(out))
+    seen = df.groupBy(value).agg(F.min(_struct(order)).alias("_first")).withColumn("_one", F.lit(1).cast("long"))
+    return global_offsets(seen, "_one", "_first", out).select(value, out)
 
 
 def ordered_distinct(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], out: str = "values") -> DataFrame:

@@ -78,7 +78,7 @@ def join_lines(line: DataFrame, text: DataFrame, string: DataFrame, kind: DataFr
     named = k.last_wins(kind, ["type_id"], ["full_name"]).select("type_id", F.col("name").alias("type_name"), F.col("priority").alias("type_priority"))
     base, added = sidecar_suffix
     own = line.withColumn("side", F.concat(F.expr(f"left(full_name, length(full_name) - {len(base)})"), F.lit(added)))
-    return own.join(side, ["side", "string_id"], "left").join(sub, "string_key", "left").join(F.broadcast(named), "type_id", "left").drop("side")
+    return own.join(side, ["side", "string_id"], "left").join(sub, "string_key", "left").join(named, "type_id", "left").drop("side")
 
 
 def timed(line: DataFrame, event: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -14,16 +15,19 @@ from tessera.sources import records
 
 NODE = "struct<title:string,flags:bigint,content:bigint,out_pins:array<array<int>>,data_pins:array<array<int>>,fallback:array<int>,node_ord:int,type:string>"
 GRAPH = f"full_name string, instance int, nodes array<{NODE}>, strings array<string>, hits array<struct<at:int,id:bigint>>, entities array<struct<entity_ord:int,entity_id:bigint,path:string>>"
-STRIDE = 41
+STRIDE, MOST_IDS = 41, 10_000_000
 
 
 def parse(contents: DataFrame, timeline_ids: DataFrame) -> DataFrame:
     """A row per graph of each bundle (full_name, content).
 
-    ``timeline_ids`` (id) is the catalog's set of timeline ids, a few thousand
-    numbers of eight bytes: it is collected and sent to the tasks.
+    ``timeline_ids`` (id) is the catalog's set of timeline ids, eight bytes each:
+    it is sent to the tasks, and more than ``MOST_IDS`` are an error.
     """
-    wanted = contents.sparkSession.sparkContext.broadcast({r["id"] for r in timeline_ids.select("id").distinct().collect()})
+    found = timeline_ids.select("id").where("id IS NOT NULL").distinct().limit(MOST_IDS + 1).toPandas()["id"].to_numpy(np.int64)
+    if len(found) > MOST_IDS:
+        raise ValueError(f"more than {MOST_IDS} timeline ids")
+    wanted = contents.sparkSession.sparkContext.broadcast(np.sort(found))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -71,7 +75,7 @@ def timelines(graph: DataFrame, ids: DataFrame) -> DataFrame:
     hits = graph.select(*keys, expected, F.explode("hits").alias("h")).select(*keys, "expected", "h.at", "h.id")
     run = k.longest_or_all(hits, keys, "at", STRIDE, "expected")
     ordered = run.withColumn("ord", F.row_number().over(W.partitionBy(*keys).orderBy("at")) - 1)
-    return ordered.join(F.broadcast(ids.select("id", F.col("name").alias("timeline"))), "id").select(*keys, "ord", "timeline")
+    return ordered.join(ids.select("id", F.col("name").alias("timeline")), "id").select(*keys, "ord", "timeline")
 
 
 def nodes(graph: DataFrame, timeline: DataFrame, strings: DataFrame) -> DataFrame:

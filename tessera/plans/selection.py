@@ -75,11 +75,12 @@ def select_audio(resources: DataFrame, sizes: DataFrame, types: DataFrame | None
     events = resources.where(F.endswith("full_name", F.lit(".sndevent")))
     named = events.select(tx.stem(F.col("full_name"), ".sndevent").alias("event"), F.col("ord").alias("event_ord"), F.posexplode("deps").alias("link", "dep")).join(ids, "dep")
     by_event = named.where(F.endswith("bank", F.lit(".bnk"))).join(banks, "bank")
-    own = tx.categories(F.col("event"))
+    own = tx.categories(F.col("event"), F.col("types"))
     first = by_event.select("media", F.col("event").alias("label"), "bank", F.when(F.size(own) > 0, own).otherwise(F.col("bank_cats")).alias("cats"), F.struct(F.lit(0).alias("pass"), F.col("event_ord").alias("a"), F.col("link").alias("b"), "media_ord").alias("seq"))
     event_names = events.select(tx.stem(F.col("full_name"), ".sndevent").alias("bank_label"), F.lit(True).alias("has_event")).distinct()
     music = F.coalesce(F.arrays_overlap("types", F.array(*map(F.lit, tx.MUSIC_OBJECT_TYPES))), F.lit(False))
-    by_bank = banks.join(event_names, "bank_label", "left").where(F.col("has_event").isNull() | music)
+    # The general bank belongs to every event and speaks for none.
+    by_bank = banks.where("bank_label != 'init'").join(event_names, "bank_label", "left").where(F.col("has_event").isNull() | music)
     second = by_bank.select("media", F.col("bank_label").alias("label"), "bank", F.col("bank_cats").alias("cats"), F.struct(F.lit(1).alias("pass"), F.col("bank_ord").alias("a"), F.lit(0).alias("b"), "media_ord").alias("seq"))
     ways = first.unionByName(second).withColumn("category", F.explode("cats")).where(F.col("category").isin(*wanted))
     ways = ways.join(sizes.select(F.col("full_name").alias("media"), F.col("total_size").alias("size")), "media").where(F.col("size") > max(min_size, 0))
@@ -92,3 +93,18 @@ def select_audio(resources: DataFrame, sizes: DataFrame, types: DataFrame | None
 def totals(manifest: DataFrame) -> DataFrame:
     """Files and bytes by category."""
     return manifest.groupBy("category").agg(F.count("*").alias("n_files"), F.sum("size").alias("n_bytes"))
+
+
+def manifest(selected: DataFrame, info: DataFrame) -> DataFrame:
+    """The rows of the manifest file, in its order; ``info`` is what ``media_info`` says."""
+    name = lambda c: F.substring_index(c, "/", -1)
+    rows = selected.join(info.select(F.col("full_name").alias("media"), "seconds"), "media", "left")
+    return rows.orderBy("rank", "label", "media").select(
+        "category", F.col("label").alias("event_or_bank"), tx.stem(name("bank"), ".bnk").alias("bank"), tx.stem(name("media"), ".wem").alias("media_id"), F.col("size").alias("bytes"),
+        F.concat_ws("/", "category", tx.safe_name(F.col("label")), name("media")).alias("path"), F.coalesce(F.col("seconds").cast("string"), F.lit("")).alias("duration_s_estimate"), F.col("other_labels").alias("also_used_by"),
+    )
+
+
+def write_manifest(rows: DataFrame, path: str) -> None:
+    """The manifest as CSV with a header; its parts, in order of name, are in order."""
+    rows.write.mode("overwrite").option("header", "true").csv(path)

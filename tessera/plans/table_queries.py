@@ -6,17 +6,20 @@ are event spans, sets are conversations, trees are nations below regions.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.operators import kernels as k
-from tessera.plans.validation import violations
-from tessera.sources.catalog import Catalog, read_files, scan, write_archives
+from tessera.plans import conversations
+from tessera.plans.validation import root_mismatches, toc_accounting, type_names, violations
+from tessera.shared import fresh_dir
+from tessera.sources import layout, storage
+from tessera.sources.catalog import Catalog, listed, read_files, scan, strict_blobs, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -183,10 +186,12 @@ def q_closure_path(spark, sf_dir):
     return k.closure_path(regions.union(nations), "node", "up", "name")
 
 
-@query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+@query("SELECT DISTINCT n FROM (SELECT source || '/' || (doc_id % 40) || CASE WHEN doc_id % 3 = 0 THEN '-development' ELSE '' END AS n FROM documents) a WHERE NOT (n LIKE '%-development' AND replace(n, '-development', '') IN (SELECT source || '/' || (doc_id % 40) FROM documents WHERE doc_id % 3 <> 0))")
 def q_anti_variant(spark, sf_dir):
-    """Documents without a label."""
-    return _t(spark, sf_dir, "documents").select("doc_id", "source").join(_t(spark, sf_dir, "labels"), "doc_id", "left_anti")
+    """Names without those variants whose plain form is there."""
+    plain = F.concat("source", F.lit("/"), (F.col("doc_id") % 40).cast("string"))
+    names = _t(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 3 == 0, F.concat(plain, F.lit("-development"))).otherwise(plain).alias("n")).distinct()
+    return k.without_variant(names, "n", "-development")
 
 
 @query("SELECT c_custkey, p_brand, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1, 2")
@@ -259,12 +264,45 @@ def q_ordered_distinct(spark, sf_dir):
     return k.ordered_distinct(_t(spark, sf_dir, "events"), ["user_id"], "event_type", ["event_id"]).select("user_id", F.array_join("values", ">").alias("path"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'patched ' || p_partkey ELSE p_name END AS p_name FROM part")
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'patched ' || p_partkey ELSE p_name END AS p_name, false AS missing FROM part
+UNION ALL SELECT -p_partkey - 1, 'patched ' || p_partkey, true FROM part WHERE p_partkey % 50 = 0""")
 def q_apply_patches(spark, sf_dir):
-    """A table of values with some replaced by key."""
+    """A table of values with some replaced by key, and the patches that meet no row."""
     part = _t(spark, sf_dir, "part").select("p_partkey", "p_name")
-    patches = part.where("p_partkey % 10 = 0").select("p_partkey", F.concat(F.lit("patched "), F.col("p_partkey").cast("string")).alias("p_name"))
-    return k.apply_patches(part, patches, "p_partkey", "p_name")[0]
+    new = F.concat(F.lit("patched "), F.col("p_partkey").cast("string")).alias("p_name")
+    patches = part.where("p_partkey % 10 = 0").select("p_partkey", new).union(part.where("p_partkey % 50 = 0").select(-F.col("p_partkey") - 1, new))
+    done, missing = k.apply_patches(part, patches, "p_partkey", "p_name")
+    return done.withColumn("missing", F.lit(False)).unionByName(missing.select("p_partkey", F.col("_new").alias("p_name"), F.lit(True).alias("missing")))
+
+
+@query("""WITH e AS (SELECT l_suppkey AS seq, l_partkey % 50 AS sound, l_orderkey AS tl, l_linenumber AS o FROM lineitem WHERE l_returnflag = 'A')
+SELECT 'seq' || seq AS full_name, CAST(sound AS BIGINT) AS wem_id, CAST(n AS BIGINT) AS n, 't' || lpad(CAST(tl AS VARCHAR), 12, '0') AS timeline, o AS start, round(o / 30.0, 3) AS start_s
+FROM (SELECT seq, sound, count(*) AS n, min(tl) AS tl FROM e GROUP BY ALL) f JOIN (SELECT seq, sound, tl, min(o) AS o FROM e GROUP BY ALL) USING (seq, sound, tl)""")
+def q_sequence_events(spark, sf_dir):
+    """Lines with the first event that refers to their sequence and plays their sound: orders are timelines, suppliers sequences."""
+    item = _t(spark, sf_dir, "lineitem").where("l_returnflag = 'A'")
+    ref = lambda kind, id_: F.struct(F.lit(kind).alias("kind"), id_.cast("long").alias("id"))
+    event = item.select(
+        F.concat(F.lit("t"), F.lpad(F.col("l_orderkey").cast("string"), 12, "0")).alias("full_name"), F.col("l_linenumber").alias("event_ord"), F.lit(conversations.DIALOGUE_EVENT).alias("cls"), F.col("l_linenumber").alias("start"), F.lit(30).alias("duration"), F.lit("g").alias("guid"),
+        F.array(ref(conversations.TO_SEQUENCE, F.col("l_suppkey")), ref(conversations.TO_SOUND, F.col("l_partkey") % 50)).alias("refs"),
+    )
+    ids = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("id"), F.concat(F.lit("seq"), F.col("s_suppkey").cast("string")).alias("name"))
+    line = item.groupBy(F.concat(F.lit("seq"), F.col("l_suppkey").cast("string")).alias("full_name"), (F.col("l_partkey") % 50).cast("long").alias("wem_id")).agg(F.count("*").alias("n"))
+    return conversations.timed_in_sequence(line, conversations.sequence_events(event, ids)).select("full_name", "wem_id", "n", "timeline", "start", "start_s")
+
+
+@query("""SELECT 'con_' || user_id AS conversation, CASE WHEN user_id % 3 = 0 THEN 'mq' || user_id % 7 END AS quest, CASE WHEN user_id % 3 = 0 THEN 'facts' END AS source, CAST(count(DISTINCT event_type) AS BIGINT) AS sequences, count(*) AS lines,
+count(*) FILTER (event_id % 2 = 0) AS audio, count(*) FILTER (event_id % 5 = 0) AS subtitle_cues, CAST(user_id % 4 AS BIGINT) AS graphs,
+CASE WHEN user_id % 3 = 0 THEN 'quests/mq' || user_id % 7 ELSE 'loose/con' END || '/con_' || user_id AS folder FROM events GROUP BY user_id""")
+def q_conversation_index(spark, sf_dir):
+    """The index of conversations: users are conversations, their kinds of event sequences, events lines."""
+    own = F.concat(F.lit("con_"), F.col("user_id").cast("string"))
+    event = _t(spark, sf_dir, "events").select(own.alias("conv"), "user_id", F.concat_ws("/", own, "event_type").alias("full_name"), "event_id", "event_type")
+    line = event.select("full_name", F.when(F.col("event_id") % 2 == 0, F.col("event_type")).alias("wem"), F.when(F.col("event_id") % 5 == 0, F.lit(1.0)).alias("start_s"), F.lit(1.0).alias("duration_s"), F.lit("said").alias("text"), F.lit("").alias("subtitle"))
+    users = event.select("conv", "user_id").distinct()
+    quest = users.where("user_id % 3 = 0").select("conv", F.concat(F.lit("mq"), (F.col("user_id") % 7).cast("string")).alias("quest"), F.lit("facts").alias("quest_source"))
+    graphs = users.where("user_id % 4 > 0").select("conv", F.explode(F.sequence(F.lit(1), (F.col("user_id") % 4).cast("int"))).alias("ord"))
+    return conversations.index(event.select("conv", "full_name").distinct(), line, quest, graphs)
 
 
 @query("SELECT l_returnflag, l_linestatus, r_regionkey, n FROM (SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2) CROSS JOIN region")
@@ -301,11 +339,45 @@ def q_archive_roundtrip(spark, sf_dir):
     return content.select(number.alias("doc_id"), F.col("content").cast("string").alias("text"), (F.col("crc32") != F.col("info_crc32")).alias("damaged"))
 
 
-@query("SELECT doc_id AS toc_id, text AS rule FROM documents WHERE false")
+
+#: What is changed in a sound archive, one byte each, and the rule that it then breaks: section, place, new value.
+DAMAGE = (("chunks", 2, 1, "reserved byte is zero"), ("chunks", 1, 9, "archive exists"), ("metadata", 0, 7, "magic"))
+
+
+@query("SELECT * FROM (VALUES ('reserved byte is zero', 1), ('archive exists', 1), ('magic', 1)) t(rule, n_tocs)")
 def q_archive_violations(spark, sf_dir):
-    """Packed archives break no rule: no rows."""
-    catalog, _ = _archived(spark, sf_dir)
-    return violations(catalog).select("toc_id", "rule")
+    """Rules of ``DAMAGE`` that fail on one damaged archive each; sound ones break none."""
+    folder = fresh_dir(spark, "damaged")
+    rows = _t(spark, sf_dir, "region").select(F.concat(F.lit("a/"), "r_name").alias("name"), F.col("r_name").cast("binary").alias("content")).orderBy("name").collect()
+    toc, blob = layout.pack_archive([(r["name"], bytes(r["content"])) for r in rows], "x.rmdblob", 1, compress=False)
+    header = dict(zip(layout.HEADER_WORDS, np.frombuffer(toc, layout.U32, 22).tolist(), strict=True))
+    storage.write_whole(f"{folder}/sound/x.rmdtoc", toc)
+    storage.write_whole(f"{folder}/sound/x.rmdblob", blob)
+    for n, (section, at, value, _) in enumerate(DAMAGE):
+        place = layout.HEADER_SIZE + 16 + header[f"{section}_off"] + at
+        storage.write_whole(f"{folder}/{n}/x.rmdtoc", toc[:place] + bytes([value]) + toc[place + 1 :])
+    found = violations(Catalog.save(scan(spark, folder), f"{folder}/catalog"))
+    return found.groupBy("rule").agg(F.count_distinct("toc_id").cast("int").alias("n_tocs"))
+
+
+@query("SELECT source, count(*) AS n_files, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes, 0 AS n_damaged, 0 AS n_unstated, 0 AS bad_blobs FROM documents GROUP BY 1")
+def q_archive_strict(spark, sf_dir):
+    """Files by folder with strict checks of blobs, roots and checksums: size and identity agree everywhere."""
+    catalog, folder = _archived(spark, sf_dir)
+    bad = strict_blobs(catalog, spark, folder).where("problem IS NOT NULL").select("toc_id").distinct().withColumn("bad", F.lit(1))
+    lost = root_mismatches(catalog).select("toc_id", "file_idx", F.lit(1).alias("unstated"))
+    sums = read_files(catalog, catalog.blobs(spark, folder), catalog.file).select("toc_id", "file_idx", "crc32").join(catalog.info(), ["toc_id", "file_idx"]).select("toc_id", "file_idx", (F.col("crc32") != F.col("info_crc32")).alias("damaged"))
+    rows = catalog.file.join(sums, ["toc_id", "file_idx"], "left").join(lost, ["toc_id", "file_idx"], "left").join(bad, "toc_id", "left")
+    zero = lambda c: F.coalesce(F.sum(F.coalesce(F.col(c).cast("int"), F.lit(1 if c == "damaged" else 0))), F.lit(0)).cast("int")
+    return rows.groupBy(F.regexp_extract("full_name", r"^docs/([^/]*)/", 1).alias("source")).agg(F.count("*").alias("n_files"), F.sum("total_size").alias("n_bytes"), zero("damaged").alias("n_damaged"), zero("unstated").alias("n_unstated"), zero("bad").alias("bad_blobs"))
+
+
+@query("SELECT true AS all_bytes, CAST(0 AS BIGINT) AS gaps, CAST(2 AS BIGINT) AS n_types")
+def q_archive_accounting(spark, sf_dir):
+    """Every byte of every table of contents is accounted for, and two metadata classes are in use."""
+    catalog, folder = _archived(spark, sf_dir)
+    toc = toc_accounting(listed(spark, folder)).agg(F.bool_and(F.col("total") == F.col("structural") + F.col("zero_gap") + F.col("nonzero_gap")).alias("all_bytes"), F.sum(F.col("zero_gap") + F.col("nonzero_gap")).alias("gaps"))
+    return toc.join(F.broadcast(type_names(catalog).agg(F.count("*").alias("n_types"))))
 
 
 @query("SELECT source AS folder, count(*) AS n_files, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes FROM documents GROUP BY 1")
@@ -318,8 +390,7 @@ def q_archive_catalog(spark, sf_dir):
 
 def _archived(spark, sf_dir):
     """The documents as archives in the shared folder, and their catalog."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{base.rstrip('/')}/archives-{uuid.uuid4().hex}"
+    folder = fresh_dir(spark, "archives")
     name = F.concat(F.lit("docs/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     rows = _t(spark, sf_dir, "documents").select(name.alias("name"), F.col("text").cast("binary").alias("content"))
     write_archives(rows, "name", "content", folder).write.format("noop").mode("overwrite").save()

@@ -9,7 +9,7 @@ seek to the chunks that a file or a range needs.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,21 +64,35 @@ def decode_row(path: str, data: bytes) -> dict:
     return {"toc_path": path, "version": toc.header["version"], "image_size": len(toc.image), "file_size": len(data), "archives": archives, "paths": paths, "files": files, "chunks": chunks, "types": types, "sections": sections, "spans": spans, "violations": bad}
 
 
-def scan(spark: SparkSession, root: str, recursive: bool = True, glob: str = "*.rmdtoc", development: bool = True) -> DataFrame:
-    """A row per table of contents below ``root``, in order of path as ``toc_id``.
+def listed(spark: SparkSession, root: str | Sequence[str], recursive: bool = True, glob: str = "*.rmdtoc", development: bool = True) -> DataFrame:
+    """The files of tables of contents: of several roots (which may be globs) each file once.
 
     Without ``development`` those with ``-development`` in their path are left
     out where the plain one is there.
     """
-    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(root)
+    roots = [root] if isinstance(root, str) else list(root)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(roots)
+    if len(roots) > 1:
+        found = found.dropDuplicates(["path"])
+    return found if development else k.without_variant(found, "path", "-development")
+
+
+def scan(spark: SparkSession, root: str | Sequence[str], recursive: bool = True, glob: str = "*.rmdtoc", development: bool = True, asserting: bool = False) -> DataFrame:
+    """A row per table of contents, in order of path as ``toc_id``; see ``listed``.
+
+    With ``asserting`` one that breaks a rule on its bytes is an error; else its
+    violations are in its row.
+    """
+    found = listed(spark, root, recursive, glob, development)
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for path, data in zip(rows["path"], rows["content"], strict=True):
-                yield pd.DataFrame([decode_row(path, data)])
+                row = decode_row(path, data)
+                if asserting and row["violations"]:
+                    raise ValueError(f"{path}: {row['violations'][0]}")
+                yield pd.DataFrame([row])
 
-    if not development:
-        found = k.without_variant(found, "path", "-development")
     return found.select("path", "content").mapInPandas(decode, SCHEMA)
 
 
@@ -98,7 +112,7 @@ class Catalog:
     def open(cls, spark: SparkSession, path: str) -> Catalog:
         rows = spark.read.schema(SCHEMA).parquet(path)
         numbers = k.first_seen_index(rows.select("toc_path"), "toc_path", ["toc_path"], "toc_id")
-        return cls(rows.join(F.broadcast(numbers), "toc_path"))
+        return cls(rows.join(numbers, "toc_path"))
 
     def _table(self, name: str) -> DataFrame:
         return self.rows.select("toc_id", F.explode(name).alias("r")).select("toc_id", "r.*")
@@ -174,6 +188,36 @@ class Catalog:
         return k.first_wins(ranked.select("toc_id", "archive_idx", "identity", "blob_size", "blob_path", "length", "rank"), ["toc_id", "archive_idx"], ["rank", "blob_path"]).drop("rank")
 
 
+def strict_blobs(catalog: Catalog, spark: SparkSession, root: str) -> DataFrame:
+    """``Catalog.blobs`` for every archive, and what is wrong with each: missing, size, header or identity.
+
+    A blob has the size that its record states, and 16 bytes at its start of which
+    the last eight are the record's identity.
+    """
+
+    @F.pandas_udf("binary")
+    def header(paths: pd.Series) -> pd.Series:
+        return paths.map(lambda p: storage.read_header(p) if p is not None else b"")
+
+    found = catalog.blobs(spark, root).select("toc_id", "archive_idx", "blob_path", "length")
+    out = catalog.archive.select("toc_id", "archive_idx", "name", "identity", "blob_size").join(found, ["toc_id", "archive_idx"], "left").withColumn("_h", header("blob_path"))
+    own = F.conv(F.concat(*(F.hex(F.substring("_h", 9 + k, 1)) for k in range(7, -1, -1))), 16, -10).cast("long")
+    problem = F.when(F.col("blob_path").isNull(), "missing").when(F.col("length") != F.col("blob_size"), "size").when(F.octet_length("_h") < 16, "header").when(own != F.col("identity"), "identity")
+    return out.withColumn("problem", problem).drop("_h")
+
+
+def with_local(contents: DataFrame, spark: SparkSession, root: str) -> DataFrame:
+    """Contents (full_name, content) with those of an extracted tree in place of the archives' where it has the file.
+
+    Names in the tree lack the leading ``data/`` or ``data_pc/``.
+    """
+    tree = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    base = f"{root.rstrip('/').removeprefix('file://')}/"
+    own = tree.select(F.substring_index("path", base, -1).alias("_short"), F.col("content").alias("_local"))
+    short = F.regexp_replace("full_name", "^data(_pc)?/", "")
+    return contents.withColumn("_short", short).join(own, "_short", "left").withColumn("content", F.coalesce("_local", "content")).drop("_short", "_local")
+
+
 CONTENT = "toc_id long, file_idx long, full_name string, content binary, crc32 long, error string"
 
 
@@ -190,7 +234,7 @@ def read_files(catalog: Catalog, blobs: DataFrame, which: DataFrame, start: Colu
     else:
         placed = placed.withColumn("cut_from", F.lit(0)).withColumn("cut_size", F.col("decomp"))
     piece = F.struct("chunk_ord", "blob_path", "blob_off", "decomp", "comp", "cut_from", "cut_size")
-    lists = placed.join(F.broadcast(blobs.select("toc_id", "archive_idx", "blob_path")), ["toc_id", "archive_idx"], "left").groupBy("toc_id", "file_idx").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
+    lists = placed.join(blobs.select("toc_id", "archive_idx", "blob_path"), ["toc_id", "archive_idx"], "left").groupBy("toc_id", "file_idx").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
     files = catalog.file.join(which.select("toc_id", "file_idx").distinct(), ["toc_id", "file_idx"], "left_semi").select("toc_id", "file_idx", "full_name").join(lists, ["toc_id", "file_idx"], "left")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

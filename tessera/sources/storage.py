@@ -18,7 +18,7 @@ def read_range(uri: str, offset: int, size: int) -> bytes:
     if (path := local_path(uri)) is not None:
         with open(path, "rb") as file:
             file.seek(offset)
-            return file.read(size)
+            return file.read(min(size, os.path.getsize(path)))
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(uri)
@@ -47,3 +47,32 @@ def write_whole(uri: str, data: bytes) -> None:
     with store.open_output_stream(aside) as file:
         file.write(data)
     store.move(aside, path)
+
+
+def size_of(uri: str) -> int:
+    if (path := local_path(uri)) is not None:
+        return os.path.getsize(path)
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    return store.get_file_info(path).size
+
+
+def append(uri: str, data: bytes, at: int) -> None:
+    """Puts bytes at the end of a file of size ``at``; done again, it changes nothing."""
+    if (path := local_path(uri)) is None:
+        raise OSError("this store has no files that grow: copy the blob first")
+    with open(path, "r+b") as file:
+        file.seek(at)
+        file.write(data)
+        file.truncate()
+        file.flush()
+        os.fsync(file.fileno())
+
+
+def read_header(uri: str, size: int = 16) -> bytes:
+    """A file's first bytes, or none if it can't be read."""
+    try:
+        return read_range(uri, 0, size)
+    except OSError:
+        return b""

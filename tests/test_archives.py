@@ -1,3 +1,4 @@
+import json
 import random
 import struct
 
@@ -7,9 +8,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.plans import dialogue, selection, validation
+from tessera.plans import dialogue, rewrite, selection, validation
 from tessera.sources import layout, lz4block, records
-from tessera.sources.catalog import Catalog, extract, read_files, scan
+from tessera.sources.catalog import Catalog, extract, listed, read_files, scan, strict_blobs, with_local
 
 
 @settings(max_examples=60, deadline=None)
@@ -56,6 +57,32 @@ def test_no_violations_and_accounts(spark, packed):
     assert [r.gaps for r in validation.physical_accounting(c, c.blobs(spark, str(root))).collect()] == [0]
 
 
+def test_strict_reports_and_local_tree(spark, packed, tmp_path):
+    root, c, toc = packed
+    assert [r.problem for r in strict_blobs(c, spark, str(root)).collect()] == [None]
+    for k, (name, blob) in enumerate({"short": b"x" * 9, "other": (root / "one.rmdblob").read_bytes()[:8] + b"\1" * 8 + (root / "one.rmdblob").read_bytes()[16:]}.items()):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "one.rmdtoc").write_bytes(toc)
+        (tmp_path / name / "one.rmdblob").write_bytes(blob)
+        other = Catalog.save(scan(spark, str(tmp_path / name)), str(tmp_path / f"c{k}"))
+        assert [r.problem for r in strict_blobs(other, spark, str(tmp_path / name)).collect()] == [["size", "identity"][k]]
+    assert [r.n_passed for r in validation.report(c).collect()] == [1] * len(validation.GROUPS) and len(validation.report_text(c)) == len(validation.GROUPS)
+    assert validation.root_mismatches(c).count() == 0 and [r.name for r in validation.type_names(c).collect()] == sorted([layout.FILE_INFO, layout.RESOURCE])
+    (tmp_path / "gaps").mkdir()
+    (tmp_path / "gaps" / "x.rmdtoc").write_bytes(toc + b"\0\0\0ab")
+    assert tuple(validation.toc_accounting(listed(spark, str(tmp_path / "gaps"))).first())[1:] == (len(toc) + 5, len(toc), 3, 2)
+    assert scan(spark, [str(root), f"{root}/*.rmdtoc"]).count() == 1
+    with pytest.raises(Exception, match="magic"):
+        (tmp_path / "gaps" / "y.rmdtoc").write_bytes(b"\1" + toc[1:])
+        scan(spark, str(tmp_path / "gaps"), asserting=True).collect()
+    shown = {r.full_name: json.loads(r.json) for r in validation.file_json(c).collect()}
+    assert shown["a/y.bnk"] == {"fullname": "a/y.bnk", "total_size": 0, "primary_id": 7, "crc32": 0, "nchunks": 0, "sections": [layout.FILE_INFO, layout.RESOURCE]}
+    (tmp_path / "tree" / "a").mkdir(parents=True)
+    (tmp_path / "tree" / "a" / "y.bnk").write_bytes(b"mine")
+    content = spark.createDataFrame([("data/a/y.bnk", b"old"), ("data/b", b"kept")], "full_name string, content binary")
+    assert {r.full_name: bytes(r.content) for r in with_local(content, spark, str(tmp_path / "tree")).collect()} == {"data/a/y.bnk": b"mine", "data/b": b"kept"}
+
+
 def test_extract_guards_names(spark, packed, tmp_path):
     root, c, _ = packed
     content = read_files(c, c.blobs(spark, str(root)), c.file)
@@ -179,5 +206,59 @@ def test_audio_selection(spark):
         selection.select_audio(res, sizes, wanted=["nope"])
 
 
+def test_audio_selection_knows_object_types_and_the_general_bank(spark):
+    res = spark.createDataFrame([
+        ("e/env_boss.sndevent", 0, 100, [200]), ("b/bankx.bnk", 1, 200, [300]), ("b/init.bnk", 2, 202, [302]), ("m/1.wem", 3, 300, []), ("m/3.wem", 4, 302, []),
+    ], "full_name string, ord int, primary_id long, deps array<bigint>")
+    sizes = spark.createDataFrame([("m/1.wem", 10), ("m/3.wem", 30)], "full_name string, total_size long")
+    types = spark.createDataFrame([("b/bankx.bnk", [10]), ("b/init.bnk", [10])], "full_name string, types array<int>")
+    selected = selection.select_audio(res, sizes, types)
+    assert [(r.category, r.label, r.media) for r in selected.collect()] == [("music", "env_boss", "m/1.wem")]
+    info = spark.createDataFrame([("m/1.wem", 1.5)], "full_name string, seconds double")
+    assert [tuple(r) for r in selection.manifest(selected, info).collect()] == [("music", "env_boss", "bankx", "1", 10, "music/env_boss/1.wem", "1.5", "bankx")]
+
+
+def test_rewrite_keeps_ids_and_dependencies(tmp_path):
+    rewrite.rewrite_archive(FILES, {"z.txt": b"new"}, str(tmp_path / "two"), "two.rmdblob", 5, {"a/y.bnk": (7, [1, -2])})
+    toc = layout.Toc((tmp_path / "two.rmdtoc").read_bytes())
+    bodies = {i: [b for _, _, b in toc.metadata(int(f["meta_rel"]), int(f["meta_size"]))] for i, f in enumerate(toc.files)}
+    assert (7, [1, -2]) in [layout.resource(b[1]) for b in bodies.values()]
+
+
+def test_patch_in_place(spark, tmp_path):
+    toc, blob = layout.pack_archive(FILES, "one.rmdblob", 77, {"a/y.bnk": (7, [1, -2])}, chunk_size=1 << 14)
+    (tmp_path / "one.rmdtoc").write_bytes(toc)
+    (tmp_path / "one.rmdblob").write_bytes(blob)
+    names = {r.full_name: r.file_idx for r in Catalog.save(scan(spark, str(tmp_path)), str(tmp_path / "c0")).file.collect()}
+    new = {"z.txt": b"longer text", "a/b/big.bin": random.Random(4).randbytes(159_999)}
+    got = rewrite.patch_in_place(str(tmp_path / "one.rmdtoc"), str(tmp_path / "one.rmdblob"), {names[n]: b for n, b in new.items()}, 1 << 14)
+    assert [c["new_size"] for c in got["changes"]] == [len(new[n]) for n in sorted(new, key=names.get)] and (tmp_path / "one.rmdtoc.bak").read_bytes() == toc
+    c = Catalog.save(scan(spark, str(tmp_path)), str(tmp_path / "c1"))
+    assert validation.violations(c).collect() == [] and c.resource([".bnk"]).first().deps == [1, -2]
+    files = read_files(c, c.blobs(spark, str(tmp_path)), c.file).join(c.info(), ["toc_id", "file_idx"]).collect()
+    assert {r.full_name: bytes(r.content) for r in files} == dict(FILES) | new and all(r.crc32 == r.info_crc32 for r in files)
+    with pytest.raises(ValueError):
+        rewrite.patch_in_place(str(tmp_path / "one.rmdtoc"), str(tmp_path / "one.rmdblob"), {names["z.txt"]: bytes(1 << 15)}, 1 << 14)
+
+
+def test_sweeps_match_plain_loops():
+    rng = random.Random(6)
+    for _ in range(60):
+        raw = bytes(rng.choice(b"\0\0\0\1\2\3ab ") for _ in range(rng.randrange(120)))
+        want, at = [], 3
+        while at + 5 <= len(raw):
+            size = int.from_bytes(raw[at : at + 4], "little")
+            body = raw[at + 4 : at + 4 + size]
+            if 1 <= size <= 300 and len(body) == size and all(32 <= x < 127 for x in body):
+                want.append(body.decode())
+                at += 4 + size
+            else:
+                at += 1
+        assert records.printable_strings(raw, 3, len(raw)) == want
+        ids = {int.from_bytes(raw[k : k + 8], "little", signed=True) for k in range(0, max(len(raw) - 7, 0), 5)}
+        hits = [(k, v) for k in range(2, len(raw) - 7) if (v := int.from_bytes(raw[k : k + 8], "little", signed=True)) in ids]
+        assert records.id_hits(raw, 2, len(raw), np.array(sorted(ids), np.int64)) == hits
+
+
 def test_u40():
     assert layout.wide(np.frombuffer(b"\1\0\0\0\x80", "u1").reshape(1, 5)).tolist() == [(0x80 << 32) + 1]

@@ -71,10 +71,18 @@ def test_positional_join_runs_short_and_over(spark):
 
 def test_closure_path_with_cycle_and_skip(spark):
     df = spark.createDataFrame([(0, None, ""), (1, 0, "a"), (2, 1, "x.rmdblob"), (3, 2, "c"), (4, 5, "p"), (5, 4, "q"), (6, 6, "self")], "i int, up int, n string")
-    got = {r.i: (r.path, r.is_cycle) for r in k.closure_path(df, "i", "up", "n", skip=F.endswith("n", F.lit(".rmdblob")) | (F.col("n") == ""), max_depth=8).collect()}
+    got = {r.i: (r.path, r.is_cycle) for r in k.closure_path(df, "i", "up", "n", skip=F.endswith("n", F.lit(".rmdblob")) | (F.col("n") == "")).collect()}
     assert got[3] == ("a/c", False) and got[6] == ("self", False) and got[4][1] and got[5][1]
 
 
+def test_closure_path_of_any_depth(spark):
+    chain = [(i, i - 1 if i else None, f"n{i}") for i in range(150)] + [(1000, 1001, "a"), (1001, 1002, "b"), (1002, 1000, "c"), (1003, 1000, "below"), (2000, 9999, "dangling")]
+    df = spark.createDataFrame(chain, "i int, up int, n string")
+    got = {r.i: (r.path, r.is_cycle) for r in k.closure_path(df, "i", "up", "n").collect()}
+    assert len(got) == len(chain) and got[149] == ("/".join(f"n{i}" for i in range(150)), False) and got[2000] == ("dangling", False)
+    assert all(got[i] == (None, True) for i in (1000, 1001, 1002, 1003))
+
+
 def test_variants_and_patches(spark):
     df = spark.createDataFrame([("a",), ("a-development",), ("b-development",)], "p string")
     assert rows(k.without_variant(df, "p", "-development"), "p") == [("a",), ("b-development",)]
