@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,10 +11,16 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.shared import fresh_dir, remove, written
+
 #: Word separators of the contracts: space and the five ASCII control blanks.
 BLANKS = "\t\n\x0b\x0c\r"
 
 
+#: Writes a table and reads it back; it stays until the driver ends.
+materialise = written
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -48,43 +53,6 @@ def window_hash(w: Column, i: Column, size: int) -> Column:
     return F.xxhash64(*(F.get(w, i + k) for k in range(size)))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it.
-
-    It is read from ``spark.checkpoint.dir``. Only where that is unset (tests
-    in one JVM) is a folder below the warehouse set instead.
-    """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tessera_shared"
-        spark.sparkContext.setCheckpointDir(conf)
-    return conf.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, label: str) -> str:
-    """A path of its own below the shared folder; it goes when the driver ends."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    store, place = _store(spark, path)
-    store.deleteOnExit(place)
-    return path
-
-
-def _store(spark: SparkSession, path: str):
-    """The Hadoop file system of a path, and the path as that system has it."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there."""
-    return _write(df, fresh_dir(df.sparkSession, label))
-
-
-def _write(df: DataFrame, path: str) -> DataFrame:
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 class Scratch:
     """Intermediate tables of one computation, deleted once its result is written."""
 
@@ -92,15 +60,13 @@ class Scratch:
         self.spark, self.label, self.paths = spark, label, []
 
     def table(self, df: DataFrame, label: str) -> DataFrame:
-        """``materialise``, until ``clear``."""
-        path = fresh_dir(self.spark, f"{self.label}-{label}")
-        self.paths.append(path)
-        return _write(df, path)
+        """``written``, until ``clear``."""
+        self.paths.append(fresh_dir(self.spark, f"{self.label}-{label}"))
+        return written(df, label, self.paths[-1])
 
     def clear(self) -> None:
         for path in self.paths:
-            store, place = _store(self.spark, path)
-            store.delete(place, True)
+            remove(self.spark, path)
         self.paths.clear()
 
 
