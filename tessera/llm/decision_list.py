@@ -4,7 +4,9 @@
 ``learn`` runs sequential covering on labelled statistics: a rule is grown one
 threshold at a time by information gain, pruned from its end on held-out rows,
 kept if it is precise there, and the rows that it covers are taken out before
-the next. ``verdict`` turns the list into one ordered conditional expression, so
+the next. Covering ends when no bad row is left, a rule isn't precise, or after
+``most_rules`` rules of ``most_tests`` tests each: what it doesn't cover is kept.
+``verdict`` turns the list into one ordered conditional expression, so
 scoring stays in the JVM and shuffles nothing.
 
 Statistics are learned from at most ``max_labelled`` labelled documents (a

@@ -67,6 +67,25 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(counted, F.col("n_tokens") + 1)
 
 
+def text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op4_decision_list computes before its learned rules."""
+    counted = decision_list.text_stats(table(spark, sf_dir, "documents"))
+    return counted.select("doc_id", *decision_list.BASE, decision_list.base_failed().alias("base_failed"))
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op6_url_filter decides by rules alone."""
+    host, path = url_filter.host_and_path(F.col("url"))
+    parts = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"))
+    ruled = lambda wanted=None: url_filter.rule_column(F.col("host"), F.col("path"), url_filter.RULES, wanted)
+    return parts.select("page_id", "host", "path", ruled().alias("rule"), ruled(0).alias("rule_verdict"))
+
+
+def media_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op2_lossless_webp reads back from its files."""
+    return media.media_digest(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", F.col("height").cast("long").alias("height"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,7 +95,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     found = (
         op1_chat_windows, op2_lossless_webp, op3_token_files, op4_decision_list, op5_classifier_chain,
-        op6_url_filter, op7_wordpiece_counts, op8_byte_bpe, op9_jaccard_join, op10_best_fit_packing,
+        op6_url_filter, op7_wordpiece_counts, op8_byte_bpe, op9_jaccard_join, op10_best_fit_packing, text_statistics, url_rules, media_payload,
     )
     return {f.__name__: f for f in found} | {"pipeline": pipeline}
 
@@ -138,5 +157,41 @@ FROM sized LEFT JOIN reach ON reach.doc_id = sized.doc_id GROUP BY sized.doc_id,
 """
 
 
+SQL_STATISTICS = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), g AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM t)
+), twice AS (
+  SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS c FROM g) WHERE c > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(5) r(k) GROUP BY doc_id
+), l AS (
+  SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(w) < 10 OR 100 * coalesce(n, 0) > 20 * len(w) AS base_failed
+FROM l LEFT JOIN covered USING (doc_id)
+"""
+
+SQL_RULES = r"""
+WITH r AS (
+  SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS r FROM pages
+), p AS (
+  SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM r
+), fits AS (
+  SELECT p.*, x.rule, x.verdict FROM p LEFT JOIN (VALUES ('allow', 'com', '/', 'com/'), ('block', 'example.com', '/en/', 'example.com/en/'), ('allow', 'www.example.com', '/en/', 'www.example.com/en/'), ('block', 'net', '/es/', 'net/es/'), ('block', 'net', '/fr/', 'net/fr/')) x(verdict, h, b, rule)
+    ON (host = h OR suffix(host, '.' || h)) AND prefix(path, b)
+)
+SELECT page_id, host, path, rule, verdict AS rule_verdict FROM fits QUALIFY row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rule) DESC NULLS LAST, rule) = 1
+"""
+
+SQL_PAYLOAD = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) AS n FROM documents
+), p AS (SELECT *, CASE WHEN n = 0 THEN 192 ELSE n + (192 - n % 192) % 192 END AS size FROM t)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(size AS BIGINT) AS payload_bytes, sha256(t || repeat(' ', size - n)) AS payload_sha256, CAST(size // 192 AS BIGINT) AS height FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_windows": SQL_1, "op9_jaccard_join": SQL_9}
+    return {"op1_chat_windows": SQL_1, "op9_jaccard_join": SQL_9, "text_statistics": SQL_STATISTICS, "url_rules": SQL_RULES, "media_payload": SQL_PAYLOAD}
