@@ -43,7 +43,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [("toxicity", toxicity), ("quality rules", quality_rules), ("n-gram Jaccard join", near_duplicates), ("best-fit packing", best_fit_packing)]
 
-#: No SQL: the first stage is a trained model; tests hold the stages against plain versions.
+#: No SQL: two stages are trained models; tests/llm/test_pipeline.py holds each stage against a loop in plain Python.
 ORACLE_SQL = None
 
 
