@@ -108,3 +108,16 @@ def owners(graph: DataFrame) -> DataFrame:
     """The entity that owns each graph; of several the last."""
     own = graph.select("full_name", "instance", F.explode("entities").alias("e")).select("full_name", "instance", "e.*")
     return k.last_wins(own, ["full_name", "instance"], ["entity_ord"])
+
+
+def prompts(graph: DataFrame, strings: DataFrame) -> DataFrame:
+    """(full_name, instance, ord, key, text) of the texts that prompt a choice; ``strings`` has key, value and ord."""
+    own = F.filter("strings", lambda s: F.contains(s, F.lit("CHOICE_PROMPT_")))
+    texts = k.last_wins(strings.select("key", "value", "ord"), ["key"], ["ord"]).select("key", F.col("value").alias("text"))
+    return graph.select("full_name", "instance", F.posexplode(own).alias("ord", "key")).join(texts, "key", "left").select("full_name", "instance", "ord", "key", "text")
+
+
+def edges(node: DataFrame) -> DataFrame:
+    """(full_name, instance, node_ord, pin, link_ord, target): each link of each out pin of ``nodes``."""
+    pin = node.select("full_name", "instance", "node_ord", F.posexplode("out_pins").alias("pin", "links"))
+    return pin.select("full_name", "instance", "node_ord", "pin", F.posexplode("links").alias("link_ord", "target"))

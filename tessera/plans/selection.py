@@ -28,6 +28,16 @@ def bank_types(contents: DataFrame) -> DataFrame:
     return contents.select("full_name", types("content").alias("types"))
 
 
+def bank_objects(contents: DataFrame) -> DataFrame:
+    """(full_name, type, n): how many objects of each type a bank has."""
+
+    @F.pandas_udf("map<int,int>")
+    def counts(found: pd.Series) -> pd.Series:
+        return found.map(lambda b: records.bank(b)["types"] if b is not None else {})
+
+    return contents.select("full_name", F.explode(counts("content")).alias("type", "n"))
+
+
 def media_info(contents: DataFrame) -> DataFrame:
     """What audio headers say: codec, channels, rate, seconds."""
 

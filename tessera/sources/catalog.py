@@ -12,7 +12,6 @@ import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -164,6 +163,16 @@ class Catalog:
         own = self.section.where((F.col("class") == layout.FILE_INFO) & (F.octet_length(body) == 16))
         return own.where((word(0) == 1) & (word(2) == 0)).select("toc_id", "file_idx", word(1).alias("info_size"), word(3).alias("info_crc32"))
 
+    def meta(self) -> DataFrame:
+        """(toc_id, file_idx, meta): each file's metadata record as bytes, put together from its sections."""
+
+        @F.pandas_udf("binary")
+        def record(sections: pd.Series) -> pd.Series:
+            return sections.map(lambda own: layout.metadata_record([(int(x["type_idx"]), bytes(x["body"])) for x in own]))
+
+        own = F.sort_array(F.collect_list(F.struct("sec_ord", "type_idx", "body")))
+        return self._table("sections").groupBy("toc_id", "file_idx").agg(own.alias("s")).select("toc_id", "file_idx", record("s").alias("meta"))
+
     def resource(self, extensions: list[str] | None = None) -> DataFrame:
         """A file's id and the ids that it depends on; the extension filter comes before decoding."""
 
@@ -221,40 +230,58 @@ def with_local(contents: DataFrame, spark: SparkSession, root: str) -> DataFrame
 CONTENT = "toc_id long, file_idx long, full_name string, content binary, crc32 long, error string"
 
 
+#: So many bytes of content make up an output batch, unless one file has more.
+BATCH_BYTES = 16 << 20
+
+
 def read_files(catalog: Catalog, blobs: DataFrame, which: DataFrame, start: Column | None = None, size: Column | None = None) -> DataFrame:
     """The content of the files ``which`` (toc_id, file_idx), or a range of each.
 
-    Only chunks that the range meets are read and decoded. A file's chunk list
-    (numbers only) is gathered in one row; contents are made row by row.
+    A file's chunks are sliced from the lists of its own catalog row, and blobs
+    come as a small map for each catalog, so only file rows are shuffled. Only
+    chunks that the range meets are read and decoded.
     """
-    chunks = catalog.file_chunk().join(which.select("toc_id", "file_idx").distinct(), ["toc_id", "file_idx"], "left_semi")
-    placed = k.prefix_offsets(chunks, "decomp", ["chunk_ord"], ["toc_id", "file_idx"], "pos")
-    if start is not None:
-        placed = k.overlapping(placed, "pos", "decomp", start, size)
-    else:
-        placed = placed.withColumn("cut_from", F.lit(0)).withColumn("cut_size", F.col("decomp"))
-    piece = F.struct("chunk_ord", "blob_path", "blob_off", "decomp", "comp", "cut_from", "cut_size")
-    lists = placed.join(blobs.select("toc_id", "archive_idx", "blob_path"), ["toc_id", "archive_idx"], "left").groupBy("toc_id", "file_idx").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
-    files = catalog.file.join(which.select("toc_id", "file_idx").distinct(), ["toc_id", "file_idx"], "left_semi").select("toc_id", "file_idx", "full_name").join(lists, ["toc_id", "file_idx"], "left")
+    at = lambda f: F.slice("chunks", (F.floor(f["chunk_rel"] / 16) + 1).cast("int"), F.floor(f["chunk_bytes"] / 16).cast("int"))
+    nested = F.transform("files", lambda f: F.struct(f["file_idx"].alias("file_idx"), f["full_name"].alias("full_name"), at(f).alias("chunks")))
+    files = catalog.rows.select("toc_id", F.explode(nested).alias("f")).select("toc_id", "f.*").join(which.select("toc_id", "file_idx").distinct(), ["toc_id", "file_idx"], "left_semi")
+    paths = blobs.groupBy("toc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("archive_idx").cast("string"), "blob_path"))).alias("blobs"))
+    files = files.repartition("toc_id", "file_idx").join(paths, "toc_id", "left")
+    files = files.withColumn("start", (start if start is not None else F.lit(0)).cast("long")).withColumn("size", (size if size is not None else F.lit(1 << 62)).cast("long"))
+
+    def content(r) -> bytes:
+        parts, begin, blobs = [], 0, r.blobs or {}
+        for c in r.chunks if r.chunks is not None else ():
+            low, high = max(r.start - begin, 0), min(r.start + r.size - begin, c["decomp"])
+            begin += c["decomp"]
+            if low >= high:
+                continue
+            if (blob := blobs.get(str(c["archive_idx"]))) is None:
+                raise ValueError("the blob is missing")
+            raw = storage.read_range(blob, c["blob_off"], c["comp"] or c["decomp"])
+            raw = lz4block.decode(raw, c["decomp"]) if c["comp"] else raw
+            if len(raw) != c["decomp"]:
+                raise ValueError("a chunk is cut short")
+            parts.append(raw[low:high])
+        return b"".join(parts)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
+            out, held = [], 0
             for r in rows.itertuples():
-                content, why = b"", None
                 try:
-                    parts = []
-                    for p in r.pieces if r.pieces is not None else ():
-                        if p["blob_path"] is None:
-                            raise ValueError("the blob is missing")
-                        raw = storage.read_range(p["blob_path"], p["blob_off"], p["comp"] or p["decomp"])
-                        raw = lz4block.decode(raw, p["decomp"]) if p["comp"] else raw
-                        if len(raw) != p["decomp"]:
-                            raise ValueError("a chunk is cut short")
-                        parts.append(raw[p["cut_from"] : p["cut_from"] + p["cut_size"]])
-                    content = b"".join(parts)
+                    found, why = content(r), None
                 except (ValueError, OSError) as e:
-                    content, why = None, str(e)
-                yield pd.DataFrame({"toc_id": [r.toc_id], "file_idx": [r.file_idx], "full_name": [r.full_name], "content": [content], "crc32": pd.array([None if content is None else zlib.crc32(content)], "Int64"), "error": [why]})
+                    found, why = None, str(e)
+                out.append((r.toc_id, r.file_idx, r.full_name, found, None if found is None else zlib.crc32(found), why))
+                held += len(found or b"")
+                if held >= BATCH_BYTES:
+                    yield frame(out)
+                    out, held = [], 0
+            if out:
+                yield frame(out)
+
+    def frame(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["toc_id", "file_idx", "full_name", "content", "crc32", "error"]).astype({"crc32": "Int64"})
 
     return files.mapInPandas(read, CONTENT)
 
@@ -263,41 +290,63 @@ def extract(contents: DataFrame, root: str) -> DataFrame:
     """Writes contents below ``root``: a row per file with what came of it.
 
     A file is written aside, synced, moved into place, read again and compared,
-    so a task that runs twice leaves the same tree. Unsafe names aren't written.
+    so a task that runs twice leaves the same tree. Unsafe names aren't written,
+    nor is content that differs from a size or checksum in ``total_size`` or
+    ``info_crc32``, where the rows have these columns. With a column ``meta`` its
+    bytes, if there are any, go beside the file as ``<file>.meta``.
     """
+    known = [c for c in ("total_size", "info_crc32", "meta") if c in contents.columns]
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
-            for r in rows.itertuples():
-                parts = r.full_name.replace("\\", "/").split("/")
-                if r.content is None:
-                    state = f"unread: {r.error}"
-                elif r.full_name.startswith("/") or {"", ".", ".."} & set(parts) or ":" in parts[0]:
+            for r in rows.to_dict("records"):
+                name, content, want = r["full_name"], r["content"], {c: r[c] for c in known if not pd.isna(r[c])}
+                parts = name.replace("\\", "/").split("/")
+                if content is None:
+                    state = f"unread: {r.get('error')}"
+                elif name.startswith("/") or {"", ".", ".."} & set(parts) or ":" in parts[0]:
                     state = "unsafe name"
+                elif len(content) != want.get("total_size", len(content)):
+                    state = "size differs"
+                elif "info_crc32" in want and zlib.crc32(content) != want["info_crc32"]:
+                    state = "checksum differs"
                 else:
                     target = f"{root.rstrip('/')}/{'/'.join(parts)}"
-                    storage.write_whole(target, r.content)
-                    again = storage.read_range(target, 0, len(r.content) + 1)
-                    state = "written" if again == r.content else "differs"
-                out.append((r.full_name, 0 if r.content is None else len(r.content), state))
+                    storage.write_whole(target, content)
+                    again = storage.read_range(target, 0, len(content) + 1)
+                    state = "written" if again == content else "differs"
+                    if want.get("meta"):
+                        storage.write_whole(f"{target}.meta", want["meta"])
+                out.append((name, 0 if content is None else len(content), state))
             yield pd.DataFrame(out, columns=["full_name", "n_bytes", "state"])
 
-    return contents.mapInPandas(write, "full_name string, n_bytes long, state string")
+    return contents.select("full_name", "content", *known, *(c for c in ("error",) if c in contents.columns)).mapInPandas(write, "full_name string, n_bytes long, state string")
 
 
-def write_archives(df: DataFrame, name: str, content: str, folder: str) -> DataFrame:
-    """Packs rows (name, content) into one archive per partition below ``folder``."""
+def write_archives(df: DataFrame, name: str, content: str, folder: str, most_bytes: int = 256 << 20) -> DataFrame:
+    """Packs rows (name, content) into archives below ``folder``: a new one per partition and ``most_bytes`` of content."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        rows = [(n, bytes(c)) for b in batches for n, c in zip(b["name"], b["content"], strict=True)]
-        if rows:
-            part = TaskContext.get().partitionId()
-            toc, blob = layout.pack_archive(rows, f"part-{part:05d}.rmdblob", identity=part + 1)
-            storage.write_whole(f"{folder}/part-{part:05d}.rmdblob", blob)
-            storage.write_whole(f"{folder}/part-{part:05d}.rmdtoc", toc)
-            yield pd.DataFrame({"part": [part], "n_files": [len(rows)], "n_bytes": [int(np.sum([len(c) for _, c in rows]))]})
+        part, k, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def flush() -> pd.DataFrame:
+            stem = f"part-{part:05d}-{k:04d}"
+            toc, blob = layout.pack_archive(held, f"{stem}.rmdblob", identity=(part << 16) + k + 1)
+            storage.write_whole(f"{folder}/{stem}.rmdblob", blob)
+            storage.write_whole(f"{folder}/{stem}.rmdtoc", toc)
+            return pd.DataFrame({"part": [part], "n_files": [len(held)], "n_bytes": [size]})
+
+        for batch in batches:
+            for own, raw in zip(batch["name"], batch["content"], strict=True):
+                held.append((own, bytes(raw)))
+                size += len(raw)
+                if size >= most_bytes:
+                    yield flush()
+                    k, held, size = k + 1, [], 0
+        if held:
+            yield flush()
 
     return df.select(F.col(name).alias("name"), F.col(content).alias("content")).mapInPandas(pack, "part int, n_files long, n_bytes long")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.plans import dialogue, rewrite, selection, validation
 from tessera.sources import layout, lz4block, records
-from tessera.sources.catalog import Catalog, extract, listed, read_files, scan, strict_blobs, with_local
+from tessera.sources.catalog import Catalog, extract, listed, read_files, scan, strict_blobs, with_local, write_archives
 
 
 @settings(max_examples=60, deadline=None)
@@ -90,6 +90,30 @@ def test_extract_guards_names(spark, packed, tmp_path):
     states = {r.full_name: r.state for r in extract(content.union(bad), str(tmp_path)).collect()}
     assert states.pop("../evil") == "unsafe name" and set(states.values()) == {"written"}
     assert (tmp_path / "a/b/x.wem").read_bytes() == FILES[0][1]
+    strict = content.join(c.file.select("file_idx", "total_size"), "file_idx").join(c.info().select("file_idx", "info_crc32"), "file_idx").join(c.meta().select("file_idx", "meta"), "file_idx")
+    wrong = strict.withColumn("info_crc32", F.when(F.col("full_name") == "z.txt", F.lit(1)).otherwise(F.col("info_crc32"))).withColumn("total_size", F.when(F.col("full_name") == "a/y.bnk", F.lit(9)).otherwise(F.col("total_size")))
+    states = {r.full_name: r.state for r in extract(wrong, str(tmp_path / "strict")).collect()}
+    assert states == {"a/b/x.wem": "written", "a/b/big.bin": "written", "z.txt": "checksum differs", "a/y.bnk": "size differs"} and not (tmp_path / "strict/z.txt").exists()
+    toc = layout.Toc((root / "one.rmdtoc").read_bytes())
+    f = toc.files[[toc.text(int(x["name_off"]), int(x["name_len"])) for x in toc.files].index("x.wem")]
+    at = toc.header["metadata_off"] + int(f["meta_rel"])
+    assert (tmp_path / "strict/a/b/x.wem.meta").read_bytes() == toc.image[at : at + int(f["meta_size"])]
+
+
+def test_write_archives_in_parts(spark, tmp_path):
+    rows = spark.createDataFrame([(f"f{i}", bytes([i]) * 1000) for i in range(10)], "name string, content binary").coalesce(1)
+    assert sorted(r.n_files for r in write_archives(rows, "name", "content", str(tmp_path / "a"), 3000).collect()) == [1, 3, 3, 3]
+    c = Catalog.save(scan(spark, str(tmp_path / "a")), str(tmp_path / "c"))
+    got = {r.full_name: bytes(r.content) for r in read_files(c, c.blobs(spark, str(tmp_path / "a")), c.file).collect()}
+    assert got == {f"f{i}": bytes([i]) * 1000 for i in range(10)}
+    (tmp_path / "a" / "part-00000-0000.rmdblob").unlink()
+    assert sum(r.error == "the blob is missing" for r in read_files(c, c.blobs(spark, str(tmp_path / "a")), c.file).collect()) == 3
+
+
+def test_bank_objects(spark):
+    bank = b"HIRC" + struct.pack("<II", 4 + 2 * 9, 2) + (b"\x0a" + struct.pack("<I", 4) + b"abcd") * 2
+    df = spark.createDataFrame([("b", bank), ("none", None)], "full_name string, content binary")
+    assert [tuple(r) for r in selection.bank_objects(df).collect()] == [("b", 10, 2)]
 
 
 def _broken(toc, change):
