@@ -22,8 +22,8 @@ tokenizer drops blanks before it merges, so chunks encode independently.
 Names of special tokens in a text are encoded as the library does by default
 (``<|endoftext|>`` gives its id); ``names_as_text`` makes them ordinary text.
 
-Texts are encoded where they lie, and ids are what is dealt by ranges of
-``doc_id``. A task writes its shard as rows come, so it holds a batch at a time.
+Ranges are found on ids alone; then texts are encoded where they lie, and ids are
+what is dealt. A task writes its shard as rows come, so it holds a batch at a time.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ import sys
 import uuid
 import zlib
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import IO
@@ -139,23 +140,41 @@ def _get(folder: str, name: str, dtype: str) -> np.ndarray:
         return np.frombuffer(file.read(), dtype=dtype)
 
 
-def encode(docs: DataFrame, tokenizer_path: str, end_id: int, width: str, names_as_text: bool = False) -> DataFrame:
-    """(doc_id, tie, ids) of each document, where it lies; ``ids`` are bytes and end with ``end_id``."""
-    file = os.path.basename(tokenizer_path)
+def shard_starts(docs: DataFrame, shard_bytes: int, scratch: Scratch) -> list[tuple[bool, int, int]]:
+    """Where each shard but the first begins: (whether the id is known, doc_id, hash of the text).
+
+    Ranges of about ``shard_bytes`` bytes of text are found on ids and hashes alone;
+    what reaches the driver is a row per shard.
+    """
+    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.octet_length(F.col("text").cast("string")).alias("size"))
+    keys = scratch.table(keys, "keys")
+    n = -(-(keys.agg(F.sum("size")).first()[0] or 0) // shard_bytes)
+    if n < 2:
+        return []
+    dealt = keys.repartitionByRange(int(n), "doc_id", "tie").groupBy(F.spark_partition_id().alias("part"))
+    first = dealt.agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "tie")).alias("first"))
+    return sorted(tuple(r["first"]) for r in first.collect())[1:]
+
+
+def encode(docs: DataFrame, tokenizer_path: str, end_id: int, width: str, names_as_text: bool = False, starts: list[tuple[bool, int, int]] = ()) -> DataFrame:
+    """(shard, doc_id, tie, ids) of each document, where it lies; ``ids`` are bytes and end with ``end_id``."""
+    file, bound = os.path.basename(tokenizer_path), docs.sparkSession.sparkContext.broadcast(list(starts))
     docs.sparkSession.sparkContext.addFile(tokenizer_path)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = _encoder(SparkFiles.get(file), width, names_as_text), np.asarray([end_id], width).tobytes()
+        encoder, end, starts = _encoder(SparkFiles.get(file), width, names_as_text), np.asarray([end_id], width).tobytes(), bound.value
         for batch in batches:
             for first, texts in text_runs(batch.column("text")):
+                own = [batch.column(c).slice(first, len(texts)) for c in ("doc_id", "tie")]
+                shards = [bisect_right(starts, (i is not None, i or 0, t)) for i, t in zip(*(c.to_pylist() for c in own), strict=True)]
                 ids = pa.array([encoder.encode(t) + end for t in texts], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(first, len(texts)) for c in ("doc_id", "tie")] + [ids], ["doc_id", "tie", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), *own, ids], ["shard", "doc_id", "tie", "ids"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(code, "doc_id long, tie long, ids binary")
+    return plain.mapInArrow(code, "shard int, doc_id long, tie long, ids binary")
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, vocab_size: int, names_as_text: bool = False) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, vocab_size: int, names_as_text: bool = False, shard_bytes: int = 64 << 20) -> DataFrame:
     """Encode and write all documents in order of ``doc_id``; returns the shards.
 
     The result has a row per shard: shard, name, n_docs, n_tokens, n_null (its
@@ -182,8 +201,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
                 n, at, batch = n + batch.num_rows, int(ends[-1]), next(batches, None)
         yield pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int32()), "name": [name], "n_docs": [n], "n_tokens": [at], "n_null": [nulls]})
 
-    coded = scratch.table(encode(docs, tokenizer_path, end_id, width, names_as_text), "ids")
-    ordered = coded.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
+    starts = shard_starts(docs, shard_bytes, scratch)
+    coded = encode(docs, tokenizer_path, end_id, width, names_as_text, starts)
+    # Ranges are known before, so that texts are encoded once, and straight into the shuffle.
+    ordered = coded.repartitionById(len(starts) + 1, "shard").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
     found = ordered.mapInArrow(write, "shard int, name string, n_docs long, n_tokens long, n_null long").collect()
     scratch.clear()
     base, doc_base, shards = 0, 0, []

@@ -236,6 +236,19 @@ def test_token_files(spark, odd, nothing, names_as_text):
     assert token_files.op3_token_files(spark, nothing, WORD_BPE).count() == 0
 
 
+def test_token_files_in_several_shards(spark, tmp_path):
+    # A third of the rows have one id, some of them one text; some have none.
+    rows = [(None if i % 7 == 0 else 5 if i % 3 == 0 else 1000 - i, f"text {i if i % 6 else 0} of many") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    shards = token_files.write_token_files(df, str(tmp_path / "x"), WORD_BPE, 2, 49_408, shard_bytes=1000)
+    assert shards.count() > 5 and sum(r.n_docs for r in shards.collect()) == 500
+    got = sorted(rows_of(token_files.read_token_files(shards, str(tmp_path / "x"))), key=lambda r: r["start"])
+    ids = [r["doc_id"] for r in got]
+    assert [(i is not None, i or 0) for i in ids] == sorted((i is not None, i or 0) for i, _ in rows)
+    starts = np.cumsum([0] + [r["n_tokens"] for r in got])
+    assert [r["start"] for r in got] == starts[:-1].tolist()
+
+
 def test_token_files_special_names_long_texts_and_least_id(spark):
     from tokenizers import Tokenizer
 
