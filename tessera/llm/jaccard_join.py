@@ -48,9 +48,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, materialise
+from tessera.llm.common import Scratch, materialise, small_batches
 from tessera.llm.shingles import first_tokens, set_hashes, shingle_sets
 
 MOST_BITS = 24
@@ -188,10 +189,9 @@ def _postings(corpus: Corpus, signed: DataFrame) -> DataFrame:
     groups = corpus.scratch.table(groups.select("doc", "n", "p"), "prefixes")
     each = groups.select("doc", "n", F.posexplode("p").alias("pos", "token")).repartition("token")
     shared = each.join(each.groupBy("token").agg(F.count("*").alias("lists")).where("lists > 1").select("token"), "token")
-    rows = shared.groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("t"))
-    # Of the prefix tokens before the k-th shared one, pos - k are no one else's.
-    left = F.transform("t", lambda t, k: F.struct(t["token"].alias("token"), (F.col("n") - t["pos"] + k).alias("left")))
-    return corpus.scratch.table(rows.select("doc", "n", F.inline(left)), "postings")
+    # Of the prefix tokens before the k-th shared one (from 0), pos - k are no one else's.
+    k = F.row_number().over(W.partitionBy("doc").orderBy("pos")) - 1
+    return corpus.scratch.table(shared.select("token", "doc", "n", (F.col("n") - F.col("pos") + k).alias("left")), "postings")
 
 
 def _hub_order(rank: str = "doc") -> Column:
@@ -223,7 +223,11 @@ def _open_lists(corpus: Corpus, postings: DataFrame, groups: DataFrame) -> DataF
 
 def link(docs: DataFrame) -> DataFrame:
     """A row per row of ``docs``: doc_id, n_shingles, component_id."""
-    corpus = Corpus(docs)
+    with small_batches(docs.sparkSession):
+        return _link(Corpus(docs))
+
+
+def _link(corpus: Corpus) -> DataFrame:
     table = corpus.scratch.table
     signed = table(corpus.signatures(), "signatures")
     worded = signed.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
