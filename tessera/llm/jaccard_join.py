@@ -208,17 +208,18 @@ def _stars(postings: DataFrame) -> DataFrame:
     return pairs.where(20 * F.col("c") >= prefix_size(F.col("n"))).select(F.col("hub").alias("a"), F.col("doc").alias("b"))
 
 
-def _open_lists(corpus: Corpus, postings: DataFrame, groups: DataFrame) -> DataFrame:
+def _open_lists(postings: DataFrame, groups: DataFrame) -> DataFrame:
     """The postings of lists that hold several components, and whether each is apart from its hub's.
 
     A posting is dropped whose ``left`` is too small for the list's smallest set.
+    What is dealt by token stays so for all that follows, so this isn't written.
     """
     posted = postings.join(groups.withColumnRenamed("leader", "doc"), "doc").repartition("token")
     lists = posted.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h"), F.max_by("main", _hub_order()).alias("hub_comp"), F.min("n").alias("least"))
     alive = enough(F.col("left"), F.col("n"), F.greatest(F.col("least"), F.ceil(4 * F.col("n") / 5)))
     apart = (F.col("low") != F.col("hub_comp")) | (F.col("high") != F.col("hub_comp"))
     found = posted.join(lists.where("l < h").drop("l", "h"), "token").where(alive)
-    return corpus.scratch.table(found.select("token", "doc", "n", "left", "low", "high", apart.alias("apart")), "open")
+    return found.select("token", "doc", "n", "left", "low", "high", apart.alias("apart"))
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -249,7 +250,7 @@ def _link(corpus: Corpus) -> DataFrame:
         named = classes.select("node", "leader", "n").join(first, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
         named = table(named, "named")
         groups = named.groupBy("leader").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by("comp", "node").alias("main"))
-        open_lists = _open_lists(corpus, postings, groups)
+        open_lists = _open_lists(postings, groups)
         sizes = open_lists.groupBy("token").agg(F.count("*").alias("all"), F.count_if("apart").alias("apart"))
         load = sizes.agg(F.sum(F.col("all") * F.col("apart")).alias("pairs"), F.sum("all").alias("rows")).first()
         if star == MOST_STARS or (load["pairs"] or 0) <= PAIRS_A_POSTING * (load["rows"] or 0):
