@@ -11,7 +11,11 @@ scoring stays in the JVM and shuffles nothing.
 
 Statistics are learned from at most ``max_labelled`` labelled documents (a
 bound of the classifier alone; chosen by hash of ``doc_id``) and applied to
-every whole text. Defined results: a null text has no words and fails the base
+every whole text. Arrays over all words of a text take some hundred bytes a word
+in one row; texts of more than ``LONG`` characters are therefore cut between
+words into rows, whose counts are added up by ``_long_stats`` to the same values.
+
+Defined results: a null text has no words and fails the base
 rules; labels that are null are left out; of repeated labels the greatest
 counts; without labels of both kinds the list is empty and keeps all; other
 columns pass through.
@@ -24,16 +28,75 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import window_hash, words
+from tessera.llm.common import Scratch, materialise, window_hash, words
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: What rules may test, each a ratio of statistics that doesn't depend on length.
 FEATURES = ("word_length", "symbol_rate", "dup_line_rate", "repeat_rate", "upper_rate", "bang_rate", "distinct_rate", "line_words", "digit_rate")
 SYMBOLS = r"[^#*$%&|<>]+"
 GRAM = 5
-_INNER = ("_t", "_w", "_g", "_s", "_p", "_l", "_lines", "_kinds", "_upper", "_bangs", "_digits", "base_failed", "rule", "kept")
+#: Characters of a text from which on it is counted in rows of parts, and of a part, unless a word or line is longer.
+LONG, PART = 1 << 20, 1 << 16
+_MARKS = ("_lines", "_kinds", "_upper", "_bangs", "_digits")
+_INNER = ("_t", "_w", "_g", "_s", "_p", "_l", *_MARKS, "_key", "base_failed", "rule", "kept")
+
+
+def _left(text: str, drop: str) -> Column:
+    return F.length(F.regexp_replace(text, drop, ""))
+
+
+def _has_word(line: Column) -> Column:
+    return F.length(F.replace(F.translate(line, "\t\x0b\x0c\r", "    "), F.lit(" "), F.lit(""))) > 0
+
+
+def _marks(text: str) -> list[Column]:
+    return [_left(text, SYMBOLS).cast("long").alias("n_symbols"), _left(text, r"[^\p{Lu}]+").alias("_upper"), _left(text, "[^!]+").alias("_bangs"), _left(text, "[^0-9]+").alias("_digits")]
+
+
+def _cut(text: str, ends: str) -> Column:
+    """A text in parts, each up to the last of the characters ``ends`` within ``PART`` characters, or else the next."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{0,{PART}}}(?:[{ends}]|\z)|[^{ends}]+"), F.lit(0))
+
+
+def _long_parts(docs: DataFrame) -> DataFrame:
+    """Texts ``_t`` as rows: of ``_kind`` 0 the parts cut between words, of 1 those cut between lines."""
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.xxhash64("_t").alias("_key"), "_t")
+    rows = rows.select("_row", "_key", F.posexplode(F.array(_cut("_t", r" \t\n\x0b\f\r"), _cut("_t", r"\n"))).alias("_kind", "_parts"))
+    return rows.select("_row", "_key", "_kind", F.posexplode("_parts").alias("_k", "_part"))
+
+
+def _long_stats(parts: DataFrame) -> DataFrame:
+    """The statistics by ``_key``, the 64-bit hash of a text.
+
+    Words are 64-bit hashes here. Each part's words are followed by the next four
+    of the text, so every window lies in one part; windows are dealt by hash.
+    Arrays that lambdas or filters read are exploded from an array around them,
+    or the optimizer would put their expressions in those places.
+    """
+    held = lambda x: F.explode(F.array(x)).alias("_h")
+    split = parts.where("_kind = 0").select("_row", "_key", "_k", "_part", words(F.col("_part")).alias("_w"))
+    each = split.select("_row", "_key", F.size("_w").cast("long").alias("n_words"), F.length(F.array_join("_w", "")).cast("long").alias("word_chars"), *_marks("_part"))
+    sums = each.groupBy("_row", "_key").agg(*(F.sum(c).alias(c) for c in each.columns[2:]))
+    hashed = split.select("_row", "_k", held(F.transform("_w", lambda w: F.xxhash64(w)))).where(F.size("_h") > 0)
+    kinds = hashed.select("_row", F.explode("_h").alias("_h")).distinct().groupBy("_row").agg(F.count("*").alias("_kinds"))
+    order = W.partitionBy("_row").orderBy("_k")
+    after = F.flatten(F.collect_list(F.slice("_h", 1, GRAM - 1)).over(order.rowsBetween(1, GRAM - 1)))
+    before = F.coalesce(F.sum(F.size("_h")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    joined = hashed.select("_row", "_h", before.alias("_first"), F.slice(after, 1, GRAM - 1).alias("_after")).select("_row", "_first", held(F.concat("_h", "_after"))).where(F.size("_h") >= GRAM)
+    windows = F.transform(F.sequence(F.lit(0), F.size("_h") - GRAM), lambda i: window_hash(F.col("_h"), i, GRAM))
+    windows = joined.select("_row", "_first", F.posexplode(windows).alias("_i", "_g"))
+    windows = windows.select("_row", (F.col("_first") + F.col("_i")).alias("_i"), "_g")
+    twice = windows.withColumn("_n", F.count("*").over(W.partitionBy("_row", "_g"))).where("_n > 1")
+    step = F.col("_i") - F.lag("_i").over(W.partitionBy("_row").orderBy("_i"))
+    covered = twice.select("_row", F.least(F.lit(GRAM), step).alias("n")).groupBy("_row").agg(F.sum("n").alias("n_repeat_words"))
+    lines = parts.where("_kind = 1").select("_row", F.explode(F.split("_part", "\n")).alias("_l")).where(_has_word(F.col("_l")))
+    lines = lines.groupBy("_row", F.md5("_l").alias("_l")).agg(F.count("*").alias("n")).groupBy("_row").agg(F.sum("n").alias("_lines"), F.sum(F.col("n") - 1).alias("n_dup_lines"))
+    for other in (kinds, covered, lines):
+        sums = sums.join(other, "_row", "left")
+    return sums.dropDuplicates(["_key"]).select("_key", *(F.coalesce(c, F.lit(0)).alias(c) for c in (*BASE, *_MARKS)))
 
 
 def text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -44,7 +107,9 @@ def text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     more, and the words that those windows cover are counted once.
     """
     own = [c for c in docs.columns if c not in (*BASE, *FEATURES, *_INNER)]
-    doc = docs.select(*own, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t")).withColumn("_w", words(F.col("_t")))
+    whole = docs.select(*own, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"))
+    long = whole.where(F.length("_t") > LONG)
+    doc = whole.where(F.length("_t") <= LONG).withColumn("_w", words(F.col("_t")))
     doc = doc.withColumn("n_words", F.size("_w").cast("long"))
     windows = F.transform(F.sequence(F.lit(0), (F.col("n_words") - GRAM).cast("int")), lambda i: window_hash(F.col("_w"), i, GRAM))
     doc = doc.withColumn("_g", F.when(F.col("n_words") >= GRAM, windows))
@@ -56,19 +121,22 @@ def text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     start = F.struct(F.lit(-GRAM).alias("last"), F.lit(0).cast("long").alias("n"))
     step = lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(GRAM), i - acc["last"])).alias("n"))
     covered = F.aggregate("_p", start, step, lambda acc: acc["n"])
-    doc = doc.withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: F.length(F.replace(F.translate(x, "\t\x0b\x0c\r", "    "), F.lit(" "), F.lit(""))) > 0))
-    left = lambda drop: F.length(F.regexp_replace("_t", drop, ""))
+    doc = doc.withColumn("_l", F.filter(F.split("_t", "\n"), _has_word))
     stats = F.struct(
         "n_words",
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        left(SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.size("_l").alias("_lines"), F.size(F.array_distinct("_w")).alias("_kinds"),
-        left(r"[^\p{Lu}]+").alias("_upper"), left("[^!]+").alias("_bangs"), left("[^0-9]+").alias("_digits"),
+        F.size("_l").alias("_lines"), F.size(F.array_distinct("_w")).alias("_kinds"), *_marks("_t"),
     )
     # Filters on the statistics must not be pushed below them: they would compute all of them again for each use.
     doc = doc.select(*own, F.inline(F.array(stats)))
+    scratch = Scratch(docs.sparkSession, "long")
+    parts = scratch.table(_long_parts(long), "parts")
+    if not parts.isEmpty():
+        counted = materialise(_long_stats(parts), "long-stats")
+        doc = doc.unionByName(long.withColumn("_key", F.xxhash64("_t")).join(F.broadcast(counted), "_key").select(*own, *BASE, *_MARKS))
+    scratch.clear()
     n, chars, lines = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1)), F.greatest("_lines", F.lit(1))
     rate = {
         "word_length": F.col("word_chars") / n, "symbol_rate": F.col("n_symbols") / n, "dup_line_rate": F.col("n_dup_lines") / lines,
