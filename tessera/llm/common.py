@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +11,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.shared import fresh_dir, remove, written
+from tessera.shared import fresh_dir, remove, small_batches, written  # noqa: F401
 
 #: Word separators of the contracts: space and the five ASCII control blanks.
 BLANKS = "\t\n\x0b\x0c\r"
@@ -78,18 +77,6 @@ def local_path(uri: str) -> str | None:
     return uri if os.path.isabs(uri) else None
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """While actions run within, Arrow batches have at most ``rows`` rows (documents may be long)."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def text_runs(texts: pa.Array, most_rows: int = 256, most_bytes: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
     """A text column as runs of rows: the first row's place and the texts.
 

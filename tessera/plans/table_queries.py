@@ -17,7 +17,7 @@ from tessera.functions import text as tx
 from tessera.operators import kernels as k
 from tessera.plans import conversations
 from tessera.plans.validation import root_mismatches, toc_accounting, type_names, violations
-from tessera.shared import fresh_dir
+from tessera.shared import fresh_dir, small_batches
 from tessera.sources import layout, storage
 from tessera.sources.catalog import Catalog, listed, read_files, scan, strict_blobs, write_archives
 
@@ -393,5 +393,6 @@ def _archived(spark, sf_dir):
     folder = fresh_dir(spark, "archives")
     name = F.concat(F.lit("docs/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     rows = _t(spark, sf_dir, "documents").select(name.alias("name"), F.col("text").cast("binary").alias("content"))
-    write_archives(rows, "name", "content", folder).write.format("noop").mode("overwrite").save()
+    with small_batches(spark):
+        write_archives(rows, "name", "content", folder).write.format("noop").mode("overwrite").save()
     return Catalog.save(scan(spark, folder), f"{folder}/catalog"), folder

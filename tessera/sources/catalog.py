@@ -11,8 +11,10 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import count
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -324,29 +326,38 @@ def extract(contents: DataFrame, root: str) -> DataFrame:
     return contents.select("full_name", "content", *known, *(c for c in ("error",) if c in contents.columns)).mapInPandas(write, "full_name string, n_bytes long, state string")
 
 
-def write_archives(df: DataFrame, name: str, content: str, folder: str, most_bytes: int = 256 << 20) -> DataFrame:
-    """Packs rows (name, content) into archives below ``folder``: a new one per partition and ``most_bytes`` of content."""
+#: So many files at most are in an archive written here: its table of contents is put together, and decoded again, in one worker's memory.
+MOST_FILES = 1 << 13
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def write_archives(df: DataFrame, name: str, content: str, folder: str, most_bytes: int = 256 << 20, most_files: int = MOST_FILES) -> DataFrame:
+    """Packs rows (name, content) into archives below ``folder``: a new one per partition, ``most_bytes`` of content and ``most_files``.
+
+    Content goes into the blob as it comes; what a task holds is the records of the files.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, k, held, size = TaskContext.get().partitionId(), 0, [], 0
-
-        def flush() -> pd.DataFrame:
-            stem = f"part-{part:05d}-{k:04d}"
-            toc, blob = layout.pack_archive(held, f"{stem}.rmdblob", identity=(part << 16) + k + 1)
-            storage.write_whole(f"{folder}/{stem}.rmdblob", blob)
-            storage.write_whole(f"{folder}/{stem}.rmdtoc", toc)
-            return pd.DataFrame({"part": [part], "n_files": [len(held)], "n_bytes": [size]})
-
-        for batch in batches:
-            for own, raw in zip(batch["name"], batch["content"], strict=True):
-                held.append((own, bytes(raw)))
-                size += len(raw)
-                if size >= most_bytes:
-                    yield flush()
-                    k, held, size = k + 1, [], 0
-        if held:
-            yield flush()
-
-    return df.select(F.col(name).alias("name"), F.col(content).alias("content")).mapInPandas(pack, "part int, n_files long, n_bytes long")
+        part = TaskContext.get().partitionId()
+        rows = ((own, raw) for batch in batches for k in range(batch.num_rows) for own, raw in [(batch.column(0)[k].as_py(), batch.column(1)[k].as_py())])
+        ahead = next(rows, None)
+        for k in count():
+            if ahead is None:
+                return
+            stem, identity = f"part-{part:05d}-{k:04d}", (part << 16) + k + 1
+            held, size, at = [], 0, layout.BLOB_HEADER
+            with storage.writing(f"{folder}/{stem}.rmdblob") as blob:
+                blob.write(layout.blob_header(identity))
+                while ahead is not None and size < most_bytes and len(held) < most_files:
+                    record, chunks = layout.store_file(*ahead, at)
+                    for chunk in chunks:
+                        blob.write(chunk)
+                        at += len(chunk)
+                    held.append(record)
+                    size += record[1]
+                    ahead = next(rows, None)
+            storage.write_whole(f"{folder}/{stem}.rmdtoc", layout.pack_toc(held, f"{stem}.rmdblob", at, identity))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(held)], pa.int64()), pa.array([size], pa.int64())], ["part", "n_files", "n_bytes"])
+
+    return df.select(F.col(name).alias("name"), F.col(content).alias("content")).mapInArrow(pack, "part int, n_files long, n_bytes long")

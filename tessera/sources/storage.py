@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
+from typing import IO
 
 
 def local_path(uri: str) -> str | None:
@@ -27,17 +30,23 @@ def read_range(uri: str, offset: int, size: int) -> bytes:
         return file.read(size)
 
 
-def write_whole(uri: str, data: bytes) -> None:
-    """A whole file or none: written aside, synced, then moved into place."""
+@contextmanager
+def writing(uri: str) -> Iterator[IO[bytes]]:
+    """A file to write to that becomes whole or isn't there: written aside, synced, then moved into place."""
     passing = f"{uri}.{uuid.uuid4().hex}.part"
     if (path := local_path(uri)) is not None:
         os.makedirs(os.path.dirname(path), exist_ok=True)
         aside = local_path(passing)
-        with open(aside, "wb") as file:
-            file.write(data)
-            file.flush()
-            os.fsync(file.fileno())
-        os.replace(aside, path)
+        try:
+            with open(aside, "wb") as file:
+                yield file
+                file.flush()
+                os.fsync(file.fileno())
+            os.replace(aside, path)
+        except BaseException:
+            with suppress(FileNotFoundError):
+                os.remove(aside)
+            raise
         return
     from pyarrow import fs
 
@@ -45,10 +54,16 @@ def write_whole(uri: str, data: bytes) -> None:
     store.create_dir(os.path.dirname(path), recursive=True)
     aside = fs.FileSystem.from_uri(passing)[1]
     with store.open_output_stream(aside) as file:
-        file.write(data)
+        yield file
     store.move(aside, path)
 
 
+def write_whole(uri: str, data: bytes) -> None:
+    """A whole file or none."""
+    with writing(uri) as file:
+        file.write(data)
+
+
 def size_of(uri: str) -> int:
     if (path := local_path(uri)) is not None:
         return os.path.getsize(path)

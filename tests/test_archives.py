@@ -110,6 +110,35 @@ def test_write_archives_in_parts(spark, tmp_path):
     assert sum(r.error == "the blob is missing" for r in read_files(c, c.blobs(spark, str(tmp_path / "a")), c.file).collect()) == 3
 
 
+def test_write_archives_holds_records_only(spark, tmp_path, monkeypatch):
+    """Content goes into the blob as it comes, and an archive has a most number of files."""
+    import tracemalloc
+
+    import pyarrow as pa
+    import pyspark
+
+    class Caught:
+        select = lambda self, *_: self
+        mapInArrow = lambda self, f, _: lambda batches: list(f(batches))  # noqa: E731, N815
+        mapInPandas = lambda self, f, _: lambda batches: list(f(b.to_pandas() for b in batches))  # noqa: E731, N815
+
+    monkeypatch.setattr(pyspark.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    rng = random.Random(4)
+    batches = (pa.RecordBatch.from_arrays([pa.array([f"d/{k}"]), pa.array([rng.randbytes(1 << 20)])], ["name", "content"]) for k in range(48))
+    run = write_archives(Caught(), "name", "content", str(tmp_path / "big"))
+    tracemalloc.start()
+    run(batches)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 << 20
+    rows = spark.range(25).selectExpr("concat('d', id % 2, '/', id) AS name", "cast(id AS string) AS content").selectExpr("name", "cast(content AS binary) AS content").coalesce(1)
+    assert sorted(r.n_files for r in write_archives(rows, "name", "content", str(tmp_path / "a"), most_files=10).collect()) == [5, 10, 10]
+    c = Catalog.save(scan(spark, str(tmp_path / "a")), str(tmp_path / "c"))
+    assert not validation.violations(c).count()
+    got = {r.full_name: bytes(r.content) for r in read_files(c, c.blobs(spark, str(tmp_path / "a")), c.file).collect()}
+    assert got == {f"d{k % 2}/{k}": str(k).encode() for k in range(25)}
+
+
 def test_bank_objects(spark):
     bank = b"HIRC" + struct.pack("<II", 4 + 2 * 9, 2) + (b"\x0a" + struct.pack("<I", 4) + b"abcd") * 2
     df = spark.createDataFrame([("b", bank), ("none", None)], "full_name string, content binary")
