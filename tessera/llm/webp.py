@@ -99,6 +99,14 @@ class PrefixCode:
         return int(self.symbols[window])
 
 
+@lru_cache(1024)
+def only_code(symbol: int) -> PrefixCode:
+    """The code of one symbol, which takes no bits."""
+    lengths = np.zeros(symbol + 1, np.uint8)
+    lengths[symbol] = 1
+    return PrefixCode(lengths)
+
+
 def codes_of(lengths: np.ndarray) -> dict[int, tuple[int, int]]:
     """Symbol to (code word as the stream has it, length)."""
     code = PrefixCode(lengths)
@@ -109,7 +117,10 @@ def read_code(bits: Bits, alphabet: int) -> PrefixCode:
     lengths = np.zeros(alphabet, np.uint8)
     if bits.get(1):
         two = bits.get(1)
-        lengths[bits.get(8 if bits.get(1) else 1)] = 1
+        first = bits.get(8 if bits.get(1) else 1)
+        if not two and first < alphabet:
+            return only_code(first)
+        lengths[first] = 1
         if two:
             lengths[bits.get(8)] = 1
         return PrefixCode(lengths)
@@ -118,19 +129,29 @@ def read_code(bits: Bits, alphabet: int) -> PrefixCode:
         own[LENGTH_ORDER[k]] = bits.get(3)
     meta = PrefixCode(own)
     left = 2 + bits.get(2 + 2 * bits.get(3)) if bits.get(1) else alphabet
-    at, last = 0, 8
-    while at < alphabet and left:
+    sizes, symbols, mask = ([0], [meta.only], 0) if meta.only is not None else (meta.lengths.tolist(), meta.symbols.tolist(), meta.mask)
+    # All that the lengths can take: up to 14 bits each.
+    start, room = bits.at >> 3, 2 * alphabet + 8
+    window, found, last, read = int.from_bytes(bits.data[start : start + room], "little") >> (bits.at & 7), [], 8, 0
+    while len(found) < alphabet and left:
         left -= 1
-        n = meta.read(bits)
+        n, size = symbols[window & mask], sizes[window & mask]
+        window >>= size
         if n < 16:
-            lengths[at] = n
-            at, last = at + 1, n or last
+            found.append(n)
+            last = n or last
         else:
-            times = 3 + bits.get(2) if n == 16 else 3 + bits.get(3) if n == 17 else 11 + bits.get(7)
-            if at + times > alphabet:
-                raise ValueError("code lengths run over the alphabet")
-            lengths[at : at + times] = last if n == 16 else 0
-            at += times
+            extra = 2 if n == 16 else 3 if n == 17 else 7
+            found += [last if n == 16 else 0] * ((11 if n == 18 else 3) + (window & ((1 << extra) - 1)))
+            window >>= extra
+            size += extra
+        read += size
+    bits.at += read
+    if bits.at > 8 * len(bits.data):
+        raise ValueError("the image data end early")
+    if len(found) > alphabet:
+        raise ValueError("code lengths run over the alphabet")
+    lengths[: len(found)] = found
     return PrefixCode(lengths)
 
 
@@ -202,28 +223,28 @@ def _one_channel(bits: Bits, codes: list[PrefixCode], width: int, height: int) -
     rest, n = np.uint32(alpha.only << 24 | red.only << 16 | blue.only), width * height
     if green.only is not None and green.only < 256:
         return np.full(n, rest | np.uint32(green.only << 8), np.uint32)
-    raw = np.frombuffer(bits.data, np.uint8)[bits.at >> 3 :]
-    wide = np.zeros(len(raw) + 3, np.uint32)
-    wide[: len(raw)] = raw
-    wide = wide[:-2] | wide[1:-1] << np.uint32(8) | np.append(wide[2:-1], np.uint32(0)) << np.uint32(16) if len(raw) else wide[:1]
-    mask, lengths = np.uint32(green.mask), np.zeros((len(wide) + 16, 8), np.uint8)
-    for s in range(8):
-        np.take(green.lengths, (wide >> np.uint32(s)) & mask, out=lengths[: len(wide), s])
-    # Where one, two and four words from each bit position end; past the data, nowhere.
+    # At each byte the next three, and zero past the data.
+    raw = bits.data[bits.at >> 3 :]
+    wide = np.ndarray((len(raw) + 1,), "<u4", raw + bytes(4), strides=(1,)) & np.uint32(0xFFFFFF)
+    mask, lengths = np.uint32(green.mask), np.zeros((len(wide) + 32, 8), np.uint8)
+    lengths[:-32] = green.lengths.take((wide[:, None] >> np.arange(8, dtype=np.uint32)) & mask)
+    # Where one, two, four and eight words from each bit position end; past the data, nowhere.
     one = lengths.ravel()
-    place = np.arange(one.size - 64, dtype=np.int32)
+    place = np.arange(one.size - 64)
     two = np.zeros(one.size, np.uint8)
-    np.add(one[:-64], one[place + one[:-64]], out=two[:-64])
-    four = two[:-64] + two[place + two[:-64]]
-    steps, base, out, got, many = four.tobytes(), bits.at & ~7, np.zeros(n, np.uint32), 0, 1 << 20
+    np.add(one[:-64], one.take(place + one[:-64]), out=two[:-64])
+    four = two[:-64] + two.take(place + two[:-64])
+    eight = four[:-64] + four.take(place[:-64] + four[:-64])
+    steps, base, out, got, many = eight.tobytes(), bits.at & ~7, np.zeros(n, np.uint32), 0, 1 << 20
     try:
         while got < n:
             # After a reference the next one may be near: look a little ahead, then farther.
             ask = min(n - got, 4 * many)
-            quarter = np.fromiter(accumulate(range((ask - 1) // 4), lambda p, _: p + steps[p], initial=bits.at - base), np.int64)
-            at = np.empty((len(quarter), 4), np.int64)
-            at[:, 0], at[:, 2] = quarter, quarter + two[quarter]
-            at[:, 1], at[:, 3] = quarter + one[quarter], at[:, 2] + one[at[:, 2]]
+            eighth = np.fromiter(accumulate(range((ask - 1) // 8), lambda p, _: p + steps[p], initial=bits.at - base), np.int64)
+            at = np.empty((len(eighth), 8), np.int64)
+            at[:, 0], at[:, 4] = eighth, eighth + four[eighth]
+            at[:, 2::4] = at[:, ::4] + two[at[:, ::4]]
+            at[:, 1::2] = at[:, ::2] + one[at[:, ::2]]
             at = at.ravel()[:ask]
             symbols = green.symbols[(wide[np.minimum(at >> 3, len(wide) - 1)] >> (at & 7).astype(np.uint32)) & mask]
             special = np.flatnonzero(symbols >= 256)
@@ -436,7 +457,7 @@ class BitWriter:
         starts = ends - lengths
         moved = words.astype(np.uint64) << (starts & 31).astype(np.uint64)
         slot = starts >> 5
-        first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
+        first = np.append(0, np.flatnonzero(slot[1:] != slot[:-1]) + 1)
         joined = np.bitwise_or.reduceat(moved, first)
         out = np.zeros(int(ends[-1] >> 5) + 2, np.uint32)
         out[slot[first]] = (joined & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -480,15 +501,18 @@ def _length_words() -> dict[int, tuple[int, int]]:
     return codes_of(np.array([4] * 13 + [5] * 6, np.uint8))
 
 
+def write_first(out: BitWriter, symbol: int, more: bool = False) -> None:
+    """Stores a prefix code of one symbol, or the first of two."""
+    out.put(1 | int(more) << 1 | int(symbol > 1) << 2, 3)
+    out.put(symbol, 8 if symbol > 1 else 1)
+
+
 def write_code(out: BitWriter, lengths: np.ndarray) -> dict[int, tuple[int, int]]:
     """Stores a prefix code; returns its words (no bits if it has one symbol)."""
     used = np.flatnonzero(lengths)
     if len(used) <= 2 and (not len(used) or used[-1] < 256):
         first = int(used[0]) if len(used) else 0
-        out.put(1, 1)
-        out.put(int(len(used) == 2), 1)
-        out.put(int(first > 1), 1)
-        out.put(first, 8 if first > 1 else 1)
+        write_first(out, first, len(used) == 2)
         if len(used) == 2:
             out.put(int(used[1]), 8)
         return codes_of(lengths) if len(used) == 2 else {first: (0, 0)}
@@ -625,7 +649,8 @@ def far_repeats(samples: np.ndarray, least: int = 32, most: int = 4096) -> list[
 
     Places are compared whose next eight samples have a certain hash, one of 16
     on the average: equal content has them at equal places. Repeats are then
-    extended both ways.
+    extended both ways, if twelve samples more are equal on one side: of
+    ``least`` samples, 24 at least are outside the eight.
     """
     if len(samples) < 2 * least:
         return []
@@ -633,8 +658,11 @@ def far_repeats(samples: np.ndarray, least: int = 32, most: int = 4096) -> list[
     marks = np.flatnonzero(windows >> np.uint64(60) == 0)
     _, first, kind = np.unique(windows[marks], return_index=True, return_inverse=True)
     found, done = [], 0
-    for k in np.flatnonzero(first[kind] != np.arange(len(marks))):
-        at, before = int(marks[k]), int(marks[first[kind[k]]])
+    again = np.flatnonzero(first[kind] != np.arange(len(marks)))
+    here, there, last = marks[again], marks[first[kind[again]]], len(windows) - 1
+    same = lambda by: (windows[np.clip(here + by, 0, last)] == windows[np.clip(there + by, 0, last)]) | (there + by < 0) | (here + by > last)
+    likely = (same(8) & same(12)) | (same(-8) & same(-12)) if least >= 32 else slice(None)
+    for at, before in zip(here[likely].tolist(), there[likely].tolist(), strict=True):
         if at < done:
             continue
         back = min(at - done, before, 256)
@@ -664,9 +692,7 @@ def write_green(out: BitWriter, green: np.ndarray, rest: int, spans: list[tuple[
         far[c[3]] += 1
     codes = write_code(out, code_lengths(counts))
     for shift in (16, 0, 24):
-        only = np.zeros(256, np.int64)
-        only[rest >> shift & 255] = 1
-        write_code(out, code_lengths(only))
+        write_first(out, rest >> shift & 255)
     fars = write_code(out, code_lengths(far))
     table = np.zeros((2, 280), np.int64)
     table[:, list(codes)] = np.array(list(codes.values())).T
@@ -732,8 +758,8 @@ def encode_grey(samples: np.ndarray, width: int, palette: bool = False, mode: in
             index = (rows.reshape(height, -1, each) << (size * np.arange(each))).sum(axis=2).ravel()
     else:
         out.put(SUBTRACT_GREEN, 2)
-    pixels = np.uint32(0xFF000000) | index.astype(np.uint32) << np.uint32(8)
     if mode:
+        pixels = np.uint32(0xFF000000) | index.astype(np.uint32) << np.uint32(8)
         out.put(1, 1)
         out.put(PREDICTOR, 2)
         out.put(7, 3)
@@ -741,10 +767,10 @@ def encode_grey(samples: np.ndarray, width: int, palette: bool = False, mode: in
         write_pixels(out, side, False)
         pixels = predict(pixels, width, height, side, 9, -1)
     out.put(0, 1)
-    if spans:
-        write_green(out, samples, 0xFF000000, spans)
-    else:
+    if mode:
         write_pixels(out, pixels, True)
+    else:
+        write_green(out, index, 0xFF000000, spans or [])
     return _container(out.bytes())
 
 

@@ -195,6 +195,49 @@ def test_webp_plans_fit_their_content():
     assert len(plan["spans"]) > 3000 and (webp.decode_webp(webp.encode_grey(many, 192, **plan))[2] & 255 == many).all()
 
 
+def test_webp_work_of_a_text():
+    """Calls that storing and loading texts takes: what a text costs beside its bytes."""
+    import cProfile
+    import pstats
+
+    rng = random.Random(6)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    payloads = [media.payload_of(" ".join(rng.choice(words) for _ in range(600))) for _ in range(20)]
+    media.load(media.store(payloads[0]))
+    profile = cProfile.Profile()
+    profile.enable()
+    back = [media.load(media.store(p))[3] for p in payloads]
+    profile.disable()
+    assert back == payloads
+    assert pstats.Stats(profile).total_calls < 2000 * len(payloads)
+
+
+def test_far_repeats_leave_none_out():
+    """The same repeats as when every place is extended."""
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        base, parts = rng.integers(97, 100 + int(rng.integers(20)), 4000).astype(np.uint8), []
+        for _ in range(60):
+            at, n = int(rng.integers(3900)), int(rng.integers(8, 60))
+            parts.append(base[at : at + n])
+        samples = np.concatenate([base, *parts, base[:64]])
+        raw = samples.tobytes()
+        windows = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,)) * np.uint64(0x9E3779B97F4A7C15)
+        first, found, done = {}, [], 0
+        for at in np.flatnonzero(windows >> np.uint64(60) == 0).tolist():
+            before, back, ahead = first.setdefault(int(windows[at]), at), 0, 0
+            if before == at or at < done:
+                continue
+            while back < min(at - done, before, 256) and raw[at - back - 1] == raw[before - back - 1]:
+                back += 1
+            while at + ahead < len(raw) and ahead < 4096 - back and raw[at + ahead] == raw[before + ahead]:
+                ahead += 1
+            if back + ahead >= 32:
+                found.append((at - back, back + ahead, at - before))
+                done = at + ahead
+        assert found and webp.far_repeats(samples) == found
+
+
 def test_webp_damage_is_an_error():
     good = webp.encode_grey(np.arange(192, dtype=np.uint8), 192)
     for bad in (b"", b"RIFF", good[:40], good[:20] + b"\0" + good[21:]):
